@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalars  # noqa: F401
+from . import ledger, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
