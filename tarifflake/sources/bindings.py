@@ -248,6 +248,8 @@ def oracle(body: str, *views: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
