@@ -39,3 +39,21 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
         same = same & F.col(k).eqNullSafe(F.col(f"__s_{k}"))
     out = local.join(shift, same, "inner").withColumn(name, F.col("__rn") + F.col("__shift"))
     return out.drop("__b", "__rn", "__sb", "__shift", *[f"__s_{k}" for k in keys])
+
+
+def previous_row(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], fields: list[str], prefix: str = "prev_") -> DataFrame:
+    """Adds the ``fields`` of the row before this one in its group. Rows look back inside their own bucket; the first
+    row of a bucket takes the last row of the bucket before, so a big group is cut into many small windows."""
+    row = F.struct(*fields)
+    tagged = df.withColumn("__b", bucket)
+    ends = tagged.groupBy(*keys, "__b").agg(F.max_by(row, F.struct(*order)).alias("__last"))
+    w = Window.partitionBy(*keys).orderBy("__b")
+    carry = ends.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__b").alias("__cb"), F.lag("__last").over(w).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    local = tagged.withColumn("__lag", F.lag(row).over(inside))
+    same = F.col("__b").eqNullSafe(F.col("__cb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
+    prev = F.coalesce("__lag", "__carry")
+    out = local.join(carry, same, "inner").withColumns({f"{prefix}{f}": prev[f] for f in fields})
+    return out.drop("__b", "__lag", "__cb", "__carry", *[f"__c_{k}" for k in keys])

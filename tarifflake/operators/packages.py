@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import core_title, name_key
+from ..functions.grouping import previous_row
+from ..functions.keys import core_title, name_key, overlap_days
 from ..functions.money import money, pct_change
 
 
@@ -152,21 +153,77 @@ def newer_version(packages: DataFrame, prices: DataFrame, asked: DataFrame) -> D
 
     With a date: the newest edition sold that day, else (when the package was replaced) the newest. Without: the
     newest if it was replaced, else the newest whose dates are the same or wider."""
-    p = packages.select(F.col("id").alias("package_id"), "family_id", F.col("version").alias("own"), F.col("status").alias("own_status"), F.col("valid_from").alias("own_from"), F.col("valid_to").alias("own_to"))
+    p = packages.select(F.col("id").alias("package_id"), "family_id", F.col("version").alias("own"), (F.col("status") != "active").alias("replaced"), F.col("valid_from").alias("f"), F.col("valid_to").alias("t"))
     asks = asked.distinct().join(p, "package_id")
-    live = packages.filter("status = 'active'").select("family_id", "id", "version", "valid_from", "valid_to")
-    dated = asks.filter("on_date is not null").select("family_id", "on_date")
-    sold = sold_on(packages.filter("status = 'active'"), prices, dated).select("id", "on_date", F.lit(True).alias("sold")).distinct()
-    j = asks.join(live, "family_id").filter((F.col("version") > F.col("own")) & (F.col("id") != F.col("package_id")))
-    j = j.join(sold, ["id", "on_date"], "left")
-    unknown = F.col("own_from").isNull() | F.col("own_to").isNull() | F.col("valid_from").isNull() | F.col("valid_to").isNull()
-    wider = unknown | ((F.col("valid_from") <= F.col("own_from")) & (F.col("valid_to") >= F.col("own_to")))
-    replaced = F.col("own_status") != "active"
-    usable = F.when(F.col("on_date").isNotNull(), F.coalesce("sold", F.lit(False)) | replaced).otherwise(replaced | wider)
-    best = F.struct(F.coalesce("sold", F.lit(False)).alias("sold"), "version", "id")
-    return j.filter(usable).groupBy("package_id", "on_date").agg(F.max(best).alias("b")).select(
-        "package_id", "on_date", F.col("b.id").alias("newer_id"), F.col("b.version").alias("newer_version")
+    live = packages.filter("status = 'active'")
+    top = F.max(F.struct("version", "id"))
+    # on a date: the newest edition sold that day, looked up per family and day
+    sold = newest_edition(packages, prices, asks.filter("on_date is not null").select("family_id", "on_date"))
+    sold = sold.select("family_id", "on_date", F.struct("version", F.col("package_id").alias("id")).alias("sold"))
+    newest = live.groupBy("family_id").agg(top.alias("newest"))
+    # without a date: the newest edition whose dates are the same or wider, per distinct date range
+    spans = live.groupBy("family_id", "valid_from", "valid_to").agg(top.alias("cand"))
+    own = asks.filter("on_date is null and not replaced").select("family_id", "f", "t").distinct().alias("o")
+    unknown = F.col("f").isNull() | F.col("t").isNull() | F.col("valid_from").isNull() | F.col("valid_to").isNull()
+    wider = unknown | ((F.col("valid_from") <= F.col("f")) & (F.col("valid_to") >= F.col("t")))
+    wide = own.join(spans, "family_id").filter(wider).groupBy("family_id", "f", "t").agg(F.max("cand").alias("wide"))
+    wide = wide.select(F.col("family_id").alias("wf"), F.col("f").alias("w_from"), F.col("t").alias("w_to"), "wide")
+    j = asks.join(sold, ["family_id", "on_date"], "left").join(newest, "family_id", "left")
+    j = j.join(wide, (F.col("family_id") == F.col("wf")) & F.col("f").eqNullSafe(F.col("w_from")) & F.col("t").eqNullSafe(F.col("w_to")), "left")
+
+    def above(c: str) -> Column:
+        return F.when(F.col(f"{c}.version") > F.col("own"), F.col(c))
+
+    best = F.when(F.col("on_date").isNotNull(), F.coalesce(above("sold"), F.when(F.col("replaced"), above("newest")))).otherwise(
+        F.when(F.col("replaced"), above("newest")).otherwise(above("wide"))
     )
+    j = j.withColumn("b", best).filter("b is not null")
+    return j.select("package_id", "on_date", F.col("b.id").alias("newer_id"), F.col("b.version").alias("newer_version"))
+
+
+def version_pairs(packages: DataFrame) -> DataFrame:
+    """(new_id, old_id): each package with the one before it in its family."""
+    p = previous_row(
+        packages.select("family_id", "id", "version"), ["family_id"], F.floor(F.col("version") / 100), [F.col("version"), F.col("id")], ["id"]
+    )
+    return p.filter("prev_id is not null").select(F.col("id").alias("new_id"), F.col("prev_id").alias("old_id"))
+
+
+def load_versions(uploads: DataFrame, library: DataFrame) -> DataFrame:
+    """For each upload: its next version number base and the member it is compared with: a live member where there is
+    one, with the most shared days, then the highest version."""
+    spans = uploads.select("family_id", "valid_from", "valid_to").distinct().alias("n")
+    old = library.groupBy("family_id", "valid_from", "valid_to", (F.col("status") == "active").alias("live")).agg(
+        F.max(F.struct("version", "id")).alias("m")
+    ).alias("o")
+    shared = F.coalesce(overlap_days("n.valid_from", "n.valid_to", "o.valid_from", "o.valid_to"), F.lit(0))
+    best = spans.join(old, F.col("n.family_id") == F.col("o.family_id")).groupBy("n.family_id", "n.valid_from", "n.valid_to").agg(
+        F.max_by("m", F.struct("live", shared, "m.version", "m.id")).alias("base"), F.max("m.version").alias("top")
+    )
+    b = best.alias("b")
+    u = uploads.alias("u")
+    on = F.lit(True)
+    for c in ("family_id", "valid_from", "valid_to"):
+        on = on & F.col(f"u.{c}").eqNullSafe(F.col(f"b.{c}"))
+    j = u.join(b, on, "left")
+    return j.select(F.col("u.id").alias("upload_id"), "u.family_id", (F.coalesce("top", F.lit(0)) + 1).alias("version"), F.col("base.id").alias("base_id"))
+
+
+def version_effects(uploads: DataFrame, library: DataFrame) -> DataFrame:
+    """What the uploads do to each live member of their families."""
+    new = uploads.select("family_id", F.col("valid_from").alias("nf"), F.col("valid_to").alias("nt")).distinct()
+    live = library.filter("status = 'active'").join(new.select("family_id").distinct(), "family_id", "left_semi")
+    hit = live.select("family_id", "valid_from", "valid_to").distinct().join(new, "family_id")
+    seen = hit.groupBy("family_id", "valid_from", "valid_to").agg(
+        F.bool_or(covers("nf", "nt", "valid_from", "valid_to")).alias("covered"),
+        F.bool_or(F.coalesce(overlap_days("valid_from", "valid_to", "nf", "nt") > 0, F.lit(False))).alias("shared"),
+    ).alias("s")
+    m = live.alias("m")
+    on = F.lit(True)
+    for c in ("family_id", "valid_from", "valid_to"):
+        on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}"))
+    action = F.when(F.col("covered"), "replaced").when(F.col("shared"), "overlaps (newer wins on shared dates)").otherwise("kept (other dates)")
+    return m.join(seen, on).select("m.id", "m.family_id", action.alias("action"))
 
 
 # ---------------------------------------------------------------- comparing price grids

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ledger, pricing, scalars  # noqa: F401
+from . import ledger, packages, pricing, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -17,7 +17,7 @@ TABLES = (
 )
 
 # A line's stable number inside its order: unique with the order key at every scale.
-_ROW = "((cast(l_linenumber as bigint) * 10000000 + l_partkey) * 100000 + l_suppkey)"
+_ROW = "(((cast(l_linenumber as bigint) * 16777216 + l_partkey) * 131072 + l_suppkey) * 64 + cast(l_quantity as bigint))"
 # Approval order differs from document order, as it does when sheets wait for review.
 _SEQ = "((cast({c} as bigint) * 7919) % 1000003) * 4294967296 + {c}"
 
@@ -127,8 +127,8 @@ VIEWS: dict[str, str] = {
                case when l_suppkey % 50 = 0 then 'USD' else 'INR' end as currency,
                case when l_suppkey % 6 > 0 then l_suppkey % 6 < 4 end as is_net,
                case when l_suppkey % 8 = 0 then 'Peak' end as season_name,
-               cast(l_shipdate as date) as valid_from,
-               cast(l_shipdate as date) + cast(l_quantity * 7 as int) as valid_to
+               make_date(year(l_shipdate), 1, 1) as valid_from,
+               make_date(year(l_shipdate), 1, 1) + cast(90 + l_quantity * 7 as int) as valid_to
         from {lineitem}""",
     "b_day": """
         select l_orderkey * 10 + l_linenumber as id, l_orderkey as package_id, l_linenumber as day_number,
@@ -152,7 +152,7 @@ VIEWS: dict[str, str] = {
                case when o_orderpriority <> '5-LOW' then o_orderpriority end as lead_source,
                case when o_orderstatus = 'F' then case when o_orderkey % 2 = 0 then 'completed' else 'confirmed' end
                     when o_orderstatus = 'O' then case when o_orderkey % 3 = 0 then 'lost' else 'quoted' end
-                    else case when o_orderkey % 5 = 0 then 'cancelled' else 'enquiry' end end as status,
+                    else 'enquiry' end as status,
                case when o_orderkey % 6 > 0 then cast(o_orderdate as date) + 30 end as start_date,
                case when o_orderkey % 4 > 0 then cast(o_orderdate as date) + 10 end as follow_up_date,
                cast(o_orderdate as date) as created_on,
