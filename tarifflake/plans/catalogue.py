@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ledger, packages, pricing, scalars, trips  # noqa: F401
+from . import ledger, library, packages, pricing, scalars, trips, usage  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

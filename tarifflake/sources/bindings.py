@@ -196,7 +196,7 @@ VIEWS: dict[str, str] = {
                case when o_orderkey % 4 = 0 then 'B' end as chosen_option
         from {orders}""",
     "b_usage": """
-        select event_id as id, ts as at, event_type as provider, 'm' || (user_id % 3) as model,
+        select event_id as id, ts as called_at, event_type as provider, 'm' || (user_id % 3) as model,
                case when user_id % 4 > 0 then user_id end as document_id,
                cast(floor(value * 100) as bigint) as input_tokens, cast(floor(value * 10) as bigint) as output_tokens,
                cast(floor(value * 20) as bigint) as cached_tokens,
