@@ -37,6 +37,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def name_key(c) -> Column:
     """Lower case, anything but letters and digits becomes one space."""
     low = F.lower(F.coalesce(col(c), F.lit("")))

@@ -39,3 +39,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stage(df):
+    """A table several outputs read: written once to the checkpoint folder, so no output works it out again and a
+    lost executor costs only its own reads."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
