@@ -314,3 +314,27 @@ def search_rates(live, rooms, hotels, on, destination=None, hotel=None, meal_pla
     dims = rooms.select(F.col("id").alias("room_type_id"), "hotel_id", F.col("name").alias("room")).join(h, "hotel_id")
     order = ["amount", "room_type_id", "currency", "basis", F.col("is_net").asc_nulls_first(), F.col("weekdays").asc_nulls_first()]
     return r.join(dims, "room_type_id").orderBy(*order).limit(limit)
+
+
+@query(
+    "c7b_ledger_live_picture",
+    f"""with {LIVE} select {RK} as rate_key, cast(amount as double) as amount, currency, basis, taxes_included, cast(valid_from as varchar) as valid_from, cast(valid_to as varchar) as valid_to from live""",
+    ["b_line"],
+)
+def c7b(lib):
+    """The exact ledger's live rates, neighbours with equal terms joined: the same picture as the sweep's."""
+    from ..operators import history
+
+    led, _ = history.rebuild(ledger.one_line_per_sheet(lib.b_line))
+    live = history.live_terms(led).withColumnsRenamed({"valid_from": "seg_from", "valid_to": "seg_to"})
+    merged = ledger.merge_adjacent(live, ledger.TERMS)
+    return merged.select("rate_key", *[f"v.{c}" for c in ledger.TERMS], "valid_from", "valid_to")
+
+
+@query("c7b_rate_ledger")
+def c7b_rows(lib):
+    """Every ledger row: live and superseded, with its link to the earlier rate."""
+    from ..operators import history
+
+    led, _ = history.rebuild(ledger.one_line_per_sheet(lib.b_line))
+    return led.select("rate_key", "id", "status", "document_id", "amount", "valid_from", "valid_to", "replaced_by", "previous_rate_id", "change_pct")
