@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import intake, ledger, library, matching, packages, pricing, scalars, trips, usage  # noqa: F401
+from . import exports, intake, ledger, library, matching, packages, pricing, scalars, streams, trips, usage  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
