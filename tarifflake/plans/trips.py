@@ -27,7 +27,7 @@ TT = """
    from b_trip t left join sh on sh.trip_id = t.id left join hd on hd.trip_id = t.id left join pd on pd.trip_id = t.id left join cu on cu.trip_id = t.id),
  tx as (select *, cost * cast(100 + markup_pct as decimal(6,2)) * cast(100 + gst_pct as decimal(5,2)) * cast(0.0001 as decimal(5,4)) as sx from base),
  tt as (select id as trip_id, cost, round(cost * markup_pct * cast(0.01 as decimal(3,2)), 2) as markup, round(cost * cast(100 + markup_pct as decimal(6,2)) * gst_pct * cast(0.0001 as decimal(5,4)), 2) as gst,
-     round(sx, 2) as sell, round(cast(sx as double) / nullif(travellers, 0), 2) as per_person, cast(travellers as bigint) as travellers, paid, round(sx - paid, 2) as balance, n_options as options, head as option,
+     round(sx, 2) as sell, ((2 * cast(cast(sx as decimal(18,6)) * 1000000 as hugeint) + travellers * 10000) // nullif(2 * travellers * 10000, 0)) / 100.0 as per_person, cast(travellers as bigint) as travellers, paid, round(sx - paid, 2) as balance, n_options as options, head as option,
      case when picked then head end as chosen_option, n_options > 0 and not picked as is_from_price, case when c1 = c2 then c1 else currency end as currency, coalesce(c1 <> c2, false) as mixed_currency, n_items from tx)
 """
 MONEY = "cast(cost as double) as cost, cast(markup as double) as markup, cast(gst as double) as gst, cast(sell as double) as sell, per_person, travellers, cast(paid as double) as paid, cast(balance as double) as balance, options, option, chosen_option, is_from_price, currency, mixed_currency"
