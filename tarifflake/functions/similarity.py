@@ -66,7 +66,8 @@ def _udf(fn):
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([fn(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return score
+    # a filter on the score must stay above the distinct: each pair is scored once
+    return score.asNondeterministic()
 
 
 name_score_udf, token_sort_udf, token_set_udf = _udf(name_score), _udf(token_sort), _udf(token_set)
