@@ -1,7 +1,7 @@
 """Group operations that stay parallel when one key holds a large share of the rows.
 
-``first_by`` keeps one row per key with a combining aggregate, so a hot key shrinks to one row per map task before
-the shuffle. ``numbered`` numbers rows inside a key through an ordered bucket of the sort column: rows are numbered
+``first_by`` keeps one row per key with a rank limit that also runs before the shuffle, so a hot key shrinks to one
+row per map task. ``numbered`` numbers rows inside a key through an ordered bucket of the sort column: rows are numbered
 per (key, bucket) and shifted by the sizes of the earlier buckets, so no task sees a whole hot key.
 """
 
@@ -14,12 +14,10 @@ from .keys import col
 
 
 def first_by(df: DataFrame, keys: list, order: list[Column], latest: bool = False) -> DataFrame:
-    """One whole row per key: the lowest (or, with ``latest``, the highest) by ``order``."""
-    best = F.max_by if latest else F.min_by
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    picked = df.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(best(row, rank).alias("__r"))
-    return picked.select("__r.*")
+    """One whole row per key: the lowest (or, with ``latest``, the highest) by ``order``. The rank filter is applied
+    in every map task before the shuffle, and unused columns are pruned."""
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[o.desc() if latest else o.asc() for o in order])
+    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "rn") -> DataFrame:

@@ -31,11 +31,9 @@ def one_line_per_sheet(lines: DataFrame) -> DataFrame:
     return first_by(keyed(lines), ["document_id", "rate_key"], [F.col("valid_from"), F.col("line_no")])
 
 
-def newest_per_interval(rows: DataFrame, carry: list[str]) -> DataFrame:
+def newest_per_interval(rows: DataFrame) -> DataFrame:
     """One row per key and date range: on every one of its days the newest sheet hides the older ones."""
-    return rows.groupBy("rate_key", "valid_from", "valid_to").agg(
-        F.max_by(F.struct(*carry), "approval_seq").alias("r"), F.max("approval_seq").alias("approval_seq")
-    )
+    return first_by(rows, ["rate_key", "valid_from", "valid_to"], [F.col("approval_seq")], latest=True)
 
 
 def day_segments(intervals: DataFrame, key: str = "rate_key") -> DataFrame:
@@ -63,17 +61,11 @@ def live_rates(lines: DataFrame) -> DataFrame:
     """The whole library as of its last sheet: per key, each day carries the newest sheet that covers it, and days
     with equal terms in a row are one rate."""
     parts = [*KEY, *TERMS]
-    rows = newest_per_interval(one_line_per_sheet(lines), parts).repartition("rate_key")
-    seg = day_segments(rows).alias("s")
-    hit = (F.col("s.rate_key") == F.col("i.rate_key")) & F.col("s.seg_from").between(F.col("i.valid_from"), F.col("i.valid_to"))
-    covered = (
-        rows.alias("i")
-        .join(seg, hit)
-        .groupBy(F.col("s.rate_key").alias("rate_key"), "seg_from", "seg_to")
-        .agg(F.max_by("r", "approval_seq").alias("r"))
-        .select("rate_key", "seg_from", "seg_to", "r.*")
-    )
-    merged = merge_adjacent(covered, parts)
+    rows = newest_per_interval(one_line_per_sheet(lines)).select("rate_key", *parts, "valid_from", "valid_to", "approval_seq").repartition("rate_key")
+    seg = day_segments(rows).withColumnRenamed("rate_key", "seg_key")
+    hit = (F.col("rate_key") == F.col("seg_key")) & F.col("seg_from").between(F.col("valid_from"), F.col("valid_to"))
+    covered = first_by(rows.join(seg, hit), ["rate_key", "seg_from"], [F.col("approval_seq")], latest=True)
+    merged = merge_adjacent(covered.select("rate_key", "seg_from", "seg_to", *parts), parts)
     return merged.select(*[f"v.{p}" for p in parts], "valid_from", "valid_to")
 
 
@@ -95,13 +87,11 @@ def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
     inc = keyed(incoming)
     season = name_key("season_name")
     spans = inc.select("rate_key", "valid_from", "valid_to", season.alias("season"), *TERMS).distinct().alias("n")
-    old = (
-        keyed(library)
-        .withColumn("season", season)
-        .groupBy("rate_key", "valid_from", "valid_to", "season", "status", *TERMS)
-        .agg(F.max("approval_seq").alias("approval_seq"), F.max_by("id", "approval_seq").alias("id"))
-        .alias("o")
-    )
+    wanted = inc.select("rate_key").distinct()
+    old = first_by(
+        keyed(library).join(wanted, "rate_key", "left_semi").withColumn("season", season),
+        ["rate_key", "valid_from", "valid_to", "season", "status", *TERMS], [F.col("approval_seq")], latest=True,
+    ).alias("o")
     live = F.col("o.status") == "active"
     shared = overlap_days("o.valid_from", "o.valid_to", "n.valid_from", "n.valid_to")
     later = overlap_days(year_later("o.valid_from"), year_later("o.valid_to"), "n.valid_from", "n.valid_to")

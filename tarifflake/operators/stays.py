@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grouping import first_by
 from ..functions.keys import name_key, sold_on_weekday
 from ..functions.money import money
 
@@ -19,19 +20,21 @@ def price_calendar(nights: DataFrame, rates: DataFrame) -> DataFrame:
     """``picks``: occupancy -> struct(net, rack), the best rate on that night for requests that prefer either.
 
     Day-specific beats general, the preferred price type beats the other, then the newest sheet."""
-    order_cols = ["document_id", "id"]
-    live = rates.filter("status = 'active'").groupBy(
-        "room_type_id", "meal_plan", "occupancy", "weekdays", "is_net", "valid_from", "valid_to"
-    ).agg(F.max_by(F.struct(*[c for c in RATE if c != "is_net"], *order_cols), F.struct(*order_cols)).alias("r"))
     wanted = nights.select("room_type_id", "meal_plan", "night").distinct()
+    rooms = wanted.select("room_type_id", "meal_plan").distinct()
+    live = first_by(
+        rates.filter("status = 'active'").join(rooms, ["room_type_id", "meal_plan"], "left_semi"),
+        ["room_type_id", "meal_plan", "occupancy", "weekdays", "is_net", "valid_from", "valid_to"],
+        [F.col("document_id"), F.col("id")], latest=True,
+    )
     on_night = live.join(wanted, ["room_type_id", "meal_plan"]).filter(
         F.col("night").between(F.col("valid_from"), F.col("valid_to")) & sold_on_weekday("weekdays", "night")
     )
-    rate = F.struct(*[F.col(f"r.{c}").alias(c) if c != "is_net" else F.col("is_net") for c in RATE])
+    rate = F.struct(*RATE)
     net = F.coalesce("is_net", F.lit(False))
 
     def best(prefer: Column) -> Column:
-        return F.max_by(rate, F.struct(F.col("weekdays").isNotNull(), prefer, F.col("r.document_id"), F.col("r.id")))
+        return F.max_by(rate, F.struct(F.col("weekdays").isNotNull(), prefer, F.col("document_id"), F.col("id")))
 
     per_occ = on_night.groupBy("room_type_id", "meal_plan", "night", "occupancy").agg(best(net).alias("net"), best(~net).alias("rack"))
     return per_occ.groupBy("room_type_id", "meal_plan", "night").agg(
