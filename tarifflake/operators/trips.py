@@ -137,3 +137,55 @@ def status_after(trips: DataFrame, events: DataFrame) -> DataFrame:
         .otherwise(F.col("status"))
     )
     return j.select("id", F.col("status").alias("status_before"), new.alias("status"), F.coalesce("picked", "chosen_option").alias("chosen_option"))
+
+
+def service_quantity(basis, seats, adults, children) -> Column:
+    """How often a service is charged for a group: vehicles by seats, heads by kind, once per group or when unknown."""
+    pax = F.col(adults) + F.col(children)
+    s = F.coalesce(F.col(seats), F.lit(0))
+    return (
+        F.when(F.col(basis) == "per_vehicle", F.when(s > 0, F.ceil(pax / s)).otherwise(1))
+        .when(F.col(basis) == "per_adult", F.col(adults))
+        .when(F.col(basis) == "per_child", F.col(children))
+        .when(F.col(basis).isin("per_group", "unknown"), 1)
+        .otherwise(pax)
+    )
+
+
+def reprice(items: DataFrame, trips: DataFrame, package_prices: DataFrame, services: DataFrame, library: tuple) -> DataFrame:
+    """Every trip line priced again from the live rates, all trips at once.
+
+    ``items`` carry their inputs: category, room_type_id, meal_plan, nights, set_quantity and manual_unit (a negotiated
+    unit price, which sticks while quantities follow the group). ``library``: hotel rates, surcharges, rooms, hotels.
+    Custom lines stay as they are; a hotel line without a date cannot be priced."""
+    from .packages import price_packages
+    from .stays import default_rooms, price_stays
+
+    t = trips.select(F.col("id").alias("trip_id"), "adults", "extra_beds", "children_with_bed", "children_without_bed", "start_date", F.col("currency").alias("own_currency"))
+    j = items.join(t, "trip_id").withColumn("request_id", F.concat_ws("-", "trip_id", "id"))
+    none = F.array().cast("array<string>")
+
+    p = j.filter("kind = 'package'")
+    ask = p.select("request_id", F.col("ref_id").alias("package_id"), "category", "adults", "extra_beds", "children_with_bed", "children_without_bed", F.lit(0).alias("single_rooms"), F.col("start_date").alias("travel_date"), F.lit(None).cast("int").alias("pax_tier"))
+    got = price_packages(ask, package_prices).select("request_id", F.col("total").cast("decimal(14,2)").alias("unit"), "currency", "errors").withColumn("auto_quantity", F.lit(1))
+
+    h = j.filter("kind = 'hotel'").withColumn("check_in", F.date_add("start_date", F.coalesce("day_position", F.lit(1)) - 1)).filter("check_in is not null")
+    h = h.select("request_id", F.col("ref_id").alias("hotel_id"), "room_type_id", "meal_plan", "check_in", F.date_add("check_in", F.coalesce("nights", F.lit(1))).alias("check_out"),
+                 default_rooms("adults", "extra_beds", "children_with_bed", "children_without_bed").alias("rooms"), F.lit(True).alias("prefer_net"), F.lit(0).cast("decimal(6,2)").alias("markup_pct"))
+    stay = price_stays(h, *library).select("request_id", F.col("cost").cast("decimal(14,2)").alias("unit"), "currency", "errors").withColumn("auto_quantity", F.lit(1))
+
+    s = services.select(F.col("id").alias("ref_id"), "basis", "pax_max", F.col("amount").cast("decimal(14,2)").alias("unit"), F.col("currency").alias("s_currency"))
+    v = j.filter("kind = 'service'").withColumn("kids", F.col("children_with_bed") + F.col("children_without_bed")).join(s, "ref_id")
+    v = v.select("request_id", "unit", F.col("s_currency").alias("currency"), none.alias("errors"), service_quantity("basis", "pax_max", "adults", "kids").cast("int").alias("auto_quantity"))
+
+    new = got.unionByName(stay).unionByName(v).withColumnRenamed("currency", "new_currency")
+    out = j.join(new, "request_id", "left")
+    custom, manual = F.col("kind") == "custom", F.col("manual_unit").isNotNull()
+    unit = F.when(custom, F.col("amount") / F.nullif(F.col("quantity"), F.lit(0))).otherwise(F.coalesce("manual_unit", "unit"))
+    quantity = F.when(custom, F.col("quantity")).otherwise(F.coalesce("set_quantity", "auto_quantity", F.lit(1)))
+    amount = F.when(custom, F.col("amount")).otherwise(unit * quantity)
+    failed = F.when((F.col("kind") == "hotel") & F.col("unit").isNull() & F.col("start_date").isNull(), F.array(F.lit("Set the trip start date (or a check-in date) to price a hotel")))
+    return out.select(
+        "trip_id", "id", "kind", quantity.cast("decimal(10,2)").alias("quantity"), F.round(unit, 2).alias("unit_amount"), F.round(amount, 2).alias("amount"),
+        F.when(custom, F.col("currency")).otherwise(F.coalesce("new_currency", "own_currency")).alias("currency"), manual.alias("manual"), F.coalesce(failed, "errors", none).alias("errors"),
+    )

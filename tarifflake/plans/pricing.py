@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import packages, stays
+from ..operators.trips import service_quantity
 from .registry import query
 from .scalars import DOW_SQL, KEY_SQL
 
@@ -249,18 +250,6 @@ def u05(lib):
     return r.groupBy("package_id").agg(F.array_join(text, ", ").alias("ranges"))
 
 
-def service_quantity(basis, seats, adults, children):
-    pax = F.col(adults) + F.col(children)
-    s = F.coalesce(F.col(seats), F.lit(0))
-    return (
-        F.when(F.col(basis) == "per_vehicle", F.when(s > 0, F.ceil(pax / s)).otherwise(1))
-        .when(F.col(basis) == "per_adult", F.col(adults))
-        .when(F.col(basis) == "per_child", F.col(children))
-        .when(F.col(basis).isin("per_group", "unknown"), 1)
-        .otherwise(pax)
-    )
-
-
 @query(
     "s14_service_quantity",
     """select i.trip_id, i.id, case s.basis when 'per_vehicle' then case when coalesce(pax_max, 0) > 0 then cast(ceil((adults + children_with_bed + children_without_bed) / pax_max) as bigint) else 1 end

@@ -460,8 +460,7 @@ def c36(lib):
     ["b_item", "b_trip", "b_service"],
 )
 def c23(lib):
-    from .pricing import service_quantity
-
+    service_quantity = trips.service_quantity
     t = lib.b_trip.select(F.col("id").alias("trip_id"), "adults", (F.col("children_with_bed") + F.col("children_without_bed")).alias("children"), "start_date")
     s = lib.b_service.select(F.col("id").alias("ref_id"), "basis", "pax_max", F.col("amount").alias("unit"), "amount_max", F.col("currency").alias("s_currency"), "valid_from", "valid_to")
     j = lib.b_item.filter("kind = 'service'").select("trip_id", "id", "ref_id", "day_position").join(s, "ref_id").join(t, "trip_id")
@@ -519,3 +518,35 @@ def s22(lib):
     west = F.regexp_replace(money.grouped_amount("sell", F.lit(None).cast("string")), "^ ", "")
     p = tt(lib).select("trip_id", F.lit(4).alias("section"), none, F.concat(F.lit("*Package cost: "), "currency", F.lit(" "), west, F.lit("*")).alias("line"))
     return a.unionByName(b).unionByName(c).unionByName(n).unionByName(p)
+
+
+def item_inputs(lib):
+    """Cost lines with the inputs they were priced with: hotels take their first room, dear lines were negotiated."""
+    i = lib.b_item
+    return i.select(
+        "trip_id", "id", "kind", "ref_id", "day_position", "quantity", "amount", "currency",
+        F.lit(None).cast("string").alias("category"), (F.col("ref_id") * 2).alias("room_type_id"), F.lit("CP").alias("meal_plan"), F.lit(1).alias("nights"),
+        F.lit(None).cast("int").alias("set_quantity"), F.when((F.col("kind") != "custom") & (F.col("amount") > 90000), F.col("amount")).cast("decimal(14,2)").alias("manual_unit"),
+    )
+
+
+@query(
+    "c23_reprice_trips",
+    """with s as (select i.trip_id, i.id, i.amount, i.quantity, i.currency, i.kind, x.amount as u, x.currency as xc, cast(case x.basis when 'per_vehicle' then case when coalesce(pax_max, 0) > 0 then ceil((adults + children_with_bed + children_without_bed) / pax_max) else 1 end
+        when 'per_adult' then adults when 'per_child' then children_with_bed + children_without_bed when 'per_group' then 1 when 'unknown' then 1 else adults + children_with_bed + children_without_bed end as bigint) as q
+      from b_item i join b_trip t on t.id = i.trip_id left join b_service x on x.id = i.ref_id and i.kind = 'service')
+      select trip_id, id, kind, cast(amount as double) as amount, currency from s where kind = 'custom'
+      union all select trip_id, id, kind, cast(case when amount > 90000 then amount * q else u * q end as double), xc from s where kind = 'service'""",
+    ["b_item", "b_trip", "b_service"],
+)
+def c23_all(lib):
+    """All lines are repriced; custom and service lines are compared here, package and stay prices have their own
+    checks."""
+    out = trips.reprice(item_inputs(lib), lib.b_trip, lib.b_price, lib.b_service, (lib.b_rate, lib.b_surcharge, lib.b_room, lib.b_hotel))
+    return out.filter("kind in ('custom', 'service')").select("trip_id", "id", "kind", "amount", "currency")
+
+
+@query("c23_reprice_packages_and_hotels")
+def c23_rest(lib):
+    out = trips.reprice(item_inputs(lib), lib.b_trip, lib.b_price, lib.b_service, (lib.b_rate, lib.b_surcharge, lib.b_room, lib.b_hotel))
+    return out.filter("kind in ('package', 'hotel')").select("trip_id", "id", "kind", "quantity", "unit_amount", "amount", "currency", "manual", F.array_join("errors", "; ").alias("errors"))
