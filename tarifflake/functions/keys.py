@@ -27,6 +27,10 @@ EDITION_WORDS = [
     "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
 ]
 
+# What years and night or day counts, versions and ordinals look like in a title.
+YEARS = r"\b(19|20)\d{2}(\s*\d{2,4})?\b"
+COUNTS = r"\b\d+\s*n\s*\d+\s*d\b|\b\d+\s*[nd]\b|\bv\d+\b|\b\d+(st|nd|rd|th)?\b"
+
 # Order of occupancies on a rate card.
 OCCUPANCY_ORDER = ["single", "double", "triple", "extra_adult", "child_with_bed", "child_without_bed", "per_person"]
 
@@ -52,8 +56,7 @@ def core_title(title, base_name=None) -> Column:
     """A package title without years, night/day counts, ordinals and edition words."""
     base = F.nullif(F.trim(col(base_name)), F.lit("")) if base_name is not None else F.lit(None).cast("string")
     k = name_key(F.coalesce(base, col(title)))
-    k = F.regexp_replace(k, r"\b(19|20)\d{2}(\s*\d{2,4})?\b", " ")
-    k = F.regexp_replace(k, r"\b\d+\s*n\s*\d+\s*d\b|\b\d+\s*[nd]\b|\bv\d+\b|\b\d+(st|nd|rd|th)?\b", " ")
+    k = F.regexp_replace(F.regexp_replace(k, YEARS, " "), COUNTS, " ")
     stop = F.array(*[F.lit(w) for w in EDITION_WORDS])
     words = F.filter(F.split(F.trim(F.regexp_replace(k, " +", " ")), " "), lambda w: (w != "") & ~F.array_contains(stop, w))
     return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(name_key(title))

@@ -44,7 +44,7 @@ def st2(lib):
 
 def spark_view(lib, events):
     e = events.select(
-        F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.floor(F.col("value") * 100).cast("bigint").alias("input_tokens"),
+        F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("at"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.floor(F.col("value") * 100).cast("bigint").alias("input_tokens"),
         F.floor(F.col("value") * 10).cast("bigint").alias("output_tokens"), F.when(F.col("user_id") % 5 > 0, F.col("value").cast("decimal(12,4)")).alias("cost"),
     )
     return e

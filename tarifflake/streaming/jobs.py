@@ -17,12 +17,12 @@ from ..sources.schemas import EXTRACTION
 
 
 def daily_usage(calls: DataFrame, late: str = "1 day") -> DataFrame:
-    """Calls and tokens per day and model; rows later than ``late`` are dropped. ``calls`` has an event time ``at``."""
+    """Calls and tokens per day (UTC) and model; rows later than ``late`` are dropped. ``calls`` has an event time ``at``."""
     return (
         calls.withWatermark("at", late)
         .groupBy(F.window("at", "1 day").alias("w"), "model")
         .agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"))
-        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "model", "calls", "input_tokens", "output_tokens", "cost")
+        .select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("w.start") / 86400).cast("int")).cast("string").alias("day"), "model", "calls", "input_tokens", "output_tokens", "cost")
     )
 
 
