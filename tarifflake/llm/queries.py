@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints
+from . import fingerprints, mixing
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_source_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_figures(table(spark, sf_dir, "documents"))
