@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality
+from . import fingerprints, mixing, quality, tokens
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_source_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_figures(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = tokens.write_token_files(table(spark, sf_dir, "documents"), lambda: tokens.encoder(path))
+    return tokens.read_token_files(files)
