@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality, tokens
+from . import fingerprints, mixing, pieces, quality, tokens
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), labels)
 
 
+@query("op6_pieces")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encoded(table(spark, sf_dir, "documents"), lambda: pieces.encoder(path))
+
+
 @query("op7_source_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_figures(table(spark, sf_dir, "documents"))
