@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, fingerprints, mixing, pieces, quality, tokens
+from . import archives, fingerprints, mixing, pieces, quality, tokens, topk
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), labels)
 
 
+OP5_SQL = """
+with rows as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) as bigint) as score
+    from rows q, rows d where q.vec_id % 50 = 0 and d.vec_id <> q.vec_id
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op5_top_vectors", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_pieces")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
