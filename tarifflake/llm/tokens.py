@@ -75,11 +75,26 @@ class WordEncoder:
     """Ids of texts as bytes (little-endian, 32 bits): words between plain white space, at which this kind of tokenizer
     always cuts and which it drops, are encoded once and remembered in a table of bounded size."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark_id, self.mark = next(((i, t.content) for i, t in added.items()), (None, None))
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words many at a time, with an added token of the tokenizer between them: texts are cut there before
+        anything else happens to them. Words that could hold a part of it are encoded alone."""
+        plain = [w for w in words if self.mark is not None and self.mark[0] not in w and self.mark[-1] not in w]
+        for lo in range(0, len(plain), 256):
+            part = plain[lo : lo + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, data = (4 * np.flatnonzero(ids == self.mark_id)).tolist(), ids.tobytes()
+            for w, a, b in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(data)]):
+                self.known[w] = data[a:b]
+        for w in set(words).difference(plain):
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
@@ -87,10 +102,7 @@ class WordEncoder:
         if len(self.known) + len(new) > self.limit:
             self.known = {"": b""}
             new = [w for w in set().union(*cut) if w]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
