@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, extraction, fingerprints, mixing, pieces, quality, tokens, topk
+from . import archives, extraction, fingerprints, mixing, neardup, pieces, quality, tokens, topk
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op2_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_warc_packages")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read_packages(archives.write_packages(table(spark, sf_dir, "pages")))
