@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, extraction, fingerprints, mixing, neardup, pieces, quality, tokens, topk
+from . import archives, extraction, fingerprints, mixing, neardup, pieces, quality, substrings, tokens, topk
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_figures(table(spark, sf_dir, "documents"))
 
 
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op9_token_files")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
