@@ -139,12 +139,13 @@ def mixed_documents(docs: DataFrame, block: int = 64, shard_slots: int = 1024, s
     same = Window.partitionBy("doc_id", "source", "__h").orderBy("__h")
     held = pieces(rows, block, shard_slots, seed).filter("n > 0").groupBy("source_no", "uid", "pass").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("parts"))
     twin = rows.select("source_no", "uid", "doc_id", "source", "__h", F.row_number().over(same).alias("__twin"))
-    held = held.join(twin, ["source_no", "uid"]).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__h").alias("__g"), F.col("__twin").alias("__t"), "n", "size", "parts")
+    held = held.join(twin, ["source_no", "uid"]).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__h").alias("__g"), F.col("__twin").alias("__t"), F.col("n").alias("__n"), F.col("size").alias("__size"), F.col("parts").alias("__parts"))
     texts = docs.withColumn("__h", F.xxhash64("text")).withColumn("__twin", F.row_number().over(same))
     match = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__h") == F.col("__g")) & (F.col("__twin") == F.col("__t"))
     out = texts.join(held, match)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("__words"), (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    out = out.withColumn("__words", F.when(F.col("n") < F.col("size"), words)).withColumn("text", F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(some))
+    some = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__words"), (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    whole = F.col("__n") == F.col("__size")
+    out = out.withColumn("__words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
     changed = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(changed).select(*docs.columns)

@@ -165,8 +165,13 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def encoded(docs: DataFrame, make: Callable[[], PieceEncoder], with_ids: bool = False) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``; ``with_ids`` adds the ids and the decoded text."""
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def encoded(docs: DataFrame, make: Callable[[], PieceEncoder]) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = make()
@@ -174,16 +179,31 @@ def encoded(docs: DataFrame, make: Callable[[], PieceEncoder], with_ids: bool =
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 ids = enc.encode([t or "" for t in part.column("text").to_pylist()])
-                decoded = [enc.decode(x) for x in ids]
                 columns = {
                     "doc_id": part.column("doc_id"),
                     "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids], pa.string()),
                 }
-                if with_ids:
-                    columns |= {"ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def with_ids(docs: DataFrame, make: Callable[[], PieceEncoder]) -> DataFrame:
+    """``docs`` with the text that its ids decode to (``text``), their number (``n_tokens``) and the ids (``ids``);
+    columns of these names are replaced."""
+    docs = docs.drop("n_tokens", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = make()
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                ids = enc.encode([t or "" for t in part.column("text").to_pylist()])
+                columns = [pa.array([enc.decode(x) for x in ids], pa.string()) if c == "text" else part.column(c) for c in part.schema.names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), _lists(ids)], [*part.schema.names, "n_tokens", "ids"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, n_tokens bigint, ids array<int>")

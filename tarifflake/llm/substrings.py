@@ -281,11 +281,11 @@ def trimmed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [_kept(t.encode(), r, length)[0].decode("utf-8", "ignore") if t else t for t, r in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "ranges"], [c for c in b.schema.names if c != "ranges"])
+            texts = [_kept(t.encode(), r, length)[0].decode("utf-8", "ignore") if t else t for t, r in zip(b.column("text").to_pylist(), b.column("__ranges").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "__ranges"], [c for c in b.schema.names if c != "__ranges"])
 
-    ranges = repeated_starts(docs, length).groupBy("h").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    ranges = repeated_starts(docs, length).groupBy("h").agg(F.collect_list(F.struct("lo", "n")).alias("__ranges"))
     hashed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = hashed.join(ranges.withColumnRenamed("h", "__h"), "__h", "left").select(*docs.columns, "ranges")
+    rows = hashed.join(ranges.withColumnRenamed("h", "__h"), "__h", "left").select(*docs.columns, "__ranges")
     out = rows.mapInArrow(run, docs.schema).filter("text <> ''")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
