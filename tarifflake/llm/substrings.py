@@ -32,8 +32,8 @@ from .minhash import mix
 from .shared import partitions, saved
 from .suffixes import Suffixes, repeated
 
-LENGTH, GRAM, MOST = 200, 24, 256
-BATCH_BYTES = 4 << 20
+LENGTH, GRAM, MOST = 200, 24, 32_768
+BATCH_BYTES = 1 << 20
 _PLACE_BITS = 28
 
 
@@ -90,6 +90,13 @@ def runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     return owner, first - begins[owner], n, grams[anchor[first]].view(np.int64), segment.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches, so that few texts are held as Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _once(b: pa.RecordBatch, seen: set) -> pa.RecordBatch:
     """The rows of a batch whose hash this task hasn't met."""
     keep = []
@@ -108,7 +115,7 @@ def text_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             b = _once(b, seen)
             texts, hashes = b.column("raw").to_pylist(), b.column("h").to_numpy(zero_copy_only=False)
             for x, y in _chunks(texts):
@@ -124,7 +131,7 @@ def _packed(docs: DataFrame, once: bool, extra: tuple = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in _slices(batches):
             b = _once(b, seen) if once else b
             names = b.schema.names
             packed = pa.array([squeeze.compress(t) for t in b.column("raw").to_pylist()], pa.binary())
@@ -143,7 +150,7 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
     of its string, without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for h, packed, wanted in zip(*(b.column(c).to_pylist() for c in ("h", "raw", "wanted"))):
                 text = _unpack(packed)
@@ -195,7 +202,7 @@ def _decide(length: int, gram: int) -> Callable:
 
         groups, held, key, found = [], 0, None, []
         before = None  # the last single start: key, its row, whether it is out already
-        for b in batches:
+        for b in _slices(batches):
             for k, single, h, lo, n, is_open, segment in zip(*(b.column(c).to_pylist() for c in ("key", "single", "h", "lo", "n", "open", "segment"))):
                 if single:
                     if before is not None and before[0] == k:
@@ -259,7 +266,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for packed, ranges in zip(b.column("raw").to_pylist(), b.column("ranges").to_pylist()):
                 text = _unpack(packed)
@@ -280,7 +287,7 @@ def trimmed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     nothing is left go. ``n_chars``, where there is one, follows the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             texts = [_kept(t.encode(), r, length)[0].decode("utf-8", "ignore") if t else t for t, r in zip(b.column("text").to_pylist(), b.column("__ranges").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "__ranges"], [c for c in b.schema.names if c != "__ranges"])
 

@@ -117,24 +117,29 @@ class Suffixes:
         return out
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, keys: np.ndarray, depth: int, prefix: int) -> np.ndarray:
+def repeated(data: np.ndarray, starts: np.ndarray, keys: np.ndarray, depth: int, prefix: int, at_once: int = 1_000_000) -> np.ndarray:
     """Which of ``starts`` begin a string of ``depth`` bytes that also begins at another start with an equal key. Suffixes
     that share key and the hash of ``prefix`` bytes are sorted; neighbours with a common extension of ``depth`` count
-    after their bytes are compared. If a hash collided, all is done again with another base."""
+    after their bytes are compared. Many starts are sorted in slices of that hash. If a hash collided, all is done again
+    with another base."""
     for seed in range(1, 9):
         s = Suffixes(data, seed)
         group = mix(s.hashes(starts, prefix) ^ mix(keys))
-        by_group = np.argsort(group, kind="stable")
-        ordered = group[by_group]
-        same = np.concatenate([[False], ordered[1:] == ordered[:-1], [False]])
-        by_group = by_group[same[1:] | same[:-1]]
-        at, g = starts[by_group], group[by_group]
-        at = s.sort(at, g, depth)
-        pairs = np.flatnonzero(g[1:] == g[:-1])
-        hit = pairs[s.common(at[pairs], at[pairs + 1], depth) >= depth]
-        if s.equal(at[hit], at[hit + 1], depth).all():
-            found = np.zeros(len(data) + 1, bool)
+        slices = 1 + len(starts) // at_once
+        found, sound = np.zeros(len(data) + 1, bool), True
+        for k in range(slices):
+            own = np.flatnonzero(group % np.uint64(slices) == k) if slices > 1 else np.arange(len(starts))
+            by_group = own[np.argsort(group[own], kind="stable")]
+            ordered = group[by_group]
+            same = np.concatenate([[False], ordered[1:] == ordered[:-1], [False]])
+            by_group = by_group[same[1:] | same[:-1]]
+            at, g = starts[by_group], group[by_group]
+            at = s.sort(at, g, depth)
+            pairs = np.flatnonzero(g[1:] == g[:-1])
+            hit = pairs[s.common(at[pairs], at[pairs + 1], depth) >= depth]
+            sound = sound and bool(s.equal(at[hit], at[hit + 1], depth).all())
             found[at[hit]] = True
             found[at[hit + 1]] = True
+        if sound:
             return found[starts]
     raise RuntimeError("hashes collide for every base")
