@@ -1,9 +1,8 @@
 """The exact rate ledger: every row the library ever held, with dates, status and links, and what each line did.
 
 Each rate key is a small state machine: its live rates (never overlapping, so at most one per day) and, of the past,
-one remembered row per distinct date range and season. Lines are folded into it in approval order. Keys are folded
-in parallel and in chunks of bounded size, with the state carried between chunks as a table: a key with a huge
-number of lines takes more rounds, never a bigger task.
+one remembered row per distinct date range and season. Lines are folded into it in approval order, keys in parallel.
+What a line does depends on all before it, so one key is one sequence by nature; it is read as a stream.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.grouping import numbered
-from ..session import stage
 from .ledger import keyed
 
 ONE = dt.timedelta(days=1)
@@ -49,89 +46,91 @@ OUT = T.StructType(
 COLUMNS = OUT.fieldNames()
 
 
-def _year_later(d: dt.date) -> dt.date:
-    try:
-        return d.replace(year=d.year + 1)
-    except ValueError:
-        return d.replace(year=d.year + 1, day=28)
-
-
 def _season(s) -> str:
     return " ".join(re.sub(r"[^a-z0-9 ]+", " ", (s or "").lower()).split())
 
 
-def _shared(a, b, c, d) -> int:
-    return max(0, (min(b, d) - max(a, c)).days + 1)
+def _a_year_on(d: dt.date) -> dt.date:
+    return d.replace(year=d.year + 1, day=min(d.day, 28) if d.month == 2 else d.day)
 
 
-def _previous(rows: list[dict], new: dict):
-    """(earlier row, rule): overlapping (live first, most days), same season, a year earlier."""
-    f, t = new["valid_from"], new["valid_to"]
-    over = [r for r in rows if _shared(r["valid_from"], r["valid_to"], f, t)]
-    if over:
-        return max(over, key=lambda r: (r["kind"] == "live", _shared(r["valid_from"], r["valid_to"], f, t), r["seq"], r["id"])), 3
-    ended = [r for r in rows if r["valid_to"] < f]
-    same = [r for r in ended if _season(new["season_name"]) and _season(r["season_name"]) == _season(new["season_name"])]
-    if same:
-        return max(same, key=lambda r: (r["valid_to"], r["seq"], r["id"])), 2
-    later = [(r, _shared(_year_later(r["valid_from"]), _year_later(r["valid_to"]), f, t)) for r in ended]
-    later = [x for x in later if x[1]]
-    return (max(later, key=lambda x: (x[1], x[0]["seq"], x[0]["id"]))[0], 1) if later else (None, 0)
+def closeness(row: dict, new: dict) -> tuple | None:
+    """How near an earlier row stands to a new line, as a tuple to compare: the rule that joins them (3 shared dates,
+    2 the same season, ended before, 1 shared dates after a year), then what that rule prefers. None: unrelated."""
+
+    def days(start: dt.date, end: dt.date) -> int:
+        return (min(end, new["valid_to"]) - max(start, new["valid_from"])).days + 1
+
+    newest = (row["seq"], row["id"])
+    if (shared := days(row["valid_from"], row["valid_to"])) > 0:
+        return (3, row["kind"] == "live", shared, *newest)
+    if row["valid_to"] >= new["valid_from"]:
+        return None
+    if _season(row["season_name"]) and _season(row["season_name"]) == _season(new["season_name"]):
+        return (2, False, row["valid_to"].toordinal(), *newest)
+    again = days(_a_year_on(row["valid_from"]), _a_year_on(row["valid_to"]))
+    return (1, False, again, *newest) if again > 0 else None
+
+
+def stretches(row: dict, f: dt.date, t: dt.date) -> list[tuple[dt.date, dt.date]]:
+    """What is left of a row's dates without f..t."""
+    parts = [(row["valid_from"], min(row["valid_to"], f - ONE)), (max(row["valid_from"], t + ONE), row["valid_to"])]
+    return [(a, b) for a, b in parts if a <= b]
+
+
+def _terms(row: dict) -> list:
+    return [row[c] for c in TERM]
 
 
 def apply_line(live: list[dict], past: dict, new: dict, out: list[dict]) -> list[dict]:
-    """Folds one line into a key's state; appends closed rows and the change to ``out``; returns the live rows."""
+    """Folds one line into a key's state; appends closed rows and the change to ``out``; returns the live rows. Rows of
+    the line's own sheet are left alone."""
     f, t = new["valid_from"], new["valid_to"]
-    terms = [new[c] for c in TERM]
-    touching = [r for r in live if r["valid_from"] <= t and f <= r["valid_to"]]
-    if any([r[c] for c in TERM] == terms and r["valid_from"] <= f and r["valid_to"] >= t for r in touching):
+    others = [r for r in live if r["document_id"] != new["document_id"]]
+    if any(_terms(r) == _terms(new) and r["valid_from"] <= f and t <= r["valid_to"] for r in others):
         out.append({**new, "kind": "change", "change": "same"})
         return live
-    prev, rule = _previous(live + list(past.values()), new)
+    earlier = [*others, *(r for r in past.values() if r["document_id"] != new["document_id"])]
+    score, prev = max(((c, r) for r in earlier if (c := closeness(r, new))), key=lambda x: x[0], default=(None, None))
     kind = "new"
-    if rule == 3:
-        kind = "extended" if [prev[c] for c in TERM] == terms else ("up" if new["amount"] > prev["amount"] else "down")
-    elif rule:
-        kind = "new_season"
     if prev is not None:
+        moved = "extended" if _terms(prev) == _terms(new) else ("up" if new["amount"] > prev["amount"] else "down")
+        kind = moved if score[0] == 3 else "new_season"
         pct = (new["amount"] - prev["amount"]) * 100 / prev["amount"] if prev["amount"] else None
         new = {**new, "previous_rate_id": prev["id"], "change_pct": None if pct is None else Decimal(pct).quantize(Decimal("0.1"), ROUND_HALF_UP)}
-    kept = [r for r in live if r not in touching]
-    for r in touching:
-        before, after = r["valid_from"] < f, r["valid_to"] > t
-        if before:
-            kept.append({**r, "valid_to": f - ONE, "pieces": r["pieces"] + (1 if after else 0)})
-        if after:
-            # a split keeps the id on the earlier part; the later part is a numbered copy
-            n = r["pieces"] + 1
-            kept.append({**r, "valid_from": t + ONE, "id": f"{r['id']}/{n}", "pieces": 0} if before else {**r, "valid_from": t + ONE})
-        if not before and not after:
+    kept = []
+    for r in live:
+        if r["document_id"] == new["document_id"] or r["valid_to"] < f or t < r["valid_from"]:
+            kept.append(r)
+            continue
+        left = stretches(r, f, t)
+        if not left:
             closed = {**r, "kind": "closed", "replaced_by": new["document_id"]}
             out.append(closed)
             past[(r["valid_from"], r["valid_to"], _season(r["season_name"]))] = {**closed, "kind": "past"}
+        # the first stretch keeps the id; a second one is a numbered copy
+        for i, (a, b) in enumerate(left):
+            number = r["pieces"] + len(left) - 1
+            own = {"id": f"{r['id']}/{number}", "pieces": 0} if i else {"pieces": number}
+            kept.append({**r, "valid_from": a, "valid_to": b, **own})
     out.append({**new, "kind": "change", "change": kind})
     kept.append({**new, "kind": "live", "pieces": 0})
     return kept
 
 
 def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition sorted by key, remembered rows before new lines: closed rows, changes and new state out. Only one
-    key's state is held at a time."""
+    """A partition sorted by key and approval: closed rows, changes and, at a key's end, its live rows. Lines are read as
+    a stream, so a key with very many lines takes long, but never more memory than its calendar."""
     key, live, past = None, [], {}
     for b in batches:
         out: list[dict] = []
         for r in _records(b):
             if r["rate_key"] != key:
-                out += live + list(past.values())
+                out += live
                 key, live, past = r["rate_key"], [], {}
-            if r["kind"] == "live":
-                live.append(r)
-            elif r["kind"] == "past":
-                past[(r["valid_from"], r["valid_to"], _season(r["season_name"]))] = r
-            else:
-                live = apply_line(live, past, r, out)
+            live = apply_line(live, past, r, out)
         yield _frame(out)
-    yield _frame(live + list(past.values()))
+    yield _frame(live)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -160,24 +159,11 @@ def as_lines(lines: DataFrame) -> DataFrame:
     return k.select(*[have[f.name].cast(f.dataType).alias(f.name) if f.name in have else (F.col(f.name).cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name)) for f in OUT])
 
 
-def rebuild(lines: DataFrame, chunk: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows with status, change rows) of all sheets, from nothing. ``lines`` has one line per sheet and key."""
-    rows = as_lines(lines)
-    sizes = rows.groupBy("rate_key").agg(F.count(F.lit(1)).alias("n"))
-    rounds = -(-int(sizes.agg(F.max("n")).first()[0] or 0) // chunk)
-    if rounds > 1:
-        rows = stage(numbered(rows, ["rate_key"], F.floor(F.col("seq") / (1 << 44)), [F.col("seq")], "rn"))
-    state = every = None
-    for i in range(max(rounds, 1)):
-        part = rows if rounds <= 1 else rows.filter((F.col("rn") > i * chunk) & (F.col("rn") <= (i + 1) * chunk))
-        part = part.select(*COLUMNS)
-        both = part if state is None else part.unionByName(state)
-        res = both.repartition("rate_key").sortWithinPartitions("rate_key", F.col("kind") == "line", "seq").mapInPandas(fold, OUT)
-        if rounds > 1:
-            res = stage(res)
-        final = res if i == rounds - 1 or rounds <= 1 else res.filter("kind in ('closed', 'change')")
-        every = final if every is None else every.unionByName(final)
-        state = res.filter("kind in ('live', 'past')")
+def rebuild(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows with status, change rows) of all sheets, from nothing. ``lines`` are the loaded lines; those of a
+    sheet come by date."""
+    order = ["rate_key", "seq", "valid_from", "id"]
+    every = as_lines(lines).repartition("rate_key").sortWithinPartitions(*order).mapInPandas(fold, OUT)
     status = F.when(F.col("kind") == "live", "active").otherwise("superseded").alias("status")
     ledger = every.filter("kind in ('live', 'closed')").select(status, *[c for c in COLUMNS if c not in ("kind", "change", "pieces")])
     return ledger, every.filter("kind = 'change'").select("rate_key", "id", "document_id", "seq", "amount", "change", "previous_rate_id", "change_pct")

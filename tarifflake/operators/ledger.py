@@ -26,21 +26,33 @@ def keyed(df: DataFrame, parts: list[str] = KEY) -> DataFrame:
     return df.withColumn("rate_key", rate_key(parts))
 
 
-def one_line_per_sheet(lines: DataFrame) -> DataFrame:
-    """The first line of each rate key in a sheet (by start date, then line number)."""
-    return first_by(keyed(lines), ["document_id", "rate_key"], [F.col("valid_from"), F.col("line_no")])
+def loaded_lines(lines: DataFrame) -> DataFrame:
+    """The lines that a sheet brings into the library, with their key: all of them but those that overlap an earlier line
+    of the same sheet and key, which repeat it or conflict with it."""
+    before = Window.partitionBy("document_id", "rate_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.collect_list(F.struct("valid_from", "valid_to")).over(before)
+    meets = F.exists("__seen", lambda o: overlaps(o["valid_from"], o["valid_to"], F.col("valid_from"), F.col("valid_to")))
+    return keyed(lines).withColumn("__seen", seen).filter(~meets).drop("__seen")
+
+
+def month_pieces(rows: DataFrame) -> DataFrame:
+    """Each row once per month that its dates touch, cut at the month's edges: what meets in a month is bounded by the
+    calendar."""
+    first = F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("interval 1 month"))).alias("month")
+    cut = rows.select("*", first)
+    return cut.withColumn("valid_from", F.greatest("valid_from", "month")).withColumn("valid_to", F.least("valid_to", F.last_day("month")))
 
 
 def newest_per_interval(rows: DataFrame) -> DataFrame:
-    """One row per key and date range: on every one of its days the newest sheet hides the older ones."""
-    return first_by(rows, ["rate_key", "valid_from", "valid_to"], [F.col("approval_seq")], latest=True)
+    """One row per key, month and date range: on every one of its days the newest sheet hides the older ones."""
+    return first_by(rows, ["rate_key", "month", "valid_from", "valid_to"], [F.col("approval_seq")], latest=True)
 
 
-def day_segments(intervals: DataFrame, key: str = "rate_key") -> DataFrame:
+def day_segments(intervals: DataFrame, keys: list[str] = ["rate_key"]) -> DataFrame:  # noqa: B006
     """The stretches between consecutive interval edges of each key."""
     edge = F.explode(F.array(F.col("valid_from"), F.date_add("valid_to", 1))).alias("seg_from")
-    edges = intervals.select(key, edge).distinct()
-    nxt = F.lead("seg_from").over(Window.partitionBy(key).orderBy("seg_from"))
+    edges = intervals.select(*keys, edge).distinct()
+    nxt = F.lead("seg_from").over(Window.partitionBy(*keys).orderBy("seg_from"))
     return edges.withColumn("seg_to", F.date_sub(nxt, 1)).filter("seg_to is not null")
 
 
@@ -59,12 +71,13 @@ def merge_adjacent(segments: DataFrame, same: list[str], key: str = "rate_key")
 
 def live_rates(lines: DataFrame) -> DataFrame:
     """The whole library as of its last sheet: per key, each day carries the newest sheet that covers it, and days
-    with equal terms in a row are one rate."""
+    with equal terms in a row are one rate. Days are settled per key and month, so a key that holds a large share of all
+    lines is worked on in many parts; only its settled stretches meet."""
     parts = [*KEY, *TERMS]
-    rows = newest_per_interval(one_line_per_sheet(lines)).select("rate_key", *parts, "valid_from", "valid_to", "approval_seq").repartition("rate_key")
-    seg = day_segments(rows).withColumnRenamed("rate_key", "seg_key")
-    hit = (F.col("rate_key") == F.col("seg_key")) & F.col("seg_from").between(F.col("valid_from"), F.col("valid_to"))
-    covered = first_by(rows.join(seg, hit), ["rate_key", "seg_from"], [F.col("approval_seq")], latest=True)
+    rows = newest_per_interval(month_pieces(loaded_lines(lines).select("rate_key", *parts, "valid_from", "valid_to", "approval_seq")))
+    seg = day_segments(rows, ["rate_key", "month"]).withColumnsRenamed({"rate_key": "seg_key", "month": "seg_month"})
+    hit = (F.col("rate_key") == F.col("seg_key")) & (F.col("month") == F.col("seg_month")) & F.col("seg_from").between(F.col("valid_from"), F.col("valid_to"))
+    covered = first_by(rows.join(seg, hit), ["rate_key", "month", "seg_from"], [F.col("approval_seq")], latest=True)
     merged = merge_adjacent(covered.select("rate_key", "seg_from", "seg_to", *parts), parts)
     return merged.select(*[f"v.{p}" for p in parts], "valid_from", "valid_to")
 
@@ -90,7 +103,7 @@ def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
     wanted = inc.select("rate_key").distinct()
     old = first_by(
         keyed(library).join(wanted, "rate_key", "left_semi").withColumn("season", season),
-        ["rate_key", "valid_from", "valid_to", "season", "status", *TERMS], [F.col("approval_seq")], latest=True,
+        ["rate_key", "valid_from", "valid_to", "season", "status", *TERMS], [F.col("approval_seq"), F.col("id")], latest=True,
     ).alias("o")
     live = F.col("o.status") == "active"
     shared = overlap_days("o.valid_from", "o.valid_to", "n.valid_from", "n.valid_to")
@@ -98,9 +111,9 @@ def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
     ended = F.col("o.valid_to") < F.col("n.valid_from")
     one_season = (F.col("o.season") == F.col("n.season")) & (F.col("n.season") != "")
     rank = (
-        F.when(shared > 0, F.struct(F.lit(3).alias("rule"), live.cast("int").alias("a"), shared.alias("b"), F.col("o.approval_seq").alias("c")))
-        .when(ended & one_season, F.struct(F.lit(2).alias("rule"), F.lit(0).alias("a"), F.datediff("o.valid_to", F.lit("1970-01-01")).alias("b"), F.col("o.approval_seq").alias("c")))
-        .when(ended & (later > 0), F.struct(F.lit(1).alias("rule"), F.lit(0).alias("a"), later.alias("b"), F.col("o.approval_seq").alias("c")))
+        F.when(shared > 0, F.struct(F.lit(3).alias("rule"), live.cast("int").alias("a"), shared.alias("b"), F.col("o.approval_seq").alias("c"), F.col("o.id").alias("d")))
+        .when(ended & one_season, F.struct(F.lit(2).alias("rule"), F.lit(0).alias("a"), F.datediff("o.valid_to", F.lit("1970-01-01")).alias("b"), F.col("o.approval_seq").alias("c"), F.col("o.id").alias("d")))
+        .when(ended & (later > 0), F.struct(F.lit(1).alias("rule"), F.lit(0).alias("a"), later.alias("b"), F.col("o.approval_seq").alias("c"), F.col("o.id").alias("d")))
     )
     covering = live & _same_terms("o", "n") & (F.col("o.valid_from") <= F.col("n.valid_from")) & (F.col("o.valid_to") >= F.col("n.valid_to"))
     pairs = spans.join(old, F.col("n.rate_key") == F.col("o.rate_key")).select(

@@ -11,10 +11,12 @@ from .scalars import pct_sql
 
 RK = ("concat_ws('|', cast(room_type_id as varchar), meal_plan, occupancy, coalesce(weekdays, '-'), "
       "coalesce(cast(is_net as varchar), '-'))")
-ONE_LINE = f"""select * from (select *, {RK} as rate_key from b_line)
-  qualify row_number() over (partition by document_id, rate_key order by valid_from, line_no) = 1"""
+LOADED = f"""select a.*, {RK} as rate_key from b_line a where not exists (
+  select 1 from b_line b where b.document_id = a.document_id and b.line_no < a.line_no and a.valid_from <= b.valid_to and b.valid_from <= a.valid_to
+    and {RK.replace('room_type_id', 'b.room_type_id').replace('meal_plan', 'b.meal_plan').replace('occupancy', 'b.occupancy').replace('weekdays', 'b.weekdays').replace('is_net', 'b.is_net')}
+      = {RK.replace('room_type_id', 'a.room_type_id').replace('meal_plan', 'a.meal_plan').replace('occupancy', 'a.occupancy').replace('weekdays', 'a.weekdays').replace('is_net', 'a.is_net')})"""
 LIVE = f"""
- inc as ({ONE_LINE}),
+ inc as ({LOADED}),
  edges as (select rate_key, valid_from as b from inc union select rate_key, valid_to + 1 from inc),
  seg as (select rate_key, b as f, lead(b) over (partition by rate_key order by b) - 1 as t from edges),
  cov as (select seg.rate_key, f, t, room_type_id, meal_plan, occupancy, weekdays, is_net, amount, currency, basis, taxes_included
@@ -62,7 +64,7 @@ def w04(lib):
 
 CHG = f"""
  lib as (select r.*, {RK.replace('room_type_id', 'r.room_type_id')} as rate_key from b_rate r join b_document d on d.id = r.document_id where d.status = 'approved'),
- inc as (select x.* from ({ONE_LINE}) x join b_document d on d.id = x.document_id where d.status = 'needs_review'),
+ inc as (select x.* from ({LOADED}) x join b_document d on d.id = x.document_id where d.status = 'needs_review'),
  cand as (select n.document_id, n.line_no, o.id, o.amount as old_amount,
     o.amount = n.amount and o.currency = n.currency and o.basis = n.basis and o.taxes_included is not distinct from n.taxes_included as same_terms,
     o.status = 'active' as live, o.approval_seq as seq, o.valid_from <= n.valid_from and o.valid_to >= n.valid_to as contains,
@@ -74,7 +76,7 @@ CHG = f"""
  ranked as (select *, case when ov > 0 then 3 when ended and one_season then 2 when ended and ly > 0 then 1 end as rule from cand),
  prev as (select * from ranked where rule is not null
    qualify row_number() over (partition by document_id, line_no order by rule desc, case when rule = 3 then live else false end desc,
-     case rule when 3 then ov when 2 then old_to - date '1970-01-01' else ly end desc, seq desc) = 1),
+     case rule when 3 then ov when 2 then old_to - date '1970-01-01' else ly end desc, seq desc, id desc) = 1),
  chg as (select n.document_id, n.line_no, n.rate_key, n.amount, n.valid_from, n.valid_to,
     case when c.line_no is not null then 'same' when p.rule is null then 'new' when p.rule < 3 then 'new_season'
          when p.same_terms then 'extended' when n.amount > p.old_amount then 'up' else 'down' end as change,
@@ -95,7 +97,7 @@ def _library(lib):
 
 def _waiting(lib):
     todo = lib.b_document.filter("status = 'needs_review'").select(F.col("id").alias("document_id"))
-    return ledger.one_line_per_sheet(lib.b_line.join(todo, "document_id", "left_semi")).drop("rate_key")
+    return ledger.loaded_lines(lib.b_line.join(todo, "document_id", "left_semi")).drop("rate_key")
 
 
 def changes(lib):
@@ -257,7 +259,7 @@ def c12(lib):
 
 def undo(lines, documents):
     k = ledger.keyed(lines)
-    docs = F.broadcast(documents.limit(1000))
+    docs = documents.select("document_id").distinct()
     touched = k.join(docs, "document_id", "left_semi").select("rate_key").distinct()
     kept = k.join(touched, "rate_key", "left_semi").join(docs, "document_id", "left_anti").drop("rate_key")
     return ledger.live_rates(kept)
@@ -325,7 +327,7 @@ def c7b(lib):
     """The exact ledger's live rates, neighbours with equal terms joined: the same picture as the sweep's."""
     from ..operators import history
 
-    led, _ = history.rebuild(ledger.one_line_per_sheet(lib.b_line))
+    led, _ = history.rebuild(ledger.loaded_lines(lib.b_line))
     live = history.live_terms(led).withColumnsRenamed({"valid_from": "seg_from", "valid_to": "seg_to"})
     merged = ledger.merge_adjacent(live, ledger.TERMS)
     return merged.select("rate_key", *[f"v.{c}" for c in ledger.TERMS], "valid_from", "valid_to")
@@ -336,5 +338,5 @@ def c7b_rows(lib):
     """Every ledger row: live and superseded, with its link to the earlier rate."""
     from ..operators import history
 
-    led, _ = history.rebuild(ledger.one_line_per_sheet(lib.b_line))
+    led, _ = history.rebuild(ledger.loaded_lines(lib.b_line))
     return led.select("rate_key", "id", "status", "document_id", "amount", "valid_from", "valid_to", "replaced_by", "previous_rate_id", "change_pct")

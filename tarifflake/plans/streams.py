@@ -59,7 +59,7 @@ def st3(lib):
     """The live picture kept as streaming state, over the sheets written to a folder in approval order."""
     spark = lib.spark
     base = f"{checkpoint_dir(spark)}/lines_{uuid.uuid4().hex[:8]}"
-    lines = history.as_lines(ledger.one_line_per_sheet(lib.b_line))
+    lines = history.as_lines(ledger.loaded_lines(lib.b_line))
     lines.write.parquet(base)
     stream = spark.readStream.schema(lines.schema).parquet(base)
     rows = drain(jobs.rate_state(stream), "update", spark)

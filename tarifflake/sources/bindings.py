@@ -49,8 +49,9 @@ VIEWS: dict[str, str] = {
                cast(o_orderdate as date) as approved_on, {seq_o} as approval_seq
         from {orders}""",
     # lines of price sheets as they arrive, before the per-sheet check
+    # a sheet gives a rate for one or more periods; some lines are repeated in the same sheet, some with another amount
     "b_line": """
-        select l_orderkey as document_id, {seq_l} as approval_seq, {row} as line_no, l_suppkey as supplier_id,
+        select l_orderkey as document_id, {seq_l} as approval_seq, {row} + period as line_no, l_suppkey as supplier_id,
                cast(floor(l_partkey / 2) as bigint) as hotel_id, l_partkey as room_type_id,
                case l_returnflag when 'A' then 'CP' when 'N' then 'MAP' else 'AP' end as meal_plan,
                case l_linenumber when 4 then 'single' when 5 then 'extra_adult' when 6 then 'child_with_bed'
@@ -58,14 +59,16 @@ VIEWS: dict[str, str] = {
                case when l_discount >= 0.09 then 'fri,sat' end as weekdays,
                case when l_tax < 0.06 then true when l_tax < 0.08 then false end as is_net,
                case when l_suppkey % 7 = 0 then 'per_person_per_night' else 'per_room_per_night' end as basis,
-               cast(floor(l_extendedprice / 20000) * 1000 + 1000 as decimal(12,2)) as amount,
+               cast(floor(l_extendedprice / 20000) * 1000 + 1000 + case when period = 2 and l_partkey % 2 = 0 then 500 else 0 end
+                 as decimal(12,2)) as amount,
                case when l_suppkey % 20 = 0 then 'USD' else 'INR' end as currency,
                case when l_suppkey % 10 > 0 then false end as taxes_included,
                case when l_suppkey % 9 = 0 then 2 end as min_nights,
                case when l_partkey % 3 = 0 then 'Season ' || (l_linenumber % 2) end as season_name,
-               cast(l_shipdate as date) as valid_from,
-               cast(l_shipdate as date) + cast(l_quantity * 7 as int) as valid_to
-        from {lineitem}""",
+               cast(l_shipdate as date) + cast(case when period = 1 then l_quantity * 7 + 30 else 0 end as int) as valid_from,
+               cast(l_shipdate as date) + cast(case when period = 1 then l_quantity * 14 + 30 else l_quantity * 7 end as int) as valid_to
+        from {lineitem} cross join (values (0), (1), (2)) as p(period)
+        where period = 0 or (period = 1 and l_partkey % 5 = 0) or (period = 2 and l_partkey % 25 < 2)""",
     # the library's rate table: first line per sheet and rate key, with a status and a link to an earlier row
     "b_rate": """
         select *, concat_ws('-', cast(document_id as varchar(20)), cast(line_no as varchar(20))) as id,

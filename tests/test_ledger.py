@@ -59,11 +59,10 @@ def test_sweep_is_newest_per_day(spark, crowd):
 
 
 def test_ledger_rounds_agree_and_match_the_sweep(spark, crowd):
-    lines = ledger.one_line_per_sheet(frame(spark, crowd))
+    lines = ledger.loaded_lines(frame(spark, crowd))
     one, changes = history.rebuild(lines)
-    many, _ = history.rebuild(lines, chunk=17)
-    rows = sorted(map(str, one.collect()))
-    assert rows == sorted(map(str, many.collect()))
+    again, _ = history.rebuild(lines.repartition(13))
+    assert sorted(map(str, one.collect())) == sorted(map(str, again.collect()))
     live = one.filter("status = 'active'").selectExpr("cast(split(rate_key, '[|]')[0] as long)", "amount", "valid_from", "valid_to").collect()
     assert by_day([tuple(r) for r in live]) == newest_per_day(crowd)
     assert changes.count() == len(crowd)
@@ -74,7 +73,7 @@ def test_ledger_rounds_agree_and_match_the_sweep(spark, crowd):
 def test_new_sheet_splits_an_older_rate(spark):
     old = line(1, 5000, D(2026, 10, 1), D(2026, 12, 19))
     new = line(2, 4200, D(2026, 11, 1), D(2026, 11, 15))
-    led, changes = history.rebuild(ledger.one_line_per_sheet(frame(spark, [old, new])))
+    led, changes = history.rebuild(ledger.loaded_lines(frame(spark, [old, new])))
     got = sorted((r.valid_from, r.valid_to, int(r.amount), r.id) for r in led.collect())
     assert got == [(D(2026, 10, 1), D(2026, 10, 31), 5000, "1-1"), (D(2026, 11, 1), D(2026, 11, 15), 4200, "2-1"), (D(2026, 11, 16), D(2026, 12, 19), 5000, "1-1/1")]
     down = [r for r in changes.collect() if r.change == "down"]
@@ -86,12 +85,31 @@ def test_same_extended_season_and_year(spark):
         line(1, 5000, D(2026, 1, 1), D(2026, 3, 31), season="Peak"), line(2, 5000, D(2026, 2, 1), D(2026, 2, 28), season="Peak"), line(3, 5000, D(2026, 3, 1), D(2026, 4, 30)),
         line(4, 6000, D(2026, 7, 1), D(2026, 7, 31), season="PEAK"), line(5, 5500, D(2027, 1, 10), D(2027, 2, 1)),
     ]
-    _, changes = history.rebuild(ledger.one_line_per_sheet(frame(spark, rows)))
+    _, changes = history.rebuild(ledger.loaded_lines(frame(spark, rows)))
     assert {r.document_id: r.change for r in changes.collect()} == {1: "new", 2: "same", 3: "extended", 4: "new_season", 5: "new_season"}
 
 
 def test_revised_rate_supersedes(spark):
     rows = [line(1, 7500, D(2026, 12, 20), D(2027, 1, 5)), line(2, 8000, D(2026, 12, 20), D(2027, 1, 5))]
-    led, changes = history.rebuild(ledger.one_line_per_sheet(frame(spark, rows)))
+    led, changes = history.rebuild(ledger.loaded_lines(frame(spark, rows)))
     assert sorted((r.status, int(r.amount), r.replaced_by) for r in led.collect()) == [("active", 8000, None), ("superseded", 7500, 2)]
     assert [str(r.change_pct) for r in changes.collect() if r.change == "up"] == ["6.7"]
+
+
+def test_all_periods_of_a_sheet_stay(spark):
+    regular = [(D(2026, 1, 1), D(2026, 3, 31)), (D(2026, 10, 1), D(2026, 12, 19))]
+    rows = [line(1, 5000, *regular[0], season="Regular"), line(1, 9000, D(2026, 12, 20), D(2027, 1, 5), season="Peak"), line(1, 5000, *regular[1], season="Regular")]
+    rows = [(*r[:2], n + 1, *r[3:]) for n, r in enumerate(rows)]
+    repeat = (1, 1, 4, *line(1, 5000, *regular[0])[3:])
+    conflict = (1, 1, 5, *line(1, 5500, D(2026, 3, 1), D(2026, 4, 30))[3:])
+    sheet = frame(spark, [*rows, repeat, conflict])
+    assert sorted(r.line_no for r in ledger.loaded_lines(sheet).collect()) == [1, 2, 3]
+    live = ledger.live_rates(sheet).orderBy("valid_from").collect()
+    assert [(int(r.amount), r.valid_from, r.valid_to) for r in live] == [(5000, *regular[0]), (5000, *regular[1]), (9000, D(2026, 12, 20), D(2027, 1, 5))]
+    led, changes = history.rebuild(ledger.loaded_lines(sheet))
+    assert led.filter("status = 'active'").count() == 3 and {r.change for r in changes.collect()} == {"new"}
+    # a revised sheet: one period moves up, one is left out, one is the same
+    revised = [(2, 2, n + 1, *line(2, a, *p)[3:]) for n, (a, p) in enumerate([(5500, regular[0]), (9000, (D(2026, 12, 20), D(2027, 1, 5)))])]
+    led, changes = history.rebuild(ledger.loaded_lines(frame(spark, [*rows, *revised])))
+    assert sorted((r.status, int(r.amount)) for r in led.collect()) == [("active", 5000), ("active", 5500), ("active", 9000), ("superseded", 5000)]
+    assert sorted(r.change for r in changes.filter("document_id = 2").collect()) == ["same", "up"]
