@@ -68,7 +68,7 @@ def core_title_pairs(uploads: DataFrame, packages: DataFrame, threshold: float)
     a = uploads.select(F.col("supplier_id").cast("string").alias("block"), F.col("core").alias("name"))
     b = packages.select(F.col("supplier_id").cast("string").alias("block"), F.col("c_core").alias("name"))
     p = similar_pairs(a, b, threshold, "sort")
-    return p.select(F.col("block").cast("bigint").alias("supplier_id"), F.col("q").alias("core"), F.col("d").alias("c_core"), "score")
+    return p.select(F.col("block").alias("supplier_id"), F.col("q").alias("core"), F.col("d").alias("c_core"), "score")
 
 
 def similar_suppliers(suppliers: DataFrame) -> DataFrame:

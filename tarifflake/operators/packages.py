@@ -281,8 +281,9 @@ def match_families(uploads: DataFrame, packages: DataFrame, score, threshold: in
     """The family each upload belongs to: same supplier and nights (where both are known), the closest core title,
     20 points off when the places differ. ``score(pairs, a, b)`` adds a column ``score`` for two core titles."""
     core = lambda df: core_title("title", "base_name") if "base_name" in df.columns else core_title("title")
-    u = uploads.select(F.col("id").alias("upload_id"), "supplier_id", "nights", core(uploads).alias("core"), F.col("destinations").alias("places"))
-    c = packages.select("family_id", "supplier_id", F.col("nights").alias("c_nights"), core(packages).alias("c_core"), F.col("destinations").alias("c_places"))
+    of = F.coalesce(F.col("supplier_id").cast("string"), F.lit("none")).alias("supplier_id")  # unknown suppliers meet each other
+    u = uploads.select(F.col("id").alias("upload_id"), of, "nights", core(uploads).alias("core"), F.col("destinations").alias("places"))
+    c = packages.select("family_id", of, F.col("nights").alias("c_nights"), core(packages).alias("c_core"), F.col("destinations").alias("c_places"))
     # titles repeat across a supplier's editions: compare each distinct pair of core titles once
     uk = u.select("supplier_id", "nights", "core").distinct()
     ck = c.select("supplier_id", "c_nights", "c_core").distinct()

@@ -285,7 +285,7 @@ def c13(lib):
       join b_room r on r.id = l.room_type_id join b_hotel h on h.id = r.hotel_id
       where l.valid_from <= date '1998-06-12' and l.valid_to >= date '1998-06-12' and l.meal_plan = 'MAP' and l.occupancy = 'double'
         and lower(h.city) like '%brand#1%' and (l.weekdays is null or list_contains(string_split(l.weekdays, ','), 'fri'))
-      order by l.amount, l.room_type_id, l.currency, l.basis, l.is_net nulls first, l.weekdays nulls first limit 200""",
+      order by l.amount, l.room_type_id, l.currency, l.basis, l.is_net nulls first, l.weekdays nulls first""",
     ["b_line", "b_room", "b_hotel"],
 )
 def c16(lib):
@@ -296,8 +296,8 @@ def c16(lib):
     return found.select("room_type_id", "hotel_id", "hotel", "city", "amount", "currency", "is_net", "weekdays")
 
 
-def search_rates(live, rooms, hotels, on, destination=None, hotel=None, meal_plan=None, occupancy="double", max_amount=None, net_only=False, limit=200):
-    """All filters run before the limit, the weekday one included."""
+def search_rates(live, rooms, hotels, on, destination=None, hotel=None, meal_plan=None, occupancy="double", max_amount=None, net_only=False, limit=None):
+    """The cheapest first; ``limit`` None gives all. All filters run before the limit, the weekday one included."""
     day = F.lit(on)
     r = live.filter((F.col("valid_from") <= day) & (F.col("valid_to") >= day) & keys.sold_on_weekday("weekdays", day))
     if meal_plan:
@@ -315,7 +315,8 @@ def search_rates(live, rooms, hotels, on, destination=None, hotel=None, meal_pla
         h = h.filter(F.contains(keys.name_key("hotel"), keys.name_key(F.lit(hotel))))
     dims = rooms.select(F.col("id").alias("room_type_id"), "hotel_id", F.col("name").alias("room")).join(h, "hotel_id")
     order = ["amount", "room_type_id", "currency", "basis", F.col("is_net").asc_nulls_first(), F.col("weekdays").asc_nulls_first()]
-    return r.join(dims, "room_type_id").orderBy(*order).limit(limit)
+    found = r.join(dims, "room_type_id").orderBy(*order)
+    return found if limit is None else found.limit(limit)
 
 
 @query(

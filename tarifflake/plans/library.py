@@ -271,13 +271,13 @@ def search_services(services, packages, destination=None, kind=None, text=None,
 @query(
     "c33_browse_hotels",
     f"""select h.id, h.name, h.city, h.category, coalesce(r.n, 0) as rates from b_hotel h left join (select hotel_id, count(*) as n from b_rate where status = 'active' group by 1) r on r.hotel_id = h.id
-        where ({KEY_SQL.format('h.name')} like '%gear%' or lower(h.city) like '%gear%') and lower(h.category) = 'deluxe' order by h.city nulls first, h.name, h.id limit 500""",
+        where ({KEY_SQL.format('h.name')} like '%gear%' or lower(h.city) like '%gear%') and lower(h.category) = 'deluxe' order by h.city nulls first, h.name, h.id""",
     ["b_hotel", "b_rate"],
 )
 def c33(lib):
-    """Hotels by name or place, with their live rate counts; the first 500 by city and name."""
+    """Hotels by name or place, with their live rate counts, by city and name."""
     h = lib.b_hotel.filter((F.contains(keys.name_key("name"), F.lit("gear")) | keys.contains_text("gear", "city")) & (F.lower("category") == "deluxe"))
-    page = h.orderBy(F.col("city").asc_nulls_first(), "name", "id").limit(500)
+    page = h.orderBy(F.col("city").asc_nulls_first(), "name", "id")
     r = lib.b_rate.filter("status = 'active'").join(page.select(F.col("id").alias("hotel_id")), "hotel_id", "left_semi").groupBy("hotel_id").agg(F.count(F.lit(1)).alias("rates"))
     return page.join(r, page["id"] == r["hotel_id"], "left").select("id", "name", "city", "category", F.coalesce("rates", F.lit(0)).alias("rates"))
 
@@ -319,26 +319,26 @@ def t02(lib):
 
 @query(
     "t01_cheapest_rates",
-    f"select id, cast(amount as double) as amount from b_rate where status = 'active' and valid_from <= {TODAY} and valid_to >= {TODAY} and occupancy = 'double' and (weekdays is null or list_contains(string_split(weekdays, ','), 'fri')) order by amount, id limit 200",
+    f"select id, cast(amount as double) as amount from b_rate where status = 'active' and valid_from <= {TODAY} and valid_to >= {TODAY} and occupancy = 'double' and (weekdays is null or list_contains(string_split(weekdays, ','), 'fri')) order by amount, id",
     ["b_rate"],
 )
 def t01(lib):
     r = lib.b_rate.filter(keys.active_on(F.lit(ON)) & (F.col("occupancy") == "double") & keys.sold_on_weekday("weekdays", F.lit(ON)))
-    return r.select("id", "amount").orderBy("amount", "id").limit(200)
+    return r.select("id", "amount").orderBy("amount", "id")
 
 
 @query(
     "t05_day_library",
     """select d.id, p.id as package_id, p.title as package, d.day_number, d.title from b_day d join b_package p on p.id = d.package_id where p.status = 'active' and (lower(d.title) like '%visit 1%' or lower(d.description) like '%visit 1%' or lower(d.overnight) like '%visit 1%')
-        and contains(lower(concat_ws(' ', coalesce(p.region, ''), array_to_string(p.destinations, ' '), d.title, d.overnight)), 'city 3') order by p.title, d.day_number, d.id limit 100""",
+        and contains(lower(concat_ws(' ', coalesce(p.region, ''), array_to_string(p.destinations, ' '), d.title, d.overnight)), 'city 3') order by p.title, d.day_number, d.id""",
     ["b_day", "b_package"],
 )
 def t05(lib):
-    """Days of live packages by text and place, the first 100 by package and day."""
+    """Days of live packages by text and place, by package and day."""
     p = lib.b_package.filter("status = 'active'").select(F.col("id").alias("package_id"), F.col("title").alias("package"), "region", "destinations")
     d = lib.b_day.filter(keys.contains_text("visit 1", "title", "description", "overnight")).join(p, "package_id")
     hay = F.lower(F.concat_ws(" ", F.coalesce("region", F.lit("")), F.array_join("destinations", " "), "title", "overnight"))
-    return d.filter(F.contains(hay, F.lit("city 3"))).select("id", "package_id", "package", "day_number", "title").orderBy("package", "day_number", "id").limit(100)
+    return d.filter(F.contains(hay, F.lit("city 3"))).select("id", "package_id", "package", "day_number", "title").orderBy("package", "day_number", "id")
 
 
 @query("w12_recent_trips", "select id, title from b_trip where not is_template order by id desc limit 8", ["b_trip"])
@@ -517,22 +517,20 @@ def supplier_from_filename(files, suppliers):
 
 @query(
     "a25_naming_context",
-    """with p as (select supplier_id, title, id from b_package where status = 'active' qualify row_number() over (partition by supplier_id order by id desc) <= 40),
-       v as (select supplier_id, name, id from b_service where status = 'active' qualify row_number() over (partition by supplier_id order by id) <= 150)
+    """with p as (select supplier_id, title, id from b_package where status = 'active'),
+       v as (select supplier_id, name, id from b_service where status = 'active')
        select s.id, 'Packages: ' || string_agg(x.title, '; ' order by i) as line from (select supplier_id, title, min(-id) as i from p group by 1, 2) x join b_supplier s on s.id = x.supplier_id group by 1
        union all select s.id, 'Services: ' || string_agg(x.name, '; ' order by i) from (select supplier_id, name, min(id) as i from v group by 1, 2) x join b_supplier s on s.id = x.supplier_id group by 1""",
     ["b_package", "b_service", "b_supplier"],
 )
 def a25(lib):
-    """Names a supplier's earlier sheets used: its 40 newest packages and 150 first services, first mention kept."""
-    def top(df, name, order, n, label):
-        w = Window.partitionBy("supplier_id").orderBy(order)
-        t = df.filter("status = 'active'").select("supplier_id", name, "id", F.row_number().over(w).alias("rn")).filter(F.col("rn") <= n)
-        g = t.groupBy("supplier_id").agg(F.array_sort(F.collect_list(F.struct("rn", name))).alias("xs"))
-        names = F.array_distinct(F.transform("xs", lambda x: x[name]))
-        return g.select(F.col("supplier_id").alias("id"), F.concat(F.lit(label + ": "), F.array_join(names, "; ")).alias("line"))
-
-    lines = top(lib.b_package, "title", F.desc("id"), 40, "Packages").unionByName(top(lib.b_service, "name", F.col("id"), 150, "Services"))
+    """Names a supplier's earlier sheets used: package titles from the newest, service names from the first, each once."""
+    def named(df, name, place, label):
+        once = df.filter("status = 'active'").groupBy("supplier_id", name).agg(F.min(place).alias("place"))
+        g = once.groupBy("supplier_id").agg(F.array_sort(F.collect_list(F.struct("place", name))).alias("xs"))
+        return g.select(F.col("supplier_id").alias("id"), F.concat(F.lit(label + ": "), F.array_join(F.transform("xs", lambda x: x[name]), "; ")).alias("line"))
+
+    lines = named(lib.b_package, "title", -F.col("id"), "Packages").unionByName(named(lib.b_service, "name", F.col("id"), "Services"))
     return lines.join(lib.b_supplier.select("id"), "id", "left_semi")
 
 
