@@ -46,6 +46,11 @@ def shingles(words: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tupl
     return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """1 + log(count): a line that is repeated many times counts more than others, but doesn't make a text by itself."""
+    return 1 + np.log(count)
+
+
 def signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, m: int) -> np.ndarray:
     """(texts, m) elements; a text without shingles has zeros."""
     time = np.full(texts * m, np.inf)
@@ -81,15 +86,15 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def probability_jaccard(a: np.ndarray, a_count: np.ndarray, b: np.ndarray, b_count: np.ndarray) -> float:
-    """The sum over common elements of 1 / sum_j max(a_j / a_i, b_j / b_i), for sorted distinct elements with counts."""
+def probability_jaccard(a: np.ndarray, a_weight: np.ndarray, b: np.ndarray, b_weight: np.ndarray) -> float:
+    """The sum over common elements of 1 / sum_j max(a_j / a_i, b_j / b_i), for sorted distinct elements with weights."""
     common, at, bt = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
-    if len(a) == len(b) == len(common) and np.array_equal(a_count, b_count):
+    if len(a) == len(b) == len(common) and np.array_equal(a_weight, b_weight):
         return 1.0
-    x, y = a_count[at].astype(float), b_count[bt].astype(float)
-    only_a, only_b = a_count.sum() - x.sum(), b_count.sum() - y.sum()
+    x, y = a_weight[at], b_weight[bt]
+    only_a, only_b = a_weight.sum() - x.sum(), b_weight.sum() - y.sum()
     # with r_i = a_i / b_i, element j counts a_j / a_i where r_j >= r_i and b_j / b_i elsewhere
     order = np.argsort(x / y, kind="stable")
     x, y = x[order], y[order]

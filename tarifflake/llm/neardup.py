@@ -1,11 +1,13 @@
 """MinHash near-dedup over five-word shingles: ProbMinHash signatures, banding, exact verification, components.
 
 A text (node) is known by a 64-bit hash, so exact copies are one node and cost a row of band keys each. Nodes that
-share a band are candidates. No group is expanded into all its pairs: first each member of a band's group is verified
-against one pivot, components are formed, another pivot is tried where a group still has several components, and only
-then the members outside the group's largest component are verified against the members of other components. So every
-candidate pair is either verified or already inside one component. Verification is exact: the probability Jaccard
-similarity of the whole weighted shingle sets.
+share a band are candidates. No group is expanded into all its pairs: the weight of the shingles that no other
+candidate has bounds a node's similarity to any, and nodes below the threshold are left out; each other member of a
+band's group is verified against the most central one, components are formed, another pivot is tried where a group still
+has several, and only then the members outside the group's largest component are verified against those of other
+components, but for pairs that such a bound over their rare shingles rules out. So every candidate pair is verified, ruled out by an exact
+bound, or inside one component already. Verification is exact: the probability Jaccard
+similarity of the whole weighted shingle sets; a shingle weighs 1 + log of its count.
 
 Words are what stands between white space. Defined cases: a null text counts as empty; texts without words are equal
 only to the same text; a text of fewer than five words has one shingle; ``class_id`` is the smallest id of the class,
@@ -27,6 +29,7 @@ from .components import components
 from .shared import saved
 
 BANDS, ROWS, SIMILARITY = 32, 6, 0.8
+RARE, RARE_LENGTH = 64, 2_000
 
 
 def _word_hashes():
@@ -60,7 +63,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for b in _parts(batch):
                 words, sizes = _flat(b.column("words"))
                 owner, h, count = minhash.shingles(words, sizes)
-                keys = minhash.bands(minhash.signatures(owner, h, count.astype(float), len(sizes), bands * rows), rows).view(np.int64)
+                keys = minhash.bands(minhash.signatures(owner, h, minhash.weights(count), len(sizes), bands * rows), rows).view(np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(keys[sizes > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), lists], ["doc_id", "node", "bands"])
@@ -77,15 +80,52 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for b in _parts(batch):
                 words, sizes = _flat(b.column("words"))
                 owner, h, count = minhash.shingles(words, sizes)
+                h = h >> np.uint64(32)
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, np.int64)
+                count, h, owner = (np.add.reduceat(count, first) if len(h) else count), h[first], owner[first]  # equal in 32 bits: one
                 ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
-                cut = [(h[x:y] >> np.uint64(32), count[x:y]) for x, y in zip(ends[:-1], ends[1:])]
-                sets = [(a.astype("<u4").tobytes(), c.astype("<u4").tobytes() if (c > 1).any() else b"") for a, c in cut]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([a for a, _ in sets], pa.binary()), pa.array([c for _, c in sets], pa.binary())], ["node", "items", "counts"])
+                cut = [(h[x:y], count[x:y]) for x, y in zip(ends[:-1], ends[1:])]
+                items = pa.array([a.astype("<u4").tobytes() for a, _ in cut], pa.binary())
+                counts = pa.array([c.astype("<u4").tobytes() if (c > 1).any() else b"" for _, c in cut], pa.binary())
+                total = pa.array([float(minhash.weights(c).sum()) for _, c in cut], pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column("node"), items, counts, total], ["node", "items", "counts", "total"])
 
     chosen = nodes.select(F.col("node").alias("__node"), F.col("rep").alias("__rep"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     rows = texts.join(chosen, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__rep")))
-    return rows.select("node", _word_hashes().alias("words")).mapInArrow(run, "node bigint, items binary, counts binary")
+    return rows.select("node", _word_hashes().alias("words")).mapInArrow(run, "node bigint, items binary, counts binary, total double")
+
+
+def _shareable(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each of ``nodes``: ``total`` weight, the weight that it can share with one of another ``component``
+    (``common``, without the shingles that only its component has), whether all its shingles weigh the same (``plain``)
+    and, for plain texts of bounded length, the shingles that at most ``RARE`` of the nodes have (``rare``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                cut = [(np.frombuffer(x, "<u4"), np.frombuffer(c, "<u4")) for x, c in zip(b.column("items").to_pylist(), b.column("counts").to_pylist())]
+                items = np.concatenate([x for x, _ in cut]).astype(np.int64)
+                weight = np.concatenate([minhash.weights(c) if len(c) else np.ones(len(x)) for x, c in cut])
+                nodes_ = np.repeat(b.column("node").to_numpy(zero_copy_only=False), [len(x) for x, _ in cut])
+                total = np.repeat(b.column("total").to_numpy(zero_copy_only=False), [len(x) for x, _ in cut])
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(nodes_), pa.array(weight), pa.array(total)], ["item", "node", "w", "total"])
+
+    nodes = saved(nodes)
+    chosen = sets.join(nodes, "node", "left_semi")
+    items = chosen.select("node", "items", "counts", "total").mapInArrow(run, "item bigint, node bigint, w double, total double")
+    items = items.join(nodes, "node")
+    seen = items.groupBy("item").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
+    some = items.join(seen.filter(f"a = b or n <= {RARE}"), "item")
+    own = some.groupBy("node").agg(
+        F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))).alias("__own"),
+        F.collect_list(F.when((F.col("n") <= RARE) & (F.col("total") <= RARE_LENGTH), F.col("item"))).alias("__rare"),
+    )
+    common = F.col("total") - F.coalesce("__own", F.lit(0.0))
+    rare = F.coalesce("__rare", F.array().cast("array<bigint>"))
+    rows = chosen.select("node", "total", (F.length("counts") == 0).alias("plain")).distinct()
+    return rows.join(own, "node", "left").select("node", "total", common.alias("common"), "plain", rare.alias("rare"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -96,8 +136,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             keep = []
             for items, counts, other, other_counts in zip(*(b.column(c).to_pylist() for c in ("items", "counts", "items2", "counts2"))):
                 x, y = np.frombuffer(items, "<u4"), np.frombuffer(other, "<u4")
-                cx = np.frombuffer(counts, "<u4") if counts else np.ones(len(x), np.int64)
-                cy = np.frombuffer(other_counts, "<u4") if other_counts else np.ones(len(y), np.int64)
+                cx = minhash.weights(np.frombuffer(counts, "<u4")) if counts else np.ones(len(x))
+                cy = minhash.weights(np.frombuffer(other_counts, "<u4")) if other_counts else np.ones(len(y))
                 keep.append(minhash.probability_jaccard(x, cx, y, cy) >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep, pa.bool_())), b.column("v").filter(pa.array(keep, pa.bool_()))], ["u", "v"])
 
@@ -115,24 +155,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     base = saved(signed(docs, bands, rows))
     reps = base.groupBy("node").agg(F.min("doc_id").alias("rep"))
     keyed = base.select("node", F.explode("bands").alias("k"))
-    groups = keyed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = saved(keyed.join(groups, "k").select("k", "node", "low", "high").distinct())
+    groups = keyed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("k")
+    members = saved(keyed.join(groups, "k").distinct())
     sets = saved(_shingle_sets(docs, reps.join(members.select("node").distinct(), "node")))
-    links = _verified(members.filter("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), sets, similarity)
-
-    found = components(links)
-    labelled = saved(_with_component(members, found))
-    split = labelled.groupBy("k").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max_by("component", "node").alias("top")).filter("a <> b")
-    second = labelled.join(split, "k").filter("component <> top and node <> low").select(F.col("node").alias("u"), F.col("high").alias("v")).distinct()
+    bounds = saved(_shareable(sets, members.select("node").distinct().withColumn("component", F.col("node"))).drop("rare").filter(F.col("common") >= (similarity - 1e-6) * F.col("total")))
+    members = saved(members.join(bounds, "node"))
+
+    # of a band's group, the member with the least of its own is likely to be near the others
+    central = F.struct(F.col("common") / F.col("total"), "node")
+    pivots = members.groupBy("k").agg(F.max_by("node", central).alias("pivot"))
+    star = members.join(pivots, "k").filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    links = _verified(star, sets, similarity)
+
+    labelled = saved(_with_component(members, components(links)))
+    firsts = labelled.groupBy("k").agg(F.max_by("component", central).alias("first"))
+    others = labelled.join(firsts, "k").filter("component <> first")
+    pivots = others.groupBy("k").agg(F.max_by("node", central).alias("pivot"), F.max_by("component", central).alias("__c"))
+    second = others.join(pivots, "k").filter("component <> __c").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     links = links.union(_verified(second, sets, similarity))
 
-    found = components(links)
-    labelled = saved(_with_component(members, found))
+    labelled = saved(_with_component(members, components(links)))
     sizes = labelled.groupBy("k", "component").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("k").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_groups = labelled.join(major, "k").select("k", "node", "component", "major")
-    minor = open_groups.filter("component <> major").select("k", F.col("node").alias("u"), F.col("component").alias("__c"))
-    rest = minor.join(open_groups, "k").filter("component <> __c").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    open_groups = labelled.join(major, "k").drop("total", "common", "plain")
+    bounds = _shareable(sets, open_groups.select("node", "component").distinct()).filter(F.col("common") >= (similarity - 1e-6) * F.col("total"))
+    open_groups = saved(open_groups.join(bounds, "node"))
+    minor = open_groups.filter("component <> major").select("k", F.col("node").alias("u"), *[F.col(c).alias(f"u_{c}") for c in ("component", "total", "plain", "rare")])
+    # what a pair has in common: its common rare shingles and at most all others of either; with equal weights this
+    # bounds the similarity
+    most = F.least(F.col("total") - F.size("rare"), F.col("u_total") - F.size("u_rare")) + F.size(F.array_intersect("rare", "u_rare"))
+    may = ~(F.col("plain") & F.col("u_plain")) | (most >= (similarity - 1e-6) * (F.col("total") + F.col("u_total") - most))
+    rest = minor.alias("a").join(open_groups.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("component") != F.col("u_component")) & may)
+    rest = rest.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     links = links.union(_verified(rest, sets, similarity))
 
     found = saved(components(links))
