@@ -103,7 +103,7 @@ def plain_classes(texts):
 
     for a in range(len(texts)):
         for b in range(a):
-            x, y = sets[a], sets[b]
+            x, y = (collections.Counter({k: 1 + np.log(c) for k, c in s.items()}) for s in (sets[a], sets[b]))
             keys = set(x) | set(y)
             j = sum(1 / sum(max(x[k] / x[i], y[k] / y[i]) for k in keys) for i in set(x) & set(y))
             if (texts[a] or "") == (texts[b] or "") or j >= 0.8:
