@@ -180,10 +180,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     open_groups = labelled.join(major, "k").drop("total", "common", "plain")
     bounds = _shareable(sets, open_groups.select("node", "component").distinct()).filter(F.col("common") >= (similarity - 1e-6) * F.col("total"))
     open_groups = saved(open_groups.join(bounds, "node"))
-    minor = open_groups.filter("component <> major").select("k", F.col("node").alias("u"), *[F.col(c).alias(f"u_{c}") for c in ("component", "total", "plain", "rare")])
-    # what a pair has in common: its common rare shingles and at most all others of either; with equal weights this
-    # bounds the similarity
+    minor = open_groups.filter("component <> major").select("k", F.col("node").alias("u"), *[F.col(c).alias(f"u_{c}") for c in ("component", "total", "common", "plain", "rare")])
+    # what a pair has in common: no more than either can share and, where the rare shingles of both are known, the common
+    # ones of these and at most all others of either; with equal weights this bounds the similarity
     most = F.least(F.col("total") - F.size("rare"), F.col("u_total") - F.size("u_rare")) + F.size(F.array_intersect("rare", "u_rare"))
+    known = (F.col("total") <= RARE_LENGTH) & (F.col("u_total") <= RARE_LENGTH)
+    most = F.least("common", "u_common", F.when(known, most))
     may = ~(F.col("plain") & F.col("u_plain")) | (most >= (similarity - 1e-6) * (F.col("total") + F.col("u_total") - most))
     rest = minor.alias("a").join(open_groups.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("component") != F.col("u_component")) & may)
     rest = rest.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()

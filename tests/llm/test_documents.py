@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -132,6 +133,18 @@ def test_near_duplicates_repeated_rows_and_null_ids(spark):
     assert sorted(r["doc_id"] for r in neardup.one_of_each(docs).collect()) == [4, 9]
 
 
+def test_near_duplicates_across_the_length_of_known_rare_shingles(spark):
+    """A similar pair of 1,900 and 2,050 words whose band groups have other members as pivots."""
+    part = [" ".join(f"p{i}w{k}" for k in range(370)) for i in range(5)]
+    other = [" ".join(f"t{i}w{k}" for k in range(580)) for i in range(40)]
+    texts = []
+    for i, (a, b) in enumerate(4 * list(itertools.combinations(range(5), 2))):  # what one of these has, another has too
+        texts.append(" ".join([part[a], part[b], other[i], other[(i + 1) % 40]]))
+    texts += [" ".join([*part, *(f"u{k}" for k in range(50))]), " ".join([*part, *(f"v{k}" for k in range(200))])]
+    got = neardup.classes(documents(spark, texts, list(range(len(texts)))), bands=8, rows=1).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: min(i, 40) for i in range(42)}
+
+
 # quality
 
 
