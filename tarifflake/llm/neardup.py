@@ -93,6 +93,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     chosen = nodes.select(F.col("node").alias("__node"), F.col("rep").alias("__rep"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     rows = texts.join(chosen, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__rep")))
+    rows = rows.select("node", "text").dropDuplicates(["node"])  # equal rows, and copies under null ids: one set
     return rows.select("node", _word_hashes().alias("words")).mapInArrow(run, "node bigint, items binary, counts binary, total double")
 
 

@@ -145,6 +145,18 @@ def test_near_duplicates_across_the_length_of_known_rare_shingles(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: min(i, 40) for i in range(42)}
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows that stand several times, with and without an id, each with a near copy of similarity 0.81."""
+    texts, at = [], []
+    for i, a, b in ((0, 4, 9), (1, None, 2)):
+        base = [f"r{i}w{k}" for k in range(200)]
+        near = [f"changed{k}" if k % 50 == 20 else w for k, w in enumerate(base)]
+        texts += [" ".join(base)] * 4 + [" ".join(near)]
+        at += [a] * 4 + [b]
+    got = neardup.near_duplicates(documents(spark, texts, at)).collect()
+    assert sorted((r["doc_id"] or -1, r["class_id"]) for r in got) == [(-1, 2)] * 4 + [(2, 2)] + [(4, 4)] * 4 + [(9, 4)]
+
+
 # quality
 
 
