@@ -152,7 +152,7 @@ def _with_component(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``node`` and ``class_id`` of every row."""
+    """``doc_id``, ``node``, ``class_id``, ``component`` (the smallest node of the class) and ``kept`` of every row."""
     base = saved(signed(docs, bands, rows))
     reps = base.groupBy("node").agg(F.min("doc_id").alias("rep"))
     keyed = base.select("node", F.explode("bands").alias("k"))
@@ -193,21 +193,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     links = links.union(_verified(rest, sets, similarity))
 
     found = saved(components(links))
-    named = reps.join(found, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
-    in_class = found.join(named, "component").select("node", F.col("class_id").alias("__class"))
-    out = base.select("doc_id", "node").join(reps.join(in_class, "node", "left").select("node", F.coalesce("__class", "rep").alias("class_id")), "node")
-    return out.select("doc_id", "node", "class_id")
+    labelled = saved(_with_component(reps, found))
+    # class ids may be null or stand for several classes: a class is known by its smallest node
+    first = F.struct(F.col("rep").isNull(), "rep", "node")
+    named = labelled.groupBy("component").agg(F.min("rep").alias("class_id"), F.min_by("node", first).alias("first"))
+    named = labelled.select("node", "component").join(named, "component")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first"))
+    return base.select("doc_id", "node").join(named, "node").withColumn("kept", kept).select("doc_id", "node", "class_id", "component", "kept")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``class_id`` and ``kept`` (the row with the smallest id of its class)."""
-    return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    """``doc_id``, ``class_id``, ``kept`` (the row with the smallest id of its class; equal rows alike) and
+    ``class_node``, which tells classes apart whose rows have no ids or the same."""
+    return classes(docs).select("doc_id", "class_id", "kept", F.col("component").alias("class_node"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the row with the smallest id (of equal rows, one)."""
-    stay = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "class_id")
-    stay = stay.groupBy("class_id").agg(F.min("__id").alias("__id"), F.min("__node").alias("__node"))
+    stay = classes(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(stay.select("__id", "__node"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__node")))
+    kept = rows.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__node")))
     return kept.dropDuplicates(["__id", "__node"]).select(*docs.columns)

@@ -157,6 +157,15 @@ def test_near_duplicates_of_repeated_rows(spark):
     assert sorted((r["doc_id"] or -1, r["class_id"]) for r in got) == [(-1, 2)] * 4 + [(2, 2)] + [(4, 4)] * 4 + [(9, 4)]
 
 
+def test_one_of_each_of_texts_under_null_and_equal_ids(spark):
+    texts = ["one text without an id", "another text without an id", "first words under three", "other words under three", "first words under three", "x y"]
+    docs = documents(spark, texts, [None, None, 3, 3, 3, 8])
+    kept = neardup.one_of_each(docs).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted({(i or -1, t) for i, t in zip([None, None, 3, 3, 3, 8], texts)})
+    got = neardup.near_duplicates(docs).collect()
+    assert all(r["kept"] for r in got) and len({r["class_node"] for r in got}) == 5
+
+
 # quality
 
 
