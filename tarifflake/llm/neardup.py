@@ -7,7 +7,7 @@ band's group is verified against the most central one, components are formed, an
 has several, and only then the members outside the group's largest component are verified against those of other
 components, but for pairs that such a bound over their rare shingles rules out. So every candidate pair is verified, ruled out by an exact
 bound, or inside one component already. Verification is exact: the probability Jaccard
-similarity of the whole weighted shingle sets; a shingle weighs 1 + log of its count.
+similarity of the whole weighted shingle sets; a shingle weighs its count.
 
 Words are what stands between white space. Defined cases: a null text counts as empty; texts without words are equal
 only to the same text; a text of fewer than five words has one shingle; ``class_id`` is the smallest id of the class,

@@ -166,6 +166,14 @@ def test_one_of_each_of_texts_under_null_and_equal_ids(spark):
     assert all(r["kept"] for r in got) and len({r["class_node"] for r in got}) == 5
 
 
+def test_near_duplicates_weigh_shingles_by_count(spark):
+    """Two texts of 200 times one block and words of their own: 0.98 by counts, 0.66 if counts are damped."""
+    block = " ".join(f"b{k}" for k in range(100))
+    texts = [" ".join([block] * 200 + [f"{c}{k}" for k in range(150)]) for c in "xy"]
+    got = neardup.near_duplicates(documents(spark, texts, [1, 2])).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(1, 1), (2, 1)}
+
+
 # quality
 
 
