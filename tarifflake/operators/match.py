@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import fill, name_key
-from ..functions.similarity import similar_pairs
+from ..functions.similarity import similar_pairs, token_sort_udf
 
 NAMES, SERVICES, PACKAGES, DUPLICATES = 88, 92, 86, 85
 
@@ -63,8 +63,12 @@ def resolve(incoming: DataFrame, known: DataFrame, matched: DataFrame, fields: l
     return m.select("query_id", F.col("final_id").alias("id")), out
 
 
-def core_title_pairs(uploads: DataFrame, packages: DataFrame, threshold: float) -> DataFrame:
-    """The score step of family matching: core titles of one supplier, token-sort only."""
+def core_title_pairs(uploads: DataFrame, packages: DataFrame, threshold: float | None) -> DataFrame:
+    """The score step of family matching: core titles of one supplier, token-sort only. Without a threshold every pair of
+    titles whose nights agree is scored."""
+    if threshold is None:
+        p = uploads.join(packages, "supplier_id").filter(F.col("nights").isNull() | F.col("c_nights").isNull() | (F.col("nights") == F.col("c_nights")))
+        return p.select("supplier_id", "core", "c_core").distinct().withColumn("score", token_sort_udf("core", "c_core"))
     a = uploads.select(F.col("supplier_id").cast("string").alias("block"), F.col("core").alias("name"))
     b = packages.select(F.col("supplier_id").cast("string").alias("block"), F.col("c_core").alias("name"))
     p = similar_pairs(a, b, threshold, "sort")

@@ -277,20 +277,23 @@ def covers(new_from, new_to, old_from, old_to) -> Column:
     return unknown | ((F.col(new_from) <= F.col(old_from)) & (F.col(new_to) >= F.col(old_to)))
 
 
-def match_families(uploads: DataFrame, packages: DataFrame, score, threshold: int = 86) -> DataFrame:
+def match_families(uploads: DataFrame, packages: DataFrame, score, threshold: int | None = 86) -> DataFrame:
     """The family each upload belongs to: same supplier and nights (where both are known), the closest core title,
-    20 points off when the places differ. ``score(pairs, a, b)`` adds a column ``score`` for two core titles."""
-    core = lambda df: core_title("title", "base_name") if "base_name" in df.columns else core_title("title")
+    20 points off when the places differ. ``score(pairs, a, b)`` adds a column ``score`` for two core titles. Without a
+    threshold: all families that it may be, with a score of 0 at least."""
+    core = lambda df: F.coalesce(core_title("title", "base_name") if "base_name" in df.columns else core_title("title"), F.lit(""))
     of = F.coalesce(F.col("supplier_id").cast("string"), F.lit("none")).alias("supplier_id")  # unknown suppliers meet each other
     u = uploads.select(F.col("id").alias("upload_id"), of, "nights", core(uploads).alias("core"), F.col("destinations").alias("places"))
-    c = packages.select("family_id", of, F.col("nights").alias("c_nights"), core(packages).alias("c_core"), F.col("destinations").alias("c_places"))
+    c = packages.select("family_id", of, F.col("nights").alias("c_nights"), core(packages).alias("c_core"), F.col("destinations").alias("c_places")).distinct()
     # titles repeat across a supplier's editions: compare each distinct pair of core titles once
     uk = u.select("supplier_id", "nights", "core").distinct()
     ck = c.select("supplier_id", "c_nights", "c_core").distinct()
-    known = score(uk.select("supplier_id", "core").distinct(), ck.select("supplier_id", "c_core").distinct(), threshold)
+    known = score(uk, ck, threshold)
     pairs = u.join(known, ["supplier_id", "core"]).join(c, ["supplier_id", "c_core"])
     pairs = pairs.filter(F.col("nights").isNull() | F.col("c_nights").isNull() | (F.col("nights") == F.col("c_nights")))
     far = F.coalesce(place_overlap(F.col("places"), F.col("c_places")) < 0.5, F.lit(False))
     s = F.col("score") - F.when(far, 20).otherwise(0)
     best = pairs.groupBy("upload_id", "family_id").agg(F.max(s).alias("score"))
+    if threshold is None:
+        return best.withColumn("score", F.greatest("score", F.lit(0.0)))
     return best.filter(F.col("score") >= threshold)

@@ -109,11 +109,11 @@ def c09(lib):
 
 @query("t04_family_candidates")
 def t04(lib):
-    """The eight closest families of each upload."""
+    """The eight closest families of each upload, however far away."""
     from pyspark.sql import Window
 
     up, old = _split(lib)
-    c = packages.match_families(up, old, match.core_title_pairs, match.PACKAGES)
+    c = packages.match_families(up, old, match.core_title_pairs, None)
     w = Window.partitionBy("upload_id").orderBy(F.desc("score"), "family_id")
     return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 8").select("upload_id", "family_id", "rank")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarifflake.functions import similarity as sim
+from tarifflake.functions.keys import core_title
 from tarifflake.operators import match
 
 
@@ -52,3 +53,21 @@ def test_resolve_fills_blanks_and_adds_rows(spark):
     rows = {r.name: (r.city, r.phone) for r in after.collect()}
     assert rows == {"Cedar": ("Ooty", "x"), "Brand New": ("Goa", "z")}
     assert len({r.id for r in ids.filter(F.col("query_id") != "a").collect()}) == 1
+
+
+def test_the_eight_closest_families_of_any_score(spark):
+    import types
+
+    from tarifflake.plans.matching import t04
+
+    doc = spark.createDataFrame([(1, "needs_review"), (2, "approved")], "id long, status string")
+    titles = ["cedar hills tour", "palm bay", "zzz", "hills of cedar", "river walk", "old fort", "lake view", "tea garden", "desert camp", "city lights"]
+    rows = [(100, 1, 1, 5, "Cedar Hills Tour", ["a", "b"], 0), (101, 1, 2, 5, "Cedar Hills Tour", None, 0)]
+    rows += [(i, 2, 1, 5 if i else None, t, ["a", "c", "d"] if i == 3 else None, 200 + i) for i, t in enumerate(titles)]
+    rows += [(50, 2, 1, 4, "Cedar Hills Tour", None, 300), (51, 2, 2, 5, "quartz", None, 301)]
+    package = spark.createDataFrame(rows, "id long, document_id long, supplier_id long, nights int, title string, destinations array<string>, family_id long")
+    got = {(r.upload_id, r["rank"]): r.family_id for r in t04(types.SimpleNamespace(b_package=package, b_document=doc)).collect()}
+    core = {r.id: r.core for r in package.select("id", core_title("title").alias("core")).collect()}
+    score = lambda i: max(0, sim.token_sort(core[100], core[i]) - (20 if i == 3 else 0))
+    want = sorted(range(10), key=lambda i: (-score(i), i))[:8]
+    assert got == {(100, k + 1): 200 + i for k, i in enumerate(want)} | {(101, 1): 301}
