@@ -1,15 +1,13 @@
-"""The exact rate ledger: every row the library ever held, with dates, status and links, and what each line did.
+"""What one line does to a rate key's state, for the library as keyed stream state.
 
-Each rate key is a small state machine: its live rates (never overlapping, so at most one per day) and, of the past,
-one remembered row per distinct date range and season. Lines are folded into it in approval order, keys in parallel.
-What a line does depends on all before it, so one key is one sequence by nature; it is read as a stream.
+The state is the key's live rates and, of the past, one remembered row per distinct date range and season. The batch form
+of the same rules is ``ownership``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -118,21 +116,6 @@ def apply_line(live: list[dict], past: dict, new: dict, out: list[dict]) -> list
     return kept
 
 
-def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition sorted by key and approval: closed rows, changes and, at a key's end, its live rows. Lines are read as
-    a stream, so a key with very many lines takes long, but never more memory than its calendar."""
-    key, live, past = None, [], {}
-    for b in batches:
-        out: list[dict] = []
-        for r in _records(b):
-            if r["rate_key"] != key:
-                out += live
-                key, live, past = r["rate_key"], [], {}
-            live = apply_line(live, past, r, out)
-        yield _frame(out)
-    yield _frame(live)
-
-
 def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
 
@@ -157,20 +140,3 @@ def as_lines(lines: DataFrame) -> DataFrame:
     have = {"kind": F.lit("line"), "id": ident, "root_id": ident, "seq": F.col("approval_seq"), "pieces": F.lit(0)}
     given = ["rate_key", "document_id", "season_name", "valid_from", "valid_to", *TERM]
     return k.select(*[have[f.name].cast(f.dataType).alias(f.name) if f.name in have else (F.col(f.name).cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name)) for f in OUT])
-
-
-def rebuild(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows with status, change rows) of all sheets, from nothing. ``lines`` are the loaded lines; those of a
-    sheet come by date."""
-    order = ["rate_key", "seq", "valid_from", "id"]
-    every = as_lines(lines).repartition("rate_key").sortWithinPartitions(*order).mapInPandas(fold, OUT)
-    status = F.when(F.col("kind") == "live", "active").otherwise("superseded").alias("status")
-    ledger = every.filter("kind in ('live', 'closed')").select(status, *[c for c in COLUMNS if c not in ("kind", "change", "pieces")])
-    return ledger, every.filter("kind = 'change'").select("rate_key", "id", "document_id", "seq", "amount", "change", "previous_rate_id", "change_pct")
-
-
-def live_terms(ledger: DataFrame) -> DataFrame:
-    """The live picture of a ledger, comparable with the day-by-day one."""
-    return ledger.filter("status = 'active'").select("rate_key", *TERM, "valid_from", "valid_to")
-
-

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.grouping import first_by
 from ..functions.keys import name_key, overlap_days, overlaps, year_later
 from ..functions.money import pct_change
+from ..session import stage
 
 KEY = ["room_type_id", "meal_plan", "occupancy", "weekdays", "is_net"]
 TERMS = ["amount", "currency", "basis", "taxes_included"]
@@ -26,68 +27,134 @@ def keyed(df: DataFrame, parts: list[str] = KEY) -> DataFrame:
     return df.withColumn("rate_key", rate_key(parts))
 
 
-def loaded_lines(lines: DataFrame) -> DataFrame:
-    """The lines that a sheet brings into the library, with their key: all of them but those that overlap an earlier line
-    of the same sheet and key, which repeat it or conflict with it."""
-    before = Window.partitionBy("document_id", "rate_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("valid_from", "valid_to")).over(before)
-    meets = F.exists("__seen", lambda o: overlaps(o["valid_from"], o["valid_to"], F.col("valid_from"), F.col("valid_to")))
-    return keyed(lines).withColumn("__seen", seen).filter(~meets).drop("__seen")
+def _kept(rows: Column) -> Column:
+    """Of a sheet's lines for one key and currency, in order: those that do not repeat the amount of a kept line on
+    dates that overlap. A line that was dropped is not compared with later ones; another amount is no repetition."""
 
+    def add(kept: Column, r: Column) -> Column:
+        repeats = F.exists(kept, lambda o: (o["amount"] == r["amount"]) & overlaps(o["valid_from"], o["valid_to"], r["valid_from"], r["valid_to"]))
+        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(r)))
 
-def month_pieces(rows: DataFrame) -> DataFrame:
-    """Each row once per month that its dates touch, cut at the month's edges: what meets in a month is bounded by the
-    calendar."""
-    first = F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("interval 1 month"))).alias("month")
-    cut = rows.select("*", first)
-    return cut.withColumn("valid_from", F.greatest("valid_from", "month")).withColumn("valid_to", F.least("valid_to", F.last_day("month")))
+    return F.when(F.size(rows) == 1, rows).otherwise(F.aggregate(rows, F.slice(rows, 1, 0), add))
 
 
-def newest_per_interval(rows: DataFrame) -> DataFrame:
-    """One row per key, month and date range: on every one of its days the newest sheet hides the older ones."""
-    return first_by(rows, ["rate_key", "month", "valid_from", "valid_to"], [F.col("approval_seq")], latest=True)
+def _sheet_groups(lines: DataFrame) -> DataFrame:
+    """``rows``: the lines of each sheet, key and currency in their order."""
+    rest = [c for c in lines.columns if c not in ("line_no", "currency", "document_id")]
+    k = keyed(lines)
+    rows = F.array_sort(F.collect_list(F.struct("line_no", *rest))).alias("rows")
+    return k.groupBy("document_id", "rate_key", "currency").agg(rows)
 
 
-def day_segments(intervals: DataFrame, keys: list[str] = ["rate_key"]) -> DataFrame:  # noqa: B006
-    """The stretches between consecutive interval edges of each key."""
-    edge = F.explode(F.array(F.col("valid_from"), F.date_add("valid_to", 1))).alias("seg_from")
-    edges = intervals.select(*keys, edge).distinct()
-    nxt = F.lead("seg_from").over(Window.partitionBy(*keys).orderBy("seg_from"))
-    return edges.withColumn("seg_to", F.date_sub(nxt, 1)).filter("seg_to is not null")
+def loaded_lines(lines: DataFrame) -> DataFrame:
+    """The lines that a sheet brings into the library, with their key: all but repetitions."""
+    g = _sheet_groups(lines)
+    return g.select("document_id", "rate_key", "currency", F.inline(_kept(F.col("rows"))))
 
 
-def merge_adjacent(segments: DataFrame, same: list[str], key: str = "rate_key") -> DataFrame:
-    """Joins neighbouring segments of a key that carry the same values."""
-    w = Window.partitionBy(key).orderBy("seg_from")
-    values = F.struct(*same)
-    starts = F.coalesce(
-        ~(F.lag(values).over(w).eqNullSafe(values)) | (F.lag("seg_to").over(w) < F.date_sub("seg_from", 1)), F.lit(True)
-    )
-    runs = segments.withColumn("__new", starts.cast("int")).withColumn("__run", F.sum("__new").over(w))
-    return runs.groupBy(key, "__run").agg(
-        F.min("seg_from").alias("valid_from"), F.max("seg_to").alias("valid_to"), F.first(values).alias("v")
-    )
+def sheet_findings(lines: DataFrame) -> DataFrame:
+    """``document_id``, ``line_no``: lines that overlap an earlier kept line of their sheet, key and currency, with the
+    same amount (``dup``: the line is dropped) or with another (``conflict``: both stay, and the sheet has an error)."""
+    g = _sheet_groups(lines.select("document_id", "line_no", *KEY, "currency", "amount", "valid_from", "valid_to")).filter(F.size("rows") > 1)
+    g = g.select("document_id", _kept(F.col("rows")).alias("kept"), F.explode("rows").alias("r"))
+
+    def earlier(test):
+        meets = lambda o: overlaps(o["valid_from"], o["valid_to"], F.col("r.valid_from"), F.col("r.valid_to"))
+        return F.exists("kept", lambda o: (o["line_no"] < F.col("r.line_no")) & meets(o) & test(o))
+
+    flags = g.select("document_id", F.col("r.line_no").alias("line_no"), earlier(lambda o: o["amount"] == F.col("r.amount")).alias("dup"), earlier(lambda o: o["amount"] != F.col("r.amount")).alias("conflict"))
+    return flags.filter("dup or conflict")
 
 
 def live_rates(lines: DataFrame) -> DataFrame:
-    """The whole library as of its last sheet: per key, each day carries the newest sheet that covers it, and days
-    with equal terms in a row are one rate. Days are settled per key and month, so a key that holds a large share of all
-    lines is worked on in many parts; only its settled stretches meet."""
+    """The whole library as of its last sheet: per key, each day carries the lines of the newest sheet that covers it, and
+    days with equal terms in a row are one rate. A key's calendar is settled year by year, on its newest lines per date
+    range, so a key that holds a large share of all lines is small before its lines meet."""
+    from .ownership import cut_at, year_pieces
+
     parts = [*KEY, *TERMS]
-    rows = newest_per_interval(month_pieces(loaded_lines(lines).select("rate_key", *parts, "valid_from", "valid_to", "approval_seq")))
-    seg = day_segments(rows, ["rate_key", "month"]).withColumnsRenamed({"rate_key": "seg_key", "month": "seg_month"})
-    hit = (F.col("rate_key") == F.col("seg_key")) & (F.col("month") == F.col("seg_month")) & F.col("seg_from").between(F.col("valid_from"), F.col("valid_to"))
-    covered = first_by(rows.join(seg, hit), ["rate_key", "month", "seg_from"], [F.col("approval_seq")], latest=True)
-    merged = merge_adjacent(covered.select("rate_key", "seg_from", "seg_to", *parts), parts)
-    return merged.select(*[f"v.{p}" for p in parts], "valid_from", "valid_to")
+    rows = year_pieces(loaded_lines(lines.select("document_id", "line_no", "approval_seq", *parts, "valid_from", "valid_to")))
+    newest = Window.partitionBy("rate_key", "year", "valid_from", "valid_to").orderBy(F.desc("approval_seq"))
+    rows = rows.withColumn("__r", F.rank().over(newest)).filter("__r = 1")
+    year = Window.partitionBy("rate_key", "year")
+    edges = F.array_sort(F.array_distinct(F.concat(F.collect_set("valid_from").over(year), F.collect_set(F.date_add("valid_to", 1)).over(year))))
+    seg = rows.withColumn("edges", edges).select("rate_key", "year", "approval_seq", *parts, F.inline(cut_at(F.col("edges"))))
+    top = Window.partitionBy("rate_key", "year", "seg_from").orderBy(F.desc("approval_seq"))
+    seg = seg.withColumn("__r", F.rank().over(top)).filter("__r = 1")
+    w = Window.partitionBy("rate_key", *TERMS).orderBy("seg_from")
+    apart = F.coalesce(F.lag("seg_to").over(w) < F.date_sub("seg_from", 1), F.lit(True))
+    run = seg.withColumn("__run", F.sum(apart.cast("int")).over(w))
+    merged = run.groupBy("rate_key", *TERMS, "__run").agg(*[F.first(k).alias(k) for k in KEY], F.min("seg_from").alias("valid_from"), F.max("seg_to").alias("valid_to"))
+    return merged.select(*parts, "valid_from", "valid_to")
 
 
 # ---------------------------------------------------------------- comparing new sheets with the library
-def _same_terms(a: str, b: str) -> Column:
-    out = F.lit(True)
-    for t in TERMS:
-        out = out & F.col(f"{a}.{t}").eqNullSafe(F.col(f"{b}.{t}"))
-    return out
+def _quarters(rows: DataFrame, name: str = "quarter") -> DataFrame:
+    """Each row once per quarter that its dates touch."""
+    first, last = F.trunc("valid_from", "quarter"), F.trunc("valid_to", "quarter")
+    return rows.withColumn(name, F.explode(F.sequence(first, last, F.expr("interval 3 months"))))
+
+
+def _spans_met(spans: DataFrame, old: DataFrame, order: list[Column], keep: Column) -> DataFrame:
+    """For each of ``spans`` (key and dates) the best of the ``old`` rows (same columns, ``o_`` before them) that share
+    days with it. Spans and rows meet in the first quarter that both touch; both are distinct date ranges of a key, so
+    what meets is bounded by the calendar."""
+    o = _quarters(old).select(*[F.col(c).alias(f"o_{c}") for c in [*old.columns, "quarter"]])
+    first = F.trunc(F.greatest("valid_from", "o_valid_from"), "quarter")
+    on = (F.col("rate_key") == F.col("o_rate_key")) & (F.col("quarter") == F.col("o_quarter")) & (F.col("quarter") == first)
+    met = _quarters(spans).join(o, on & overlaps("valid_from", "valid_to", "o_valid_from", "o_valid_to"))
+    days = overlap_days("valid_from", "valid_to", "o_valid_from", "o_valid_to")
+    best = F.max_by(keep, F.struct(*order[:1], days.alias("days"), *order[1:]))
+    return met.groupBy("rate_key", "valid_from", "valid_to").agg(best.alias("prev"))
+
+
+def covered_lines(incoming: DataFrame, library: DataFrame) -> DataFrame:
+    """Key, dates and terms of the incoming lines whose days one live rate with equal terms covers. A rate that covers a
+    line covers its first day, so lines look in one quarter each."""
+    by = ["rate_key", *TERMS, "valid_from", "valid_to"]
+    plain = {t: F.coalesce(F.col(t).cast("string"), F.lit("")).alias(f"k_{t}") for t in TERMS}
+    keys = [f"k_{t}" for t in TERMS]
+    asks = incoming.select(*by).distinct().select("*", *plain.values(), F.trunc("valid_from", "quarter").alias("quarter"))
+    live = library.filter("status = 'active'").select(*by).distinct().select("rate_key", *plain.values(), "valid_from", "valid_to")
+    live = _quarters(live).withColumnsRenamed({"valid_from": "o_from", "valid_to": "o_to"})
+    found = asks.join(live, ["rate_key", *keys, "quarter"]).filter((F.col("o_from") <= F.col("valid_from")) & (F.col("o_to") >= F.col("valid_to")))
+    return found.select(*by).distinct()
+
+
+def previous_rates(incoming: DataFrame, library: DataFrame) -> DataFrame:
+    """Key, dates and season of incoming lines with the earlier rate they are compared with: ``prev`` (id and terms) and
+    ``rule``: 3 the one they share most days with (live first), 2 the latest of the same season that ended before, 1 the
+    one that shares most days a year on. Each rule looks at the newest row per date range only, by an interval join in
+    quarters (3, 1) or as of the line's first day (2)."""
+    payload = F.struct("id", *TERMS).alias("row")
+    lib = library.select("rate_key", "valid_from", "valid_to", "season", "status", "approval_seq", "id", payload)
+    latest = [F.col("approval_seq"), F.col("id")]
+    spans = incoming.select("rate_key", "valid_from", "valid_to", "season").distinct()
+    bare = spans.select("rate_key", "valid_from", "valid_to").distinct()
+    live = (F.col("o_status") == "active").cast("int").alias("live")
+    newest = [F.col("o_approval_seq").alias("seq"), F.col("o_id").alias("no")]
+    shared = _spans_met(bare, first_by(lib, ["rate_key", "valid_from", "valid_to", "status"], latest, latest=True), [live, *newest], F.col("o_row"))
+
+    rest = spans.join(shared, ["rate_key", "valid_from", "valid_to"], "left_anti")
+    ends = first_by(lib.filter("season <> ''"), ["rate_key", "season", "valid_to"], latest, latest=True)
+    nothing = F.lit(None)
+    events = ends.select("rate_key", "season", F.col("valid_to").alias("day"), F.lit(1).alias("old"), F.struct("valid_to", "approval_seq", "id", "row").alias("v"))
+    asked = rest.filter("season <> ''").select("rate_key", "season", F.col("valid_from").alias("day")).distinct()
+    events = events.unionByName(asked.withColumn("old", F.lit(0)).withColumn("v", nothing.cast(events.schema["v"].dataType)))
+    before = Window.partitionBy("rate_key", "season").orderBy("day", "old").rowsBetween(Window.unboundedPreceding, -1)
+    same_season = events.withColumn("last", F.max("v").over(before)).filter("old = 0 and last is not null")
+    same_season = same_season.select("rate_key", "season", F.col("day").alias("valid_from"), F.col("last.row").alias("prev"))
+
+    rest = rest.join(same_season, ["rate_key", "season", "valid_from"], "left_anti")
+    moved = first_by(lib, ["rate_key", "valid_from", "valid_to"], latest, latest=True).withColumn("ended", F.col("valid_to"))
+    moved = moved.withColumn("valid_from", year_later("valid_from")).withColumn("valid_to", year_later("valid_to"))
+    ended = F.when(F.col("o_ended") < F.col("valid_from"), 1).otherwise(0).alias("ended")
+    year = _spans_met(rest.select("rate_key", "valid_from", "valid_to").distinct(), moved, [ended, *newest], F.when(F.col("o_ended") < F.col("valid_from"), F.col("o_row"))).filter("prev is not null")
+
+    named = spans.join(shared.withColumn("rule", F.lit(3)), ["rate_key", "valid_from", "valid_to"]).select(*spans.columns, "prev", "rule")
+    second = spans.join(same_season.withColumn("rule", F.lit(2)), ["rate_key", "season", "valid_from"]).join(shared, ["rate_key", "valid_from", "valid_to"], "left_anti").select(*spans.columns, "prev", "rule")
+    third = rest.join(year.withColumn("rule", F.lit(1)), ["rate_key", "valid_from", "valid_to"]).select(*spans.columns, "prev", "rule")
+    return named.unionByName(second).unionByName(third)
 
 
 def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
@@ -97,73 +164,58 @@ def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
     rate: the one it overlaps (live first, most days), else the latest of the same season that ended before it, else
     the one that covers its dates a year earlier.
     """
-    inc = keyed(incoming)
     season = name_key("season_name")
-    spans = inc.select("rate_key", "valid_from", "valid_to", season.alias("season"), *TERMS).distinct().alias("n")
-    wanted = inc.select("rate_key").distinct()
-    old = first_by(
-        keyed(library).join(wanted, "rate_key", "left_semi").withColumn("season", season),
-        ["rate_key", "valid_from", "valid_to", "season", "status", *TERMS], [F.col("approval_seq"), F.col("id")], latest=True,
-    ).alias("o")
-    live = F.col("o.status") == "active"
-    shared = overlap_days("o.valid_from", "o.valid_to", "n.valid_from", "n.valid_to")
-    later = overlap_days(year_later("o.valid_from"), year_later("o.valid_to"), "n.valid_from", "n.valid_to")
-    ended = F.col("o.valid_to") < F.col("n.valid_from")
-    one_season = (F.col("o.season") == F.col("n.season")) & (F.col("n.season") != "")
-    rank = (
-        F.when(shared > 0, F.struct(F.lit(3).alias("rule"), live.cast("int").alias("a"), shared.alias("b"), F.col("o.approval_seq").alias("c"), F.col("o.id").alias("d")))
-        .when(ended & one_season, F.struct(F.lit(2).alias("rule"), F.lit(0).alias("a"), F.datediff("o.valid_to", F.lit("1970-01-01")).alias("b"), F.col("o.approval_seq").alias("c"), F.col("o.id").alias("d")))
-        .when(ended & (later > 0), F.struct(F.lit(1).alias("rule"), F.lit(0).alias("a"), later.alias("b"), F.col("o.approval_seq").alias("c"), F.col("o.id").alias("d")))
-    )
-    covering = live & _same_terms("o", "n") & (F.col("o.valid_from") <= F.col("n.valid_from")) & (F.col("o.valid_to") >= F.col("n.valid_to"))
-    pairs = spans.join(old, F.col("n.rate_key") == F.col("o.rate_key")).select(
-        *[F.col(f"n.{c}").alias(c) for c in ("rate_key", "valid_from", "valid_to", "season", *TERMS)],
-        rank.alias("rank"),
-        covering.alias("covering"),
-        F.struct(F.col("o.id").alias("id"), F.col("o.amount").alias("amount"), _same_terms("o", "n").alias("same_terms")).alias("prev"),
-    )
-    by = ["rate_key", "valid_from", "valid_to", "season", *TERMS]
-    best = pairs.filter("rank is not null or covering").groupBy(*by).agg(
-        F.max_by("prev", "rank").alias("prev"), F.max("rank.rule").alias("rule"), F.bool_or("covering").alias("covered")
-    )
-    k = inc.withColumn("season", season).alias("k")
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}"))
-    j = k.join(best.alias("b"), on, "left")
+    inc = stage(keyed(incoming).withColumn("season", season))
+    lib = keyed(library).join(inc.select("rate_key").distinct(), "rate_key", "left_semi").withColumn("season", season)
+    lib = stage(lib.select("rate_key", "valid_from", "valid_to", "season", "status", "approval_seq", "id", *TERMS))
+    covered = covered_lines(inc, lib).withColumn("covered", F.lit(True))
+    prev = previous_rates(inc, lib)
+    k = inc.alias("k")
+
+    def equal(columns: list[str]) -> Column:
+        on = F.lit(True)
+        for c in columns:
+            on = on & (F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) if c in TERMS else F.col(f"k.{c}") == F.col(f"b.{c}"))
+        return on
+
+    j = k.join(covered.alias("b"), equal(["rate_key", "valid_from", "valid_to", *TERMS]), "left").select("k.*", "b.covered").alias("k")
+    j = j.join(prev.alias("b"), equal(["rate_key", "valid_from", "valid_to", "season"]), "left").select("k.*", "b.prev", "b.rule")
+    same_terms = F.lit(True)
+    for t in TERMS:
+        same_terms = same_terms & F.col(t).eqNullSafe(F.col(f"prev.{t}"))
     kind = (
         F.when(F.col("covered"), "same")
         .when(F.col("rule").isNull(), "new")
         .when(F.col("rule") < 3, "new_season")
-        .when(F.col("prev.same_terms"), "extended")
-        .when(F.col("k.amount") > F.col("prev.amount"), "up")
+        .when(same_terms, "extended")
+        .when(F.col("amount") > F.col("prev.amount"), "up")
         .otherwise("down")
     )
     known = F.col("rule").isNotNull() & ~F.coalesce("covered", F.lit(False))
     return j.select(
-        *[F.col(f"k.{c}") for c in incoming.columns],
-        F.col("k.rate_key"),
+        *incoming.columns,
+        "rate_key",
         kind.alias("change"),
         F.when(known, F.element_at(F.array(F.lit("a year earlier"), F.lit("earlier season"), F.lit("same dates")), F.col("rule"))).alias("compared_with"),
         F.when(known, F.col("prev.id")).alias("previous_rate_id"),
         F.when(known, F.col("prev.amount")).alias("old_amount"),
-        F.when(known, pct_change("prev.amount", "k.amount")).alias("change_pct"),
+        F.when(known, pct_change("prev.amount", "amount")).alias("change_pct"),
     )
 
 
 def trim(library: DataFrame, incoming: DataFrame) -> DataFrame:
     """Live rates after new ones took over their dates. A rate keeps its id on its first remaining stretch, further
-    stretches are pieces 1, 2, ... of it, and one with nothing left is superseded with its dates unchanged."""
-    cut = keyed(incoming).select("rate_key", "valid_from", "valid_to").distinct()
-    cut = (
-        day_segments(cut).alias("s")
-        .join(cut.alias("c"), (F.col("s.rate_key") == F.col("c.rate_key")) & F.col("s.seg_from").between(F.col("c.valid_from"), F.col("c.valid_to")), "left_semi")
-    )
-    cut = merge_adjacent(cut.withColumn("one", F.lit(1)), ["one"]).select("rate_key", F.col("valid_from").alias("cut_from"), F.col("valid_to").alias("cut_to"))
-    live = keyed(library).filter("status = 'active'")
-    touching = (live["rate_key"] == cut["rate_key"]) & overlaps("valid_from", "valid_to", "cut_from", "cut_to")
-    cuts = live.join(cut, touching).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cut_from", "cut_to"))).alias("cuts"))
-    j = live.join(cuts, "id", "left")
+    stretches are pieces 1, 2, ... of it, and one with nothing left is superseded with its dates unchanged. The dates
+    taken from a key are joined to disjoint stretches first, so a rate meets one short list."""
+    new = keyed(incoming).select("rate_key", "valid_from", "valid_to").distinct()
+    w = Window.partitionBy("rate_key").orderBy("valid_from", "valid_to").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.max("valid_to").over(w) < F.date_sub("valid_from", 1), F.lit(True))
+    upto = Window.partitionBy("rate_key").orderBy("valid_from", "valid_to")
+    taken = new.withColumn("__new", apart.cast("int")).withColumn("__run", F.sum("__new").over(upto)).groupBy("rate_key", "__run").agg(F.min("valid_from").alias("cut_from"), F.max("valid_to").alias("cut_to"))
+    taken = taken.groupBy("rate_key").agg(F.array_sort(F.collect_list(F.struct("cut_from", "cut_to"))).alias("taken"))
+    live = keyed(library).filter("status = 'active'").join(taken, "rate_key", "left")
+    cuts = F.filter("taken", lambda c: overlaps("valid_from", "valid_to", c["cut_from"], c["cut_to"]))
+    j = live.withColumn("cuts", F.when(F.size(cuts) > 0, cuts))
     # the stretch before each cut, and the one after the last
     starts = F.concat(F.array("valid_from"), F.transform("cuts", lambda c: F.date_add(c["cut_to"], 1)))
     ends = F.concat(F.transform("cuts", lambda c: F.date_sub(c["cut_from"], 1)), F.array("valid_to"))

@@ -5,66 +5,102 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import ledger
+from ..operators import ledger, ownership
 from .registry import query
-from .scalars import pct_sql
+from .scalars import KEY_SQL, pct_sql
 
 RK = ("concat_ws('|', cast(room_type_id as varchar), meal_plan, occupancy, coalesce(weekdays, '-'), "
       "coalesce(cast(is_net as varchar), '-'))")
-LOADED = f"""select a.*, {RK} as rate_key from b_line a where not exists (
-  select 1 from b_line b where b.document_id = a.document_id and b.line_no < a.line_no and a.valid_from <= b.valid_to and b.valid_from <= a.valid_to
-    and {RK.replace('room_type_id', 'b.room_type_id').replace('meal_plan', 'b.meal_plan').replace('occupancy', 'b.occupancy').replace('weekdays', 'b.weekdays').replace('is_net', 'b.is_net')}
-      = {RK.replace('room_type_id', 'a.room_type_id').replace('meal_plan', 'a.meal_plan').replace('occupancy', 'a.occupancy').replace('weekdays', 'a.weekdays').replace('is_net', 'a.is_net')})"""
-LIVE = f"""
- inc as ({LOADED}),
- edges as (select rate_key, valid_from as b from inc union select rate_key, valid_to + 1 from inc),
+_REPEATS = "len(list_filter(f.kept, lambda o: o.a = x.amount and o.f <= x.valid_to and x.valid_from <= o.t)) > 0"
+_PACKED = "struct_pack(no := x.line_no, a := x.amount, f := x.valid_from, t := x.valid_to)"
+# a sheet's lines for a key and currency one after the other, with what was kept so far (the text starts in a recursive WITH)
+SHEET = f"""
+ sheet_x as (select *, {RK} as rate_key, row_number() over (partition by document_id, {RK}, currency order by line_no) as i from b_line),
+ sheet_fold as (select x.document_id, x.rate_key, x.currency, x.i, true as ok, [{_PACKED}] as kept from sheet_x x where i = 1
+   union all select x.document_id, x.rate_key, x.currency, x.i, not {_REPEATS}, case when {_REPEATS} then f.kept else list_append(f.kept, {_PACKED}) end
+   from sheet_fold f join sheet_x x on x.document_id = f.document_id and x.rate_key = f.rate_key and x.currency = f.currency and x.i = f.i + 1)
+"""
+LOADED = f"""{SHEET},
+ loaded as (select x.* exclude (i) from sheet_x x join sheet_fold f on x.document_id = f.document_id and x.rate_key = f.rate_key and x.currency = f.currency and x.i = f.i where f.ok)
+"""
+_TERMS = "amount, currency, basis, taxes_included"
+LIVE = f"""{LOADED},
+ edges as (select rate_key, valid_from as b from loaded union select rate_key, valid_to + 1 from loaded),
  seg as (select rate_key, b as f, lead(b) over (partition by rate_key order by b) - 1 as t from edges),
- cov as (select seg.rate_key, f, t, room_type_id, meal_plan, occupancy, weekdays, is_net, amount, currency, basis, taxes_included
-         from seg join inc on inc.rate_key = seg.rate_key and seg.f between inc.valid_from and inc.valid_to where t is not null
-         qualify row_number() over (partition by seg.rate_key, f order by approval_seq desc) = 1),
- mark as (select *, case when lag(t) over w = f - 1 and lag((amount, currency, basis, coalesce(cast(taxes_included as varchar), '-'))) over w
-            = (amount, currency, basis, coalesce(cast(taxes_included as varchar), '-')) then 0 else 1 end as s
-          from cov window w as (partition by rate_key order by f)),
- run as (select *, sum(s) over (partition by rate_key order by f) as g from mark),
- live as (select room_type_id, meal_plan, occupancy, weekdays, is_net, amount, currency, basis, taxes_included, min(f) as valid_from, max(t) as valid_to
-          from run group by all_but_f)
-""".replace("group by all_but_f", "group by rate_key, g, room_type_id, meal_plan, occupancy, weekdays, is_net, amount, currency, basis, taxes_included")
+ cov as (select seg.rate_key, f, t, room_type_id, meal_plan, occupancy, weekdays, is_net, {_TERMS}
+         from seg join loaded inc on inc.rate_key = seg.rate_key and seg.f between inc.valid_from and inc.valid_to where t is not null
+         qualify rank() over (partition by seg.rate_key, f order by approval_seq desc) = 1),
+ mark as (select *, case when lag(t) over (partition by rate_key, {_TERMS} order by f) = f - 1 then 0 else 1 end as s from cov),
+ run as (select *, sum(s) over (partition by rate_key, {_TERMS} order by f) as g from mark),
+ live as (select room_type_id, meal_plan, occupancy, weekdays, is_net, {_TERMS}, min(f) as valid_from, max(t) as valid_to
+          from run group by rate_key, g, room_type_id, meal_plan, occupancy, weekdays, is_net, {_TERMS})
+"""
+# every line in turn with the lines that have written so far; then who took each day, and the rows as they stood
+_WRITE = "struct_pack(seq := k.approval_seq, f := k.valid_from, t := k.valid_to, terms := (k.amount, k.currency, k.basis, coalesce(cast(k.taxes_included as varchar), '-')))"
+EXACT = f"""{LOADED},
+ kl as (select *, concat_ws('-', cast(document_id as varchar), cast(line_no as varchar)) as id, {KEY_SQL.format("coalesce(season_name, '')")} as season,
+   row_number() over (partition by rate_key order by approval_seq, line_no) as n from loaded),
+ kfold as (select rate_key, n, false as same, [{_WRITE}] as w from kl k where n = 1
+   union all select rate_key, n, same, case when same then w else list_append(w, line) end from (
+     select rate_key, n, w, line, newest is distinct from seq and len(list_filter(met, lambda o: o.seq = newest and o.f <= line.f and o.t >= line.t and o.terms = line.terms)) > 0 as same
+     from (select *, line.seq as seq, list_max(list_transform(met, lambda o: o.seq)) as newest
+       from (select k.rate_key, k.n, f.w, {_WRITE} as line, list_filter(f.w, lambda o: o.f <= k.valid_to and k.valid_from <= o.t) as met
+             from kfold f join kl k on k.rate_key = f.rate_key and k.n = f.n + 1)))),
+ wr as (select kl.* from kl join kfold using (rate_key, n) where not same),
+ own as (select id, rate_key, cast(unnest(generate_series(valid_from, valid_to, interval 1 day)) as date) as d from wr),
+ lost as (select id, d, min(n) as taken from (
+   select o.id, w.n, cast(unnest(generate_series(greatest(o.valid_from, w.valid_from), least(o.valid_to, w.valid_to), interval 1 day)) as date) as d
+   from wr o join wr w on w.rate_key = o.rate_key and w.approval_seq > o.approval_seq and w.valid_from <= o.valid_to and o.valid_from <= w.valid_to) group by 1, 2),
+ day as (select own.*, taken from own left join lost using (id, d)),
+ day_run as (select *, sum(s) over (partition by id order by d) as g from (select *, case when lag(taken) over w is distinct from taken or row_number() over w = 1 then 1 else 0 end as s from day window w as (partition by id order by d))),
+ taken_run as (select id, rate_key, g, min(d) as f, max(d) as t, min(taken) as taken from day_run group by 1, 2, 3),
+ held as (select *, taken is null or ((before_g is null or before_taken < taken) and (after_g is null or after_taken < taken)) as is_row from (
+   select *, lag(g) over w as before_g, lag(taken) over w as before_taken, lead(g) over w as after_g, lead(taken) over w as after_taken from taken_run window w as (partition by id order by f))),
+ stood as (select id, o_id, n, o_n, live, min(f) as f, max(t) as t from (
+   select *, sum(s) over (partition by id, o_id order by f) as g from (
+     select *, case when live and lag(live) over w and lag(t) over w = f - 1 then 0 else 1 end as s from (
+       select x.id, o.id as o_id, x.n, o.n as o_n, h.f, h.t, h.is_row, h.taken is null or h.taken >= x.n as live
+       from wr x join wr o on o.rate_key = x.rate_key and o.approval_seq < x.approval_seq join held h on h.id = o.id) where live or is_row
+     window w as (partition by id, o_id order by f))) group by id, o_id, n, o_n, live, g),
+ ranked as (select s.*, x.valid_to, x.valid_from, x.season = o.season and x.season <> '' as one_season,
+   greatest(0, least(s.t, x.valid_to) - greatest(s.f, x.valid_from) + 1) as shared,
+   greatest(0, least(cast(s.t + interval 1 year as date), x.valid_to) - greatest(cast(s.f + interval 1 year as date), x.valid_from) + 1) as again
+   from stood s join wr x on x.id = s.id join wr o on o.id = s.o_id),
+ follows as (select * from (select *, case when shared > 0 then 3 when t < valid_from and one_season then 2 when t < valid_from and again > 0 then 1 end as rule from ranked) where rule is not null
+   qualify row_number() over (partition by id order by rule desc, case when rule = 3 then live else false end desc, case rule when 3 then shared when 2 then t - date '1970-01-01' else again end desc, o_n desc) = 1),
+ told as (select x.*, p.o_id as previous_rate_id, case when p.rule is not null then {pct_sql('o.amount', 'x.amount')} end as change_pct,
+   case when p.rule is null then 'new' when p.rule < 3 then 'new_season' when (x.amount, x.currency, x.basis, coalesce(cast(x.taxes_included as varchar), '-')) = (o.amount, o.currency, o.basis, coalesce(cast(o.taxes_included as varchar), '-')) then 'extended'
+     when x.amount > o.amount then 'up' else 'down' end as change
+   from wr x left join follows p on p.id = x.id left join wr o on o.id = p.o_id),
+ pieces as (select h.*, row_number() over (partition by h.id order by h.f) - 1 as piece from held h where is_row)
+"""
 LIVE_COLS = "room_type_id, meal_plan, occupancy, weekdays, is_net, cast(amount as double) as amount, currency, basis, taxes_included, cast(valid_from as varchar) as valid_from, cast(valid_to as varchar) as valid_to"
 
 
-@query("c7a_live_rates", f"with {LIVE} select {LIVE_COLS} from live", ["b_line"])
+@query("c7a_live_rates", f"with recursive {LIVE} select {LIVE_COLS} from live", ["b_line"])
 def c7a(lib):
     return ledger.live_rates(lib.b_line)
 
 
+_MET = "len(list_filter(d.kept, lambda o: o.no < x.line_no and o.f <= x.valid_to and x.valid_from <= o.t and o.a {} x.amount)) > 0"
+
+
 @query(
     "w04_sheet_duplicates",
-    f"""with x as (select *, {RK} || '|' || currency as k from b_line),
-     p as (select a.document_id, a.line_no, bool_or(a.amount = b.amount) as dup, bool_or(a.amount <> b.amount) as conflict
-           from x a join x b on a.document_id = b.document_id and a.k = b.k and b.line_no < a.line_no
-             and a.valid_from <= b.valid_to and b.valid_from <= a.valid_to group by 1, 2)
-     select * from p""",
+    f"""with recursive {SHEET},
+     done as (select * from sheet_fold qualify row_number() over (partition by document_id, rate_key, currency order by i desc) = 1)
+     select * from (select x.document_id, x.line_no, {_MET.format('=')} as dup, {_MET.format('<>')} as conflict
+       from sheet_x x join done d on d.document_id = x.document_id and d.rate_key = x.rate_key and d.currency = x.currency) where dup or conflict""",
     ["b_line"],
 )
 def w04(lib):
-    """Lines of one sheet with the same key and overlapping dates: equal amounts repeat, others conflict. A sheet is
-    one nested record, so the lines of a key in it are compared in place."""
-    x = ledger.keyed(lib.b_line, [*ledger.KEY, "currency"])
-    g = x.groupBy("document_id", "rate_key").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "amount", "valid_from", "valid_to"))).alias("rows")
-    ).filter(F.size("rows") > 1)
-    g = g.select("document_id", F.col("rows"), F.posexplode("rows").alias("i", "r"))
+    """Lines that repeat a kept line of their sheet, and lines that contradict one."""
+    return ledger.sheet_findings(lib.b_line)
 
-    def earlier(test):
-        return F.exists(F.slice("rows", F.lit(1), F.col("i")), lambda o: keys.overlaps(o["valid_from"], o["valid_to"], F.col("r.valid_from"), F.col("r.valid_to")) & test(o))
 
-    flags = g.select("document_id", F.col("r.line_no").alias("line_no"), earlier(lambda o: o["amount"] == F.col("r.amount")).alias("dup"), earlier(lambda o: o["amount"] != F.col("r.amount")).alias("conflict"))
-    return flags.filter("dup or conflict")
-
-
-CHG = f"""
+CHG = f"""{LOADED},
  lib as (select r.*, {RK.replace('room_type_id', 'r.room_type_id')} as rate_key from b_rate r join b_document d on d.id = r.document_id where d.status = 'approved'),
- inc as (select x.* from ({LOADED}) x join b_document d on d.id = x.document_id where d.status = 'needs_review'),
+ inc as (select x.* from loaded x join b_document d on d.id = x.document_id where d.status = 'needs_review'),
  cand as (select n.document_id, n.line_no, o.id, o.amount as old_amount,
     o.amount = n.amount and o.currency = n.currency and o.basis = n.basis and o.taxes_included is not distinct from n.taxes_included as same_terms,
     o.status = 'active' as live, o.approval_seq as seq, o.valid_from <= n.valid_from and o.valid_to >= n.valid_to as contains,
@@ -104,19 +140,19 @@ def changes(lib):
     return ledger.classify(_waiting(lib), _library(lib))
 
 
-@query("j10_covering_rate", f"with {CHG} select document_id, line_no from cov", CHG_VIEWS)
+@query("j10_covering_rate", f"with recursive {CHG} select document_id, line_no from cov", CHG_VIEWS)
 def j10(lib):
     return changes(lib).filter("change = 'same'").select("document_id", "line_no")
 
 
-@query("j11_previous_rate", f"with {CHG} select document_id, line_no, previous_rate_id, compared_with from chg where compared_with is not null", CHG_VIEWS)
+@query("j11_previous_rate", f"with recursive {CHG} select document_id, line_no, previous_rate_id, compared_with from chg where compared_with is not null", CHG_VIEWS)
 def j11(lib):
     return changes(lib).filter("compared_with is not null").select("document_id", "line_no", "previous_rate_id", "compared_with")
 
 
 @query(
     "c05_dated_rate_load",
-    f"with {CHG} select document_id, line_no, rate_key, cast(amount as double) as amount, change, compared_with, previous_rate_id, cast(old_amount as double) as old_amount, change_pct from chg",
+    f"with recursive {CHG} select document_id, line_no, rate_key, cast(amount as double) as amount, change, compared_with, previous_rate_id, cast(old_amount as double) as old_amount, change_pct from chg",
     CHG_VIEWS,
 )
 def c05(lib):
@@ -125,7 +161,7 @@ def c05(lib):
 
 @query(
     "c06_trim_overlaps",
-    f"""with {CHG},
+    f"""with recursive {CHG},
      newr as (select distinct rate_key, valid_from, valid_to from chg where change <> 'same'),
      e as (select rate_key, valid_from as b from newr union select rate_key, valid_to + 1 from newr),
      s as (select rate_key, b as f, lead(b) over (partition by rate_key order by b) - 1 as t from e),
@@ -180,14 +216,14 @@ SUMMARY = f"""select document_id, count(*) filter (change = 'new') as "new", cou
   from (select *, case when change in ('up', 'down', 'new_season') then change_pct end as m from chg) group by document_id"""
 
 
-@query("a11_change_summary", f"with {CHG} {SUMMARY}", CHG_VIEWS)
+@query("a11_change_summary", f"with recursive {CHG} {SUMMARY}", CHG_VIEWS)
 def a11(lib):
     return ledger.change_summary(changes(lib))
 
 
 @query(
     "c11_preview_changes",
-    f"with {CHG} select c.document_id, d.filename, line_no, change, cast(amount as double) as amount, cast(old_amount as double) as old_amount, change_pct from chg c join b_document d on d.id = c.document_id where change <> 'same'",
+    f"with recursive {CHG} select c.document_id, d.filename, line_no, change, cast(amount as double) as amount, cast(old_amount as double) as old_amount, change_pct from chg c join b_document d on d.id = c.document_id where change <> 'same'",
     CHG_VIEWS,
 )
 def c11(lib):
@@ -198,7 +234,7 @@ def c11(lib):
 
 @query(
     "t03_change_items_sorted",
-    f"""with {CHG} select document_id, line_no, change, row_number() over (partition by document_id order by list_position(['up','down','new_season','extended','new','same'], change),
+    f"""with recursive {CHG} select document_id, line_no, change, row_number() over (partition by document_id order by list_position(['up','down','new_season','extended','new','same'], change),
         abs(coalesce(change_pct, 0)) desc, line_no) as rank from chg""",
     CHG_VIEWS,
 )
@@ -215,7 +251,7 @@ SINCE = "date '1998-01-01'"
 
 @query(
     "a12_recent_changes",
-    f"""with {CHG}, r as (select chg.* from chg join b_document d on d.id = chg.document_id where d.approved_on >= {SINCE})
+    f"""with recursive {CHG}, r as (select chg.* from chg join b_document d on d.id = chg.document_id where d.approved_on >= {SINCE})
       select count(distinct document_id) as documents, count(*) filter (mv > 0) as up, count(*) filter (mv < 0) as down,
         round(sum(mv) filter (mv > 0) / count(*) filter (mv > 0), 1) as avg_up_pct, round(sum(mv) filter (mv < 0) / count(*) filter (mv < 0), 1) as avg_down_pct,
         count(*) filter (change = 'new') as new_rates, count(*) filter (change = 'same') as unchanged
@@ -245,7 +281,7 @@ def recent_changes(c):
 
 @query(
     "c12_undo_document",
-    f"""with gone as (select max(id) as doc from b_document where status = 'approved'),
+    f"""with recursive gone as (select max(id) as doc from b_document where status = 'approved'),
       touched as (select distinct {RK} as rk from b_line where document_id = (select doc from gone)),
       kept as (select * from b_line where {RK} in (select rk from touched) and document_id <> (select doc from gone)),
       {LIVE.replace('from b_line', 'from kept')} select {LIVE_COLS} from live""",
@@ -267,8 +303,9 @@ def undo(lines, documents):
 
 @query(
     "c13_approval_gate",
-    f"""with x as (select *, {RK} || '|' || currency as k from b_line),
-      bad as (select distinct a.document_id from x a join x b on a.document_id = b.document_id and a.k = b.k and b.line_no < a.line_no and a.valid_from <= b.valid_to and b.valid_from <= a.valid_to and a.amount <> b.amount)
+    f"""with recursive {SHEET},
+      bad as (select distinct x.document_id from sheet_x x join (select * from sheet_fold qualify row_number() over (partition by document_id, rate_key, currency order by i desc) = 1) d
+        on d.document_id = x.document_id and d.rate_key = x.rate_key and d.currency = x.currency where {_MET.format('<>')})
       select id as document_id, case when id in (select document_id from bad) then 'needs_review' else 'approved' end as outcome from b_document where status = 'needs_review'""",
     ["b_line", "b_document"],
 )
@@ -281,7 +318,7 @@ def c13(lib):
 
 @query(
     "c16_search_hotel_rates",
-    f"""with {LIVE} select l.room_type_id, h.id as hotel_id, h.name as hotel, h.city, cast(amount as double) as amount, currency, is_net, weekdays from live l
+    f"""with recursive {LIVE} select l.room_type_id, h.id as hotel_id, h.name as hotel, h.city, cast(amount as double) as amount, currency, is_net, weekdays from live l
       join b_room r on r.id = l.room_type_id join b_hotel h on h.id = r.hotel_id
       where l.valid_from <= date '1998-06-12' and l.valid_to >= date '1998-06-12' and l.meal_plan = 'MAP' and l.occupancy = 'double'
         and lower(h.city) like '%brand#1%' and (l.weekdays is null or list_contains(string_split(l.weekdays, ','), 'fri'))
@@ -320,24 +357,48 @@ def search_rates(live, rooms, hotels, on, destination=None, hotel=None, meal_pla
 
 
 @query(
-    "c7b_ledger_live_picture",
-    f"""with {LIVE} select {RK} as rate_key, cast(amount as double) as amount, currency, basis, taxes_included, cast(valid_from as varchar) as valid_from, cast(valid_to as varchar) as valid_to from live""",
+    "c7b_rate_ledger",
+    f"""with recursive {EXACT} select p.rate_key, case when piece = 0 then p.id else p.id || '/' || piece end as id, case when p.taken is null then 'active' else 'superseded' end as status, t.document_id,
+      cast(t.amount as double) as amount, t.currency, cast(p.f as varchar) as valid_from, cast(p.t as varchar) as valid_to, w.document_id as replaced_by, t.previous_rate_id, t.change_pct
+      from pieces p join told t on t.id = p.id left join kl w on w.rate_key = p.rate_key and w.n = p.taken""",
     ["b_line"],
 )
-def c7b(lib):
-    """The exact ledger's live rates, neighbours with equal terms joined: the same picture as the sweep's."""
-    from ..operators import history
+def c7b_rows(lib):
+    """Every ledger row: live and superseded, with the sheet that closed it and its link to the earlier rate."""
+    led, _ = ownership.rebuild(lib.b_line)
+    return led.select("rate_key", "id", "status", "document_id", "amount", "currency", "valid_from", "valid_to", "replaced_by", "previous_rate_id", "change_pct")
 
-    led, _ = history.rebuild(ledger.loaded_lines(lib.b_line))
-    live = history.live_terms(led).withColumnsRenamed({"valid_from": "seg_from", "valid_to": "seg_to"})
-    merged = ledger.merge_adjacent(live, ledger.TERMS)
-    return merged.select("rate_key", *[f"v.{c}" for c in ledger.TERMS], "valid_from", "valid_to")
 
+@query(
+    "c7b_rate_changes",
+    f"""with recursive {EXACT} select id, document_id, change, previous_rate_id, change_pct from told
+      union all select kl.id, kl.document_id, 'same', null, null from kl join kfold using (rate_key, n) where same""",
+    ["b_line"],
+)
+def c7b_changes(lib):
+    """What every line did when its sheet was approved."""
+    _, told = ownership.rebuild(lib.b_line)
+    return told.select("id", "document_id", "change", "previous_rate_id", "change_pct")
 
-@query("c7b_rate_ledger")
-def c7b_rows(lib):
-    """Every ledger row: live and superseded, with its link to the earlier rate."""
-    from ..operators import history
 
-    led, _ = history.rebuild(ledger.loaded_lines(lib.b_line))
-    return led.select("rate_key", "id", "status", "document_id", "amount", "valid_from", "valid_to", "replaced_by", "previous_rate_id", "change_pct")
+EXACT_LIVE = f"""with recursive {EXACT},
+  rows as (select p.rate_key, {', '.join(f't.{c}' for c in _TERMS.split(', '))}, p.f, p.t from pieces p join told t on t.id = p.id where p.taken is null),
+  joined as (select *, sum(s) over (partition by rate_key, {_TERMS} order by f) as g from (select *, case when lag(t) over (partition by rate_key, {_TERMS} order by f) = f - 1 then 0 else 1 end as s from rows))
+  select rate_key, cast(amount as double) as amount, currency, basis, taxes_included, cast(min(f) as varchar) as valid_from, cast(max(t) as varchar) as valid_to from joined group by rate_key, {_TERMS}, g"""
+
+
+@query("c7b_ledger_live_picture", EXACT_LIVE, ["b_line"])
+def c7b(lib):
+    """The ledger's live rates, neighbours with equal terms joined."""
+    led, _ = ownership.rebuild(lib.b_line)
+    return live_picture(led.filter("status = 'active'"))
+
+
+def live_picture(rows):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("rate_key", *ledger.TERMS).orderBy("valid_from")
+    apart = F.coalesce(F.lag("valid_to").over(w) < F.date_sub("valid_from", 1), F.lit(True))
+    run = rows.withColumn("__run", F.sum(apart.cast("int")).over(w))
+    merged = run.groupBy("rate_key", *ledger.TERMS, "__run").agg(F.min("valid_from").alias("f"), F.max("valid_to").alias("t"))
+    return merged.select("rate_key", *ledger.TERMS, F.col("f").alias("valid_from"), F.col("t").alias("valid_to"))

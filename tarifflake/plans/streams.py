@@ -10,7 +10,7 @@ from ..operators import history, ledger
 from ..session import checkpoint_dir
 from ..streaming import jobs
 from .registry import query
-from .ledger import LIVE, RK
+from .ledger import EXACT_LIVE, live_picture
 
 
 def drain(stream, mode: str, spark):
@@ -52,7 +52,7 @@ def spark_view(lib, events):
 
 @query(
     "st3_rate_state_stream",
-    f"""with {LIVE} select {RK} as rate_key, cast(amount as double) as amount, currency, basis, taxes_included, cast(valid_from as varchar) as valid_from, cast(valid_to as varchar) as valid_to from live""",
+    EXACT_LIVE,
     ["b_line"],
 )
 def st3(lib):
@@ -66,8 +66,4 @@ def st3(lib):
     live = rows.filter("kind = 'live'")
     newest = live.groupBy(F.col("rate_key").alias("k")).agg(F.max("batch").alias("b"))
     live = live.join(newest, (F.col("rate_key") == F.col("k")) & (F.col("batch") == F.col("b")))
-    seg = live.select("rate_key", *ledger.TERMS, F.col("valid_from").alias("seg_from"), F.col("valid_to").alias("seg_to"))
-    m = ledger.merge_adjacent(seg, ledger.TERMS)
-    return m.select("rate_key", *[f"v.{c}" for c in ledger.TERMS], "valid_from", "valid_to")
-
-
+    return live_picture(live)

@@ -67,8 +67,8 @@ VIEWS: dict[str, str] = {
                case when l_partkey % 3 = 0 then 'Season ' || (l_linenumber % 2) end as season_name,
                cast(l_shipdate as date) + cast(case when period = 1 then l_quantity * 7 + 30 else 0 end as int) as valid_from,
                cast(l_shipdate as date) + cast(case when period = 1 then l_quantity * 14 + 30 else l_quantity * 7 end as int) as valid_to
-        from {lineitem} cross join (values (0), (1), (2)) as p(period)
-        where period = 0 or (period = 1 and l_partkey % 5 = 0) or (period = 2 and l_partkey % 25 < 2)""",
+        from (select *, 0 as period from {lineitem} union all select *, 1 as period from {lineitem} where l_partkey % 5 = 0
+              union all select *, 2 as period from {lineitem} where l_partkey % 25 < 2) as periods""",
     # the library's rate table: first line per sheet and rate key, with a status and a link to an earlier row
     "b_rate": """
         select *, concat_ws('-', cast(document_id as varchar(20)), cast(line_no as varchar(20))) as id,

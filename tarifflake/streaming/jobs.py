@@ -47,7 +47,7 @@ def _unpack(text: str) -> list[dict]:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    lines = sorted((r for b in batches for r in _records(b)), key=lambda r: (r["seq"], r["valid_from"], r["id"]))
+    lines = sorted((r for b in batches for r in _records(b)), key=lambda r: (r["seq"], int(r["id"].split("-")[1])))
     held = _unpack(state.get[0]) if state.exists else []
     live = [r for r in held if r["kind"] == "live"]
     past = {(r["valid_from"], r["valid_to"], _season(r["season_name"])): r for r in held if r["kind"] == "past"}

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from tarifflake.operators import history, ledger
+from tarifflake.operators import ledger, ownership
 
 D = dt.date
 SCHEMA = (
@@ -58,22 +58,96 @@ def test_sweep_is_newest_per_day(spark, crowd):
     assert by_day([tuple(r) for r in live]) == newest_per_day(crowd)
 
 
-def test_ledger_rounds_agree_and_match_the_sweep(spark, crowd):
-    lines = ledger.loaded_lines(frame(spark, crowd))
-    one, changes = history.rebuild(lines)
-    again, _ = history.rebuild(lines.repartition(13))
-    assert sorted(map(str, one.collect())) == sorted(map(str, again.collect()))
-    live = one.filter("status = 'active'").selectExpr("cast(split(rate_key, '[|]')[0] as long)", "amount", "valid_from", "valid_to").collect()
-    assert by_day([tuple(r) for r in live]) == newest_per_day(crowd)
-    assert changes.count() == len(crowd)
-    # the same sheets again change nothing where they are still the newest
-    assert {r.change for r in changes.collect()} <= {"new", "up", "down", "same", "extended", "new_season"}
+def year_on(d):
+    return d.replace(year=d.year + 1, day=28 if (d.month, d.day) == (2, 29) else d.day)
+
+
+def plain_ledger(lines):
+    """The rules line by line: (rows, what each line did)."""
+    rows, did = [], {}
+    terms = lambda r: tuple(r["x"][c] for c in (8, 9, 10, 11))
+    for x in sorted(lines, key=lambda x: (x[1], x[2])):
+        f, t = x[13], x[14]
+        new = {"x": x, "f": f, "t": t, "status": "active", "by": None}
+        days = lambda a, b: max(0, (min(b, t) - max(a, f)).days + 1)  # noqa: B023, E731
+        same_key = [r for r in rows if r["x"][3:8] == x[3:8] and r["x"][0] != x[0]]
+        over = [r for r in same_key if r["status"] == "active" and days(r["f"], r["t"])]
+        if any(terms(r) == terms(new) and r["f"] <= f and r["t"] >= t for r in over):
+            did[(x[0], x[2])] = ("same", None)
+            continue
+        order = lambda r: (r["x"][1], r["x"][2])
+        met = [r for r in same_key if days(r["f"], r["t"])]
+        ended = [r for r in same_key if r["t"] < f]
+        season = [r for r in ended if x[12] and (r["x"][12] or "").lower() == x[12].lower()]
+        again = [r for r in ended if days(year_on(r["f"]), year_on(r["t"]))]
+        if met:
+            prev = max(met, key=lambda r: (r["status"] == "active", days(r["f"], r["t"]), order(r)))
+        elif season:
+            prev = max(season, key=lambda r: (r["t"], order(r)))
+        else:
+            prev = max(again, key=lambda r: (days(year_on(r["f"]), year_on(r["t"])), order(r)), default=None)
+        kind = "new" if prev is None else "new_season" if not met else "extended" if terms(prev) == terms(new) else "up" if x[8] > prev["x"][8] else "down"
+        did[(x[0], x[2])] = (kind, None if prev is None else (prev["x"][0], prev["x"][2]))
+        for r in over:
+            before, after = r["f"] < f, r["t"] > t
+            if before and after:
+                rows.append({**r, "f": t + dt.timedelta(days=1)})
+            if before:
+                r["t"] = f - dt.timedelta(days=1)
+            elif after:
+                r["f"] = t + dt.timedelta(days=1)
+            else:
+                r["status"], r["by"] = "superseded", x[0]
+        rows.append(new)
+    return rows, did
+
+
+def compare(spark, rows):
+    lines = frame(spark, rows)
+    loaded = {(r.document_id, r.line_no) for r in ledger.loaded_lines(lines).collect()}
+    want, did = plain_ledger([r for r in rows if (r[0], r[2]) in loaded])
+    led, told = ownership.rebuild(lines)
+    led, told = led.collect(), told.collect()
+    name = lambda d, n: f"{d}-{n}"
+    assert sorted((r.root_id, str(r.valid_from), str(r.valid_to), r.status, str(r.replaced_by)) for r in led) == sorted((name(r["x"][0], r["x"][2]), str(r["f"]), str(r["t"]), r["status"], str(r["by"])) for r in want)
+    assert {r.id: (r.change, r.previous_rate_id) for r in told} == {name(*k): (kind, prev and name(*prev)) for k, (kind, prev) in did.items()}
+    assert len({r.id for r in led}) == len(led)
+    return did
+
+
+def test_ledger_equals_the_rules_line_by_line(spark, crowd):
+    did = compare(spark, crowd)
+    assert {k for k, _ in did.values()} >= {"new", "up", "down", "extended", "new_season"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ledger_with_chains_and_several_lines_per_sheet(spark, seed):
+    """Few terms and nested dates, so that many lines are same, some only because others are; sheets in two currencies
+    whose lines overlap each other; two years."""
+    rnd = random.Random(seed)
+    rows = []
+    for doc in range(1, 121):
+        for n in range(1, rnd.choice([1, 1, 2, 3]) + 1):
+            f = D(2026, 1, 1) + dt.timedelta(days=rnd.choice([0, 30, 60, 300, 365, 420]) + rnd.choice([0, 0, 3]))
+            x = list(line(doc, rnd.choice([1000, 1000, 2000]), f, f + dt.timedelta(days=rnd.choice([5, 20, 100])), rnd.choice([1, 1, 2, doc]), rnd.choice([None, "Peak"])))
+            x[2], x[9] = n, rnd.choice(["INR", "INR", "USD"])
+            rows.append(tuple(x))
+    did = compare(spark, rows)
+    assert sum(k == "same" for k, _ in did.values()) > 5
+
+
+def test_same_follows_from_same(spark):
+    """Each line is covered by the first only because the ones between changed nothing; the last is not."""
+    one = line(1, 1000, D(2026, 1, 1), D(2026, 12, 31))
+    rows = [one, *(line(d, 1000, D(2026, 1, d), D(2026, 12, 40 - d)) for d in range(10, 30)), line(40, 900, D(2026, 6, 1), D(2026, 6, 2)), line(41, 1000, D(2026, 2, 1), D(2026, 11, 1))]
+    did = compare(spark, rows)
+    assert [did[(d, 1)][0] for d in (10, 20, 29, 40, 41)] == ["same", "same", "same", "down", "extended"]
 
 
 def test_new_sheet_splits_an_older_rate(spark):
     old = line(1, 5000, D(2026, 10, 1), D(2026, 12, 19))
     new = line(2, 4200, D(2026, 11, 1), D(2026, 11, 15))
-    led, changes = history.rebuild(ledger.loaded_lines(frame(spark, [old, new])))
+    led, changes = ownership.rebuild(frame(spark, [old, new]))
     got = sorted((r.valid_from, r.valid_to, int(r.amount), r.id) for r in led.collect())
     assert got == [(D(2026, 10, 1), D(2026, 10, 31), 5000, "1-1"), (D(2026, 11, 1), D(2026, 11, 15), 4200, "2-1"), (D(2026, 11, 16), D(2026, 12, 19), 5000, "1-1/1")]
     down = [r for r in changes.collect() if r.change == "down"]
@@ -85,13 +159,13 @@ def test_same_extended_season_and_year(spark):
         line(1, 5000, D(2026, 1, 1), D(2026, 3, 31), season="Peak"), line(2, 5000, D(2026, 2, 1), D(2026, 2, 28), season="Peak"), line(3, 5000, D(2026, 3, 1), D(2026, 4, 30)),
         line(4, 6000, D(2026, 7, 1), D(2026, 7, 31), season="PEAK"), line(5, 5500, D(2027, 1, 10), D(2027, 2, 1)),
     ]
-    _, changes = history.rebuild(ledger.loaded_lines(frame(spark, rows)))
+    _, changes = ownership.rebuild(frame(spark, rows))
     assert {r.document_id: r.change for r in changes.collect()} == {1: "new", 2: "same", 3: "extended", 4: "new_season", 5: "new_season"}
 
 
 def test_revised_rate_supersedes(spark):
     rows = [line(1, 7500, D(2026, 12, 20), D(2027, 1, 5)), line(2, 8000, D(2026, 12, 20), D(2027, 1, 5))]
-    led, changes = history.rebuild(ledger.loaded_lines(frame(spark, rows)))
+    led, changes = ownership.rebuild(frame(spark, rows))
     assert sorted((r.status, int(r.amount), r.replaced_by) for r in led.collect()) == [("active", 8000, None), ("superseded", 7500, 2)]
     assert [str(r.change_pct) for r in changes.collect() if r.change == "up"] == ["6.7"]
 
@@ -103,13 +177,31 @@ def test_all_periods_of_a_sheet_stay(spark):
     repeat = (1, 1, 4, *line(1, 5000, *regular[0])[3:])
     conflict = (1, 1, 5, *line(1, 5500, D(2026, 3, 1), D(2026, 4, 30))[3:])
     sheet = frame(spark, [*rows, repeat, conflict])
-    assert sorted(r.line_no for r in ledger.loaded_lines(sheet).collect()) == [1, 2, 3]
+    assert sorted(r.line_no for r in ledger.loaded_lines(sheet).collect()) == [1, 2, 3, 5]
+    assert {(r.line_no, r.dup, r.conflict) for r in ledger.sheet_findings(sheet).collect()} == {(4, True, False), (5, False, True)}
     live = ledger.live_rates(sheet).orderBy("valid_from").collect()
-    assert [(int(r.amount), r.valid_from, r.valid_to) for r in live] == [(5000, *regular[0]), (5000, *regular[1]), (9000, D(2026, 12, 20), D(2027, 1, 5))]
-    led, changes = history.rebuild(ledger.loaded_lines(sheet))
-    assert led.filter("status = 'active'").count() == 3 and {r.change for r in changes.collect()} == {"new"}
+    assert [(int(r.amount), r.valid_from, r.valid_to) for r in live] == [(5000, *regular[0]), (5500, D(2026, 3, 1), D(2026, 4, 30)), (5000, *regular[1]), (9000, D(2026, 12, 20), D(2027, 1, 5))]
+    led, changes = ownership.rebuild(sheet)
+    assert led.filter("status = 'active'").count() == 4 and {r.change for r in changes.collect()} == {"new"}
     # a revised sheet: one period moves up, one is left out, one is the same
     revised = [(2, 2, n + 1, *line(2, a, *p)[3:]) for n, (a, p) in enumerate([(5500, regular[0]), (9000, (D(2026, 12, 20), D(2027, 1, 5)))])]
-    led, changes = history.rebuild(ledger.loaded_lines(frame(spark, [*rows, *revised])))
+    led, changes = ownership.rebuild(frame(spark, [*rows, *revised]))
     assert sorted((r.status, int(r.amount)) for r in led.collect()) == [("active", 5000), ("active", 5500), ("active", 9000), ("superseded", 5000)]
     assert sorted(r.change for r in changes.filter("document_id = 2").collect()) == ["same", "up"]
+
+
+def test_repetitions_are_judged_against_kept_lines(spark):
+    """1-10 and 15-25 January stay: the line between repeats the first and is gone before the third is looked at. Another
+    currency or another amount is no repetition."""
+    a, b, c = (D(2026, 1, 1), D(2026, 1, 10)), (D(2026, 1, 5), D(2026, 1, 20)), (D(2026, 1, 15), D(2026, 1, 25))
+    rows = [(*line(1, 1000, *d)[:2], n + 1, *line(1, 1000, *d)[3:]) for n, d in enumerate([a, b, c])]
+    usd = list(line(1, 1000, *a))
+    usd[2], usd[9] = 4, "USD"
+    clash = list(line(1, 1100, *b))
+    clash[2] = 5
+    sheet = frame(spark, [*rows, tuple(usd), tuple(clash)])
+    assert sorted(r.line_no for r in ledger.loaded_lines(sheet).collect()) == [1, 3, 4, 5]
+    assert {(r.line_no, r.dup, r.conflict) for r in ledger.sheet_findings(sheet).collect()} == {(2, True, False), (5, False, True)}
+    assert ledger.loaded_lines(sheet.limit(0)).count() == 0
+    led, told = ownership.rebuild(sheet.limit(0))
+    assert led.count() == 0 and told.count() == 0
