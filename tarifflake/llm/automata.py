@@ -32,24 +32,33 @@ class Phrases:
         return len(self.count)
 
 
-def summed(words: list[bytes], columns: list[np.ndarray], count: np.ndarray) -> Phrases:
-    """Rows in order, equal phrases once with the sum of their counts."""
+def summed(words: list[bytes], columns: list[np.ndarray], count: np.ndarray | None) -> Phrases:
+    """Rows in order, equal phrases once with the sum of their counts (None: each row counts one)."""
     width = max(1, (len(words) + 1).bit_length())
-    tall = int(columns[0].max()) + 1 if len(count) else 1
+    tall = int(columns[0].max()) + 1 if len(columns[0]) else 1
     if tall.bit_length() + 3 * width <= 63:  # all in one number
         code = columns[0].astype(np.int64)
         for c in columns[1:]:
-            code = (code << width) | (c.astype(np.int64) + 1)
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        new = np.append(True, code[1:] != code[:-1])[: len(code)]
-    else:
-        order = np.lexsort(columns[::-1])
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0) if len(order) > 1 else False
+            code <<= width
+            code |= c + 1
+        if count is None:
+            code.sort()
+            at = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+            total = np.diff(np.append(at, len(code)))
+        else:
+            order = np.argsort(code)
+            code = code[order]
+            at = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+            total = np.add.reduceat(count[order], at) if len(at) else count[:0]
+        code, mask = code[at], (1 << width) - 1
+        return Phrases(words, (code >> (3 * width)).astype(np.int32), *[((code >> (k * width)) & mask).astype(np.int32) - np.int32(1) for k in (2, 1, 0)], total)
+    count = np.ones(len(columns[0]), np.int64) if count is None else count
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0) if len(order) > 1 else False
     at = np.flatnonzero(new)
     total = np.add.reduceat(count[order], at) if len(at) else count[:0]
-    return Phrases(words, *[c[order][at] for c in columns], total)
+    return Phrases(words, *[c[order][at].astype(np.int32) for c in columns], total)
 
 
 def _register(ends: np.ndarray, last: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,25 +97,32 @@ def _small(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(kind))
 
 
-def build(p: Phrases) -> bytes:
-    """The transducer of sorted phrases. Each phrase of three words follows (or stands without) its first two."""
+def build(p: Phrases, keys: list[str]) -> bytes:
+    """The transducer of sorted phrases; their key is a place in ``keys``. Each phrase of three words follows (or stands
+    without) its first two."""
     long = p.third != NONE
     head = np.flatnonzero(~long)  # phrases of one or two words
     body = np.flatnonzero(long)
-    prefix = np.stack([p.key[body], p.first[body], p.second[body]], 1).astype(np.int64)
-    new = np.ones(len(body), bool)
-    new[1:] = (prefix[1:] != prefix[:-1]).any(1)
+    new = np.zeros(len(body), bool)
+    new[:1] = True
+    for c in (p.key[body], p.first[body], p.second[body]):
+        new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
     state, offsets, last, weight = _register(np.append(at, len(body)), p.third[body], p.count[body])
     # a prefix row: key, first word, second word, its own count (0: it is only passed through), the state behind it
     key, first, second = (np.concatenate([c[head], c[body][at]]) for c in (p.key, p.first, p.second))
     own, behind = np.concatenate([p.count[head], np.zeros(len(at), np.int64)]), np.concatenate([np.full(len(head), NONE), state])
-    used, local = np.unique(np.concatenate([first, second, last, [NONE]]), return_inverse=True)
-    local = local.ravel() - 1  # NONE is the least and stays -1
+    named = np.concatenate([first, second, last])
+    seen = np.zeros(len(p.words) + 1, bool)
+    seen[named] = True  # NONE marks the last place
+    used = np.flatnonzero(seen[:-1])
+    number = np.full(len(seen), NONE, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    local = number[named]
     a, b = len(first), len(first) + len(second)
     parts = {
-        "words": pa.array([p.words[i] for i in used[1:].tolist()], pa.binary()), "key": _small(key), "first": _small(local[:a]), "second": _small(local[a:b]), "own": _small(own),
-        "behind": _small(behind), "offsets": _small(offsets), "last": _small(local[b:-1]), "weight": _small(weight),
+        "words": pa.array([p.words[i] for i in used.tolist()], pa.binary()), "key": _small(key), "first": _small(local[:a]), "second": _small(local[a:b]), "own": _small(own),
+        "behind": _small(behind), "offsets": _small(offsets), "last": _small(local[b:]), "weight": _small(weight), "keys": pa.array(keys, pa.string()),
     }
     row = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in parts.values()], list(parts))
     sink = pa.BufferOutputStream()
@@ -115,30 +131,33 @@ def build(p: Phrases) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def read(data: bytes) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
-    """All phrases of a transducer: (words, [key, first, second, third], counts)."""
+def read(data: bytes) -> tuple[list[bytes], list[str], list[np.ndarray], np.ndarray]:
+    """All phrases of a transducer: (words, keys, [key, first, second, third], counts)."""
     row = next(iter(pa.ipc.open_stream(data)))
-    words = row.column(0).values.to_pylist()
+    words, keys = row.column(0).values.to_pylist(), row.column(9).values.to_pylist()
     key, first, second, own, behind, offsets, last, weight = (row.column(i).values.to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 9))
     counted, led = np.flatnonzero(own > 0), np.flatnonzero(behind != NONE)
     sizes = np.diff(offsets)[behind[led]]
     arcs = np.repeat(offsets[:-1][behind[led]] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(led) else np.zeros(0, np.int64)
     back = np.repeat(led, sizes)
     columns = [np.concatenate([c[counted], c[back]]) for c in (key, first, second)]
-    return words, [*columns, np.concatenate([np.full(len(counted), NONE), last[arcs]])], np.concatenate([own[counted], weight[arcs]])
+    return words, keys, [*columns, np.concatenate([np.full(len(counted), NONE), last[arcs]])], np.concatenate([own[counted], weight[arcs]])
 
 
 class Union:
     """The union of transducers with summed counts, read one after the other. Memory follows the distinct phrases."""
 
     def __init__(self, most: int = 1_000_000):
-        self.most, self.ids, self.rows, self.waiting = most, {}, [], 0
+        self.most, self.ids, self.keys, self.rows, self.waiting = most, {}, {}, [], 0
 
     def add(self, data: bytes) -> None:
-        words, columns, count = read(data)
+        words, keys, columns, count = read(data)
         ids = self.ids
-        to = np.array([ids.setdefault(w, len(ids)) for w in words] + [NONE], np.int64)
-        self.rows.append(([columns[0], *[to[c] for c in columns[1:]]], count))
+        for w in set(words).difference(ids):
+            ids[w] = len(ids)
+        to = np.array([*map(ids.__getitem__, words), NONE], np.int32)
+        of = np.array([self.keys.setdefault(k, len(self.keys)) for k in keys], np.int32)
+        self.rows.append(([of[columns[0]], *[to[c] for c in columns[1:]]], count))
         self.waiting += len(count)
         if self.waiting > self.most:
             done = self.phrases()

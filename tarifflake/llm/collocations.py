@@ -29,7 +29,7 @@ from .shared import partitions, saved
 
 SHARD_WORDS = 2_000_000
 #: Tasks that share the requests for one part.
-SPREAD = 8
+SPREAD = 4
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
 
@@ -53,28 +53,28 @@ class Shard:
         """Lower-cases A-Z only: the other bytes of UTF-8 are none of these letters."""
         data = "\n".join(texts).encode("utf-8", "surrogatepass").lower().translate(_ENDS)
         words = [w for w in data.replace(b"\t", b" ").replace(b"\n", b" \n ").split(b" ") if w]
-        found = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        self.parts.setdefault(lang, []).append(np.append(found, 0))
+        found = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
+        self.parts.setdefault(lang, []).append(np.append(found, np.int32(0)))
         self.size += len(words)
 
     def phrases(self) -> tuple[list[str], Phrases]:
         """(languages, all phrases of the shard in order); the key is the place of the language."""
         names = list(self.ids)
         order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.zeros(len(names), np.int64)
-        rank[order] = np.arange(len(names))
+        rank = np.zeros(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
         langs, stop = sorted(self.parts), int(rank[0])
         rows = []
         for k, lang in enumerate(langs):
-            x = rank[np.concatenate([*self.parts[lang], [0, 0]])]
+            x = rank[np.concatenate([*self.parts[lang], np.zeros(2, np.int32)])]
             n = len(x) - 2
             for width in (1, 2, 3):
                 whole = np.ones(n, bool)
                 for i in range(width):
                     whole &= x[i : n + i] != stop
                 at = np.flatnonzero(whole)
-                columns = [np.full(len(at), k), *[x[at + i] if i < width else np.full(len(at), NONE) for i in range(3)]]
-                p = summed(names, columns, np.ones(len(at), np.int64))
+                none = np.full(len(at), NONE, np.int32)
+                p = summed(names, [np.full(len(at), k, np.int32), *[x[at + i] if i < width else none for i in range(3)]], None)
                 rows.append(([p.key, p.first, p.second, p.third], p.count))
         words = [names[i] for i in order]
         columns = [np.concatenate([r[0][i] for r in rows]) for i in range(4)] if rows else [np.zeros(0, np.int64)] * 4
@@ -94,23 +94,21 @@ def _word_codes(words: list[bytes]) -> np.ndarray:
     return np.array([*map(xxhash.xxh3_64_intdigest, words), 0x51ED270B], np.uint64)
 
 
-def slices(langs: list[str], p: Phrases, ranges: int) -> Iterator[tuple[int, str, bytes]]:
-    """The shard's transducers: (range, language, transducer)."""
+def slices(langs: list[str], p: Phrases, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """The shard's transducers: (range, transducer). Phrases stay in order inside a range."""
     codes = _word_codes(p.words)
     h = _mixed(codes[p.first] * np.uint64(0x9E3779B97F4A7C15) + codes[p.second])
-    place = (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((p.third, p.second, p.first, p.key, place))
-    place = place[order]
-    columns = [c[order] for c in (p.key, p.first, p.second, p.third, p.count)]
-    group = place * len(langs) + columns[0]
-    cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(group) else []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        part = Phrases(p.words, *[c[a:b] for c in columns])
-        part.key = np.zeros(b - a, np.int64)
-        yield int(place[a]), langs[int(columns[0][a])], build(part)
-
-
-_SLICE = pa.schema([("place", pa.int32()), ("lang", pa.string()), ("automaton", pa.binary())])
+    place = (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int16 if ranges < 1 << 15 else np.int64)
+    del h
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a < b:
+            rows = order[a:b]
+            yield r, build(Phrases(p.words, *[c[rows] for c in (p.key, p.first, p.second, p.third, p.count)]), langs)
+
+
+_SLICE = pa.schema([("place", pa.int32()), ("automaton", pa.binary())])
 _GRAM = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("w3", pa.string()), ("f", pa.int64())])
 
 
@@ -122,7 +120,7 @@ def _shard_automata(ranges: int, shard_words: int):
             rows, held = [], 0
             for r in slices(*shard.phrases(), ranges):
                 rows.append(r)
-                held += len(r[2])
+                held += len(r[1])
                 if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SLICE.types)], schema=_SLICE)
                     rows, held = [], 0
@@ -152,27 +150,26 @@ def _range_counts(least: int):
         at, union = None, Union()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            p = union.phrases()
+            p, keys = union.phrases(), list(union.keys)
             alone = p.second == NONE
-            total = int(p.count[alone].sum())
+            totals = np.bincount(p.key[alone], weights=p.count[alone], minlength=len(keys)).astype(np.int64)
             often = np.flatnonzero(p.count >= least)
             names = p.words + [None]
             text = [None if w is None else w.decode("utf-8", "surrogatepass") for w in (names[i] for i in np.concatenate([p.first[often], p.second[often], p.third[often]]).tolist())]
-            n = len(often)
+            n, langs = len(often), [keys[i] for i in p.key[often].tolist()]
             for lo in range(0, n, 10_000):
                 hi = min(lo + 10_000, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at[1]] * (hi - lo)), *[pa.array(text[k * n + lo : k * n + hi], pa.string()) for k in range(3)], pa.array(p.count[often[lo:hi]])], schema=_GRAM
+                    [pa.array(langs[lo:hi], pa.string()), *[pa.array(text[k * n + lo : k * n + hi], pa.string()) for k in range(3)], pa.array(p.count[often[lo:hi]])], schema=_GRAM
                 )
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([at[1]]), *[pa.nulls(1, pa.string())] * 3, pa.array([total])], schema=_GRAM)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.nulls(len(keys), pa.string())] * 3, pa.array(totals)], schema=_GRAM)
 
         for batch in batches:
-            for place, lang, automaton in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (place, lang):
+            for place, automaton in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != place:
                     if at is not None:
                         yield from flush()
-                    at, union = (place, lang), Union()
+                    at, union = place, Union()
                 union.add(automaton)
         if at is not None:
             yield from flush()
@@ -185,8 +182,8 @@ def frequent_phrases(docs: DataFrame, least: int = 10, shard_words: int = SHARD_
     rows without words whose ``f`` add up to the number of words of a language."""
     n = partitions(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = texts.mapInArrow(_shard_automata(2 * n, shard_words), "place int, lang string, automaton binary")
-    met = shards.repartition(n, "place").sortWithinPartitions("place", "lang")
+    shards = texts.mapInArrow(_shard_automata(n, shard_words), "place int, automaton binary")
+    met = shards.repartitionById(n, "place").sortWithinPartitions("place")
     return met.mapInArrow(_range_counts(least), "lang string, w1 string, w2 string, w3 string, f bigint")
 
 
@@ -238,7 +235,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int | None = 2000, cover
     A phrase inside a longer candidate that accounts for ``covered_pct`` percent of it goes."""
     n_parts = partitions(docs.sparkSession)
     grams = saved(frequent_phrases(docs, least, shard_words))
-    sizes = grams.filter("w1 is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    sizes = grams.filter("w1 is null and f > 0").groupBy("lang").agg(F.sum("f").alias("n"))
     known = grams.filter("w1 is not null")
     found = known.filter("w2 is not null").withColumnRenamed("f", "a")
     counts = known.filter("w3 is null").select("lang", F.col("w1").alias("p1"), F.col("w2").alias("p2"), "f")

@@ -78,8 +78,8 @@ def test_transducers_keep_all_counts_and_share_states():
     grams = Counter(tuple([*(r.randrange(30) for _ in range(r.randint(1, 3))), -1, -1][:3]) for _ in range(3_000))
     columns = [np.array([0] * len(grams)), *[np.array([g[k] for g in grams]) for k in range(3)]]
     p = automata.summed(words, columns, np.array(list(grams.values())))
-    data = automata.build(p)
-    names, (_, a, b, c), count = automata.read(data)
+    data = automata.build(p, ["en"])
+    names, _, (_, a, b, c), count = automata.read(data)
     back = {tuple(-1 if x < 0 else int(names[x][1:]) for x in g): n for g, n in zip(zip(a.tolist(), b.tolist(), c.tolist()), count.tolist())}
     assert back == dict(grams)
     union = automata.Union(most=500)
@@ -88,7 +88,7 @@ def test_transducers_keep_all_counts_and_share_states():
     u = union.phrases()
     assert int(u.count.sum()) == 5 * sum(grams.values()) and len(u) == len(grams)
     same = automata.summed(words, [np.zeros(20, np.int64), np.arange(20), np.full(20, 3), np.full(20, 7)], np.ones(20, np.int64))
-    row = next(iter(__import__("pyarrow").ipc.open_stream(automata.build(same))))
+    row = next(iter(__import__("pyarrow").ipc.open_stream(automata.build(same, ["en"]))))
     assert len(row.column("last").values) == 1  # twenty prefixes, one state behind them
 
 
@@ -198,7 +198,7 @@ def test_measures():
 
 def test_hosts(spark):
     good, bad = " ".join(f"word{i}" for i in range(60)), "spam"
-    rows = [("good", good)] * 40 + [("good", bad)] * 4 + [("bad", bad)] * 30 + [("bad", good)] * 2 + [("tiny", bad), (None, good), (None, None)] + [(f"h{i}", good) for i in range(20)]
+    rows = [("good", good)] * 40 + [("good", bad)] * 4 + [("bad", bad)] * 30 + [("bad", good)] * 2 + [("tiny", bad), (None, good), (None, None)] + [(f"h{i}", good) for i in range(100)]
     docs = spark.createDataFrame([(None if i == 5 else i % 70, t, h, "?", 1) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string, host string, refused int")
     got = hostrules.judged(docs).collect()
     assert len(got) == len(rows)
