@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys
-from ..operators import ledger, ownership
+from ..operators import ledger, ownership, search
 from .registry import query
-from .scalars import KEY_SQL, pct_sql
+from .scalars import DOW_SQL, KEY_SQL, pct_sql
 
 RK = ("concat_ws('|', cast(room_type_id as varchar), meal_plan, occupancy, coalesce(weekdays, '-'), "
       "coalesce(cast(is_net as varchar), '-'))")
@@ -318,42 +317,24 @@ def c13(lib):
 
 @query(
     "c16_search_hotel_rates",
-    f"""with recursive {LIVE} select l.room_type_id, h.id as hotel_id, h.name as hotel, h.city, cast(amount as double) as amount, currency, is_net, weekdays from live l
-      join b_room r on r.id = l.room_type_id join b_hotel h on h.id = r.hotel_id
-      where l.valid_from <= date '1998-06-12' and l.valid_to >= date '1998-06-12' and l.meal_plan = 'MAP' and l.occupancy = 'double'
-        and lower(h.city) like '%brand#1%' and (l.weekdays is null or list_contains(string_split(l.weekdays, ','), 'fri'))
-      order by l.amount, l.room_type_id, l.currency, l.basis, l.is_net nulls first, l.weekdays nulls first""",
-    ["b_line", "b_room", "b_hotel"],
+    f"""with recursive {LOADED},
+      asked as (select r.*, h.id as hotel_id, h.name as hotel_name, h.city as hotel_city, m.id as room_id from b_rate_request r join b_hotel h
+          on (r.destination is null or lower(h.city) like '%' || lower(r.destination) || '%' or lower(h.destination) like '%' || lower(r.destination) || '%')
+            and (r.hotel is null or {KEY_SQL.format('h.name')} like '%' || {KEY_SQL.format('r.hotel')} || '%') join b_room m on m.hotel_id = h.id),
+      onday as (select distinct l.rate_key, d.on_date, l.room_type_id, l.meal_plan, l.occupancy, l.weekdays, l.is_net, l.amount, l.currency, l.basis, l.taxes_included
+          from (select distinct on_date from b_rate_request) d join loaded l on d.on_date between l.valid_from and l.valid_to
+          qualify rank() over (partition by l.rate_key, d.on_date order by l.approval_seq desc) = 1),
+      hits as (select a.request_id, a.hotel_id, a.hotel_name as hotel, a.hotel_city as city, o.*, row_number() over (partition by a.request_id order by o.amount, o.room_type_id, o.currency, o.basis, o.meal_plan, o.occupancy, o.is_net nulls first, o.weekdays nulls first, o.taxes_included nulls first) as rank
+          from asked a join onday o on o.room_type_id = a.room_id and o.on_date = a.on_date
+          where (a.meal_plan is null or o.meal_plan = a.meal_plan) and (a.occupancy is null or o.occupancy = a.occupancy) and (a.max_amount is null or o.amount <= a.max_amount) and (not a.net_only or o.is_net)
+            and (o.weekdays is null or list_contains(string_split(o.weekdays, ','), {DOW_SQL.format('o.on_date')})))
+      select request_id, rank, room_type_id, hotel_id, hotel, city, meal_plan, occupancy, cast(amount as double) as amount, currency, is_net, weekdays from hits where rank <= 200""",
+    ["b_line", "b_room", "b_hotel", "b_rate_request"],
 )
 def c16(lib):
-    """Cheapest MAP doubles in a city on a Friday, from the live picture."""
-    import datetime as dt
-
-    found = search_rates(ledger.live_rates(lib.b_line), lib.b_room, lib.b_hotel, dt.date(1998, 6, 12), destination="brand#1", meal_plan="MAP")
-    return found.select("room_type_id", "hotel_id", "hotel", "city", "amount", "currency", "is_net", "weekdays")
-
-
-def search_rates(live, rooms, hotels, on, destination=None, hotel=None, meal_plan=None, occupancy="double", max_amount=None, net_only=False, limit=None):
-    """The cheapest first; ``limit`` None gives all. All filters run before the limit, the weekday one included."""
-    day = F.lit(on)
-    r = live.filter((F.col("valid_from") <= day) & (F.col("valid_to") >= day) & keys.sold_on_weekday("weekdays", day))
-    if meal_plan:
-        r = r.filter(F.col("meal_plan") == meal_plan)
-    if occupancy:
-        r = r.filter(F.col("occupancy") == occupancy)
-    if max_amount is not None:
-        r = r.filter(F.col("amount") <= max_amount)
-    if net_only:
-        r = r.filter("is_net")
-    h = hotels.select(F.col("id").alias("hotel_id"), F.col("name").alias("hotel"), "city", "destination")
-    if destination:
-        h = h.filter(keys.contains_text(destination, "city", "destination"))
-    if hotel:
-        h = h.filter(F.contains(keys.name_key("hotel"), keys.name_key(F.lit(hotel))))
-    dims = rooms.select(F.col("id").alias("room_type_id"), "hotel_id", F.col("name").alias("room")).join(h, "hotel_id")
-    order = ["amount", "room_type_id", "currency", "basis", F.col("is_net").asc_nulls_first(), F.col("weekdays").asc_nulls_first()]
-    found = r.join(dims, "room_type_id").orderBy(*order)
-    return found if limit is None else found.limit(limit)
+    """The 200 cheapest rates for each request, on its day and in its place."""
+    found = search.search_hotel_rates(lib.b_rate_request, lib.b_line, lib.b_room, lib.b_hotel)
+    return found.select("request_id", "rank", "room_type_id", "hotel_id", "hotel", "city", "meal_plan", "occupancy", "amount", "currency", "is_net", "weekdays")
 
 
 @query(

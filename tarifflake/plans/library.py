@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.grouping import previous_row
 from ..functions.money import pct_change
-from ..operators import ledger
+from ..operators import ledger, search
 from .ledger import RK
 from .registry import query
 from .scalars import KEY_SQL, pct_sql
@@ -245,27 +245,14 @@ def a17(lib):
 
 @query(
     "c17_search_services",
-    f"""select id, kind, name, destination, cast(amount as double) as amount from b_service where status = 'active' and valid_from <= {TODAY} and valid_to >= {TODAY} and kind = 'transfer' and {KEY_SQL.format('name')} like '%blue%'
-        and (lower(destination) like '%economy%' or {KEY_SQL.format('name')} like '%economy%' or document_id in (select document_id from b_package where lower(region) like '%economy%' or lower(title) like '%economy%'))""",
-    ["b_service", "b_package"],
+    f"""select r.request_id, s.id, s.kind, s.name, s.destination, cast(s.amount as double) as amount from b_service_request r join b_service s on s.status = 'active' and r.on_date between s.valid_from and s.valid_to
+        where (r.kind is null or s.kind = r.kind) and (r.text is null or {KEY_SQL.format('s.name')} like '%' || {KEY_SQL.format('r.text')} || '%')
+          and (r.destination is null or lower(s.destination) like '%' || lower(r.destination) || '%' or {KEY_SQL.format('s.name')} like '%' || {KEY_SQL.format('r.destination')} || '%'
+            or s.document_id in (select document_id from b_package p where lower(p.region) like '%' || lower(r.destination) || '%' or lower(p.title) like '%' || lower(r.destination) || '%'))""",
+    ["b_service", "b_package", "b_service_request"],
 )
 def c17(lib):
-    return search_services(lib.b_service, lib.b_package, destination="economy", kind="transfer", text="Blue", on_date=ON).select("id", "kind", "name", "destination", "amount")
-
-
-def search_services(services, packages, destination=None, kind=None, text=None, on_date=None):
-    s = services.filter("status = 'active'")
-    if on_date is not None:
-        s = s.filter(F.lit(on_date).between(F.col("valid_from"), F.col("valid_to")))
-    if kind:
-        s = s.filter(F.col("kind") == kind)
-    if text:
-        s = s.filter(F.contains(keys.name_key("name"), keys.name_key(F.lit(text))))
-    if destination:
-        docs = packages.filter(keys.contains_text(destination, "region", "title")).select("document_id").distinct().withColumn("in_region", F.lit(True))
-        s = s.join(docs, "document_id", "left")
-        s = s.filter(keys.contains_text(destination, "destination") | F.contains(keys.name_key("name"), keys.name_key(F.lit(destination))) | F.coalesce("in_region", F.lit(False)))
-    return s.orderBy("name", "id")
+    return search.search_services(lib.b_service_request, lib.b_service, lib.b_package).select("request_id", "id", "kind", "name", "destination", "amount")
 
 
 @query(

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import packages
+from ..operators import packages, search
 from .registry import query
 from .scalars import KEY_SQL, pct_sql
 
@@ -270,17 +270,16 @@ def j17(lib):
 
 @query(
     "c18_search_packages",
-    f"""with best as (select family_id, max_by(id, (version, id)) as id from b_package p where status = 'active' and {COVERS.format(d=TODAY)} group by 1)
-      select p.id, p.title, count(*) as prices, cast(min(q.amount) as double) as cheapest from best b join b_package p on p.id = b.id join b_price q on q.package_id = p.id and {TODAY} between q.valid_from and q.valid_to
-      where contains(lower(p.title), 'tour 1') or len(list_filter(p.destinations, lambda x: contains(lower(x), 'city 4'))) > 0 group by 1, 2""",
-    ["b_package", "b_price"],
+    f"""with days as (select distinct on_date from b_package_request),
+      best as (select d.on_date, p.family_id, max_by(p.id, (p.version, p.id)) as id from days d join b_package p on p.status = 'active' and {COVERS.format(d='d.on_date')} group by 1, 2),
+      q as (select d.on_date, package_id, count(*) as prices, min(amount) as cheapest from days d join b_price on d.on_date between valid_from and valid_to group by 1, 2)
+      select r.request_id, p.id, p.title, q.prices, cast(q.cheapest as double) as cheapest from b_package_request r join best b on b.on_date = r.on_date join b_package p on p.id = b.id join q on q.package_id = p.id and q.on_date = r.on_date
+      where r.destination is null or contains(lower(p.title), lower(r.destination)) or len(list_filter(p.destinations, lambda x: contains(lower(x), lower(r.destination)))) > 0""",
+    ["b_package", "b_price", "b_package_request"],
 )
 def c18(lib):
-    dates = lib.b_package.select("family_id").distinct().withColumn("on_date", F.lit(ON))
-    best = packages.newest_edition(lib.b_package, lib.b_price, dates).select(F.col("package_id").alias("id"))
-    p = lib.b_package.join(best, "id").filter(F.exists("destinations", lambda x: F.contains(F.lower(x), F.lit("city 4"))) | F.contains(F.lower("title"), F.lit("tour 1")))
-    q = lib.b_price.filter(F.lit(ON).between(F.col("valid_from"), F.col("valid_to"))).groupBy(F.col("package_id").alias("id")).agg(F.count(F.lit(1)).alias("prices"), F.min("amount").alias("cheapest"))
-    return p.join(q, "id").select("id", "title", "prices", "cheapest")
+    found = search.search_packages(lib.b_package_request, lib.b_package, lib.b_price)
+    return found.select("request_id", F.col("package_id").alias("id"), "title", "prices", "cheapest")
 
 
 @query(

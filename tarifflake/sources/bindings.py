@@ -206,6 +206,29 @@ VIEWS: dict[str, str] = {
                case when user_id % 5 > 0 then cast(value as decimal(12,4)) end as cost,
                cast(floor(value * 1000) as bigint) as duration_ms, event_type <> 'error' as ok
         from {events}""",
+    # tables of requests: who asks for what, where and on which day
+    "b_rate_request": """
+        select s_suppkey as request_id,
+               case when s_suppkey % 9 > 0 then 'brand#' || (s_suppkey % 5 + 1) || case when s_suppkey % 2 = 0 then s_suppkey % 4 + 1 || '' else '' end end as destination,
+               case when s_suppkey % 6 = 0 then 'Gear' when s_suppkey % 6 = 1 then ' BOX ' end as hotel,
+               date '1997-01-01' + cast(s_suppkey * 37 % 700 as int) as on_date,
+               case s_suppkey % 4 when 0 then 'CP' when 1 then 'MAP' when 2 then 'AP' end as meal_plan,
+               case when s_suppkey % 5 > 0 then 'double' when s_suppkey % 10 = 0 then 'single' end as occupancy,
+               case when s_suppkey % 3 = 0 then cast(2000 + s_suppkey % 3000 as decimal(12,2)) end as max_amount,
+               s_suppkey % 8 = 0 as net_only
+        from {supplier}""",
+    "b_service_request": """
+        select s_suppkey as request_id,
+               case s_suppkey % 5 when 0 then 'economy' when 1 then 'Tin' when 2 then 'region 2' when 3 then 'red' end as destination,
+               case s_suppkey % 3 when 0 then 'transfer' when 1 then 'activity' end as kind,
+               case when s_suppkey % 4 = 0 then 'Blue' when s_suppkey % 4 = 1 then 'ox m' end as text,
+               date '1997-01-01' + cast(s_suppkey * 53 % 900 as int) as on_date
+        from {supplier}""",
+    "b_package_request": """
+        select s_suppkey as request_id,
+               case when s_suppkey % 6 > 0 then 'CITY ' || (s_suppkey % 9) when s_suppkey % 12 = 0 then 'tour 1' end as destination,
+               date '1993-01-01' + cast(s_suppkey * 71 % 2000 as int) as on_date
+        from {supplier}""",
     "b_text": "select doc_id, text, lang, source, n_chars from {documents}",
     "b_page": "select page_id, url, html from {pages}",
     # one stay request per order: the order's lowest line names the room, the plan and the dates
