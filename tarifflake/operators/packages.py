@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouping import previous_row
 from ..functions.keys import core_title, name_key, overlap_days
 from ..functions.money import money, pct_change
+from ..session import stage
 
 
 def first_categories(prices: DataFrame) -> DataFrame:
@@ -182,54 +182,74 @@ def newer_version(packages: DataFrame, prices: DataFrame, asked: DataFrame) -> D
 
 
 def version_pairs(packages: DataFrame) -> DataFrame:
-    """(new_id, old_id): each package with the one before it in its family."""
-    p = previous_row(
-        packages.select("family_id", "id", "version"), ["family_id"], F.floor(F.col("version") / 100), [F.col("version"), F.col("id")], ["id"]
-    )
-    return p.filter("prev_id is not null").select(F.col("id").alias("new_id"), F.col("prev_id").alias("old_id"))
+    """(new_id, old_id): each package with the version it was compared with when it was loaded."""
+    known = packages.select(F.col("id").alias("old_id"))
+    p = packages.filter("previous_version_id is not null").select(F.col("id").alias("new_id"), F.col("previous_version_id").alias("old_id"))
+    return p.join(known, "old_id").select("new_id", "old_id")
+
+
+def shared_days(a_from: str, a_to: str, b_from: str, b_to: str) -> Column:
+    """Days in common; none where a date is unknown."""
+    known = F.col(a_from).isNotNull() & F.col(a_to).isNotNull() & F.col(b_from).isNotNull() & F.col(b_to).isNotNull()
+    return F.when(known, overlap_days(a_from, a_to, b_from, b_to)).otherwise(0)
+
+
+def covering_upload(members: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``members`` (id, family_id, valid_from, valid_to, seq) with ``covered_at``, ``covered_by``: the first of the
+    family's later ``uploads`` whose dates cover theirs; and ``shared``: whether a later upload has days in common.
+    Members that were there before the batch have no seq; of these, each date range is looked up once."""
+    u = uploads.select(F.col("family_id").alias("u_family"), F.col("valid_from").alias("nf"), F.col("valid_to").alias("nt"), F.col("seq").alias("u_seq"), F.col("id").alias("u_id"))
+    first = u.groupBy("u_family", "nf", "nt").agg(F.min(F.struct("u_seq", "u_id")).alias("u"))
+    first = first.select("u_family", "nf", "nt", "u.u_seq", "u.u_id")
+    asks = members.select("family_id", "valid_from", "valid_to", "seq").distinct()
+    wide, meets = covers("nf", "nt", "valid_from", "valid_to"), shared_days("valid_from", "valid_to", "nf", "nt") > 0
+    found = [F.min(F.when(wide, F.struct("u_seq", "u_id"))).alias("cover"), F.bool_or(meets).alias("shared")]
+    old = asks.filter("seq is null").join(first, F.col("family_id") == F.col("u_family")).groupBy("family_id", "valid_from", "valid_to", "seq").agg(*found)
+    new = asks.filter("seq is not null").join(u, (F.col("family_id") == F.col("u_family")) & (F.col("u_seq") > F.col("seq"))).groupBy("family_id", "valid_from", "valid_to", "seq").agg(*found)
+    f = old.unionByName(new).alias("f")
+    on = F.lit(True)
+    for c in ("family_id", "valid_from", "valid_to", "seq"):
+        on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return members.alias("m").join(f, on, "left").select("m.*", F.col("f.cover.u_seq").alias("covered_at"), F.col("f.cover.u_id").alias("covered_by"), F.col("f.shared").alias("shared"))
 
 
 def load_versions(uploads: DataFrame, library: DataFrame) -> DataFrame:
-    """For each upload: its next version number base and the member it is compared with: a live member where there is
-    one, with the most shared days, then the highest version."""
-    spans = uploads.select("family_id", "valid_from", "valid_to").distinct().alias("n")
-    old = library.groupBy("family_id", "valid_from", "valid_to", (F.col("status") == "active").alias("live")).agg(
-        F.max(F.struct("version", "id")).alias("m")
-    ).alias("o")
-    shared = F.coalesce(overlap_days("n.valid_from", "n.valid_to", "o.valid_from", "o.valid_to"), F.lit(0))
-    best = spans.join(old, F.col("n.family_id") == F.col("o.family_id")).groupBy("n.family_id", "n.valid_from", "n.valid_to").agg(
-        F.max_by("m", F.struct("live", shared, "m.version", "m.id")).alias("base"), F.max("m.version").alias("top")
-    )
-    b = best.alias("b")
-    u = uploads.alias("u")
-    on = F.lit(True)
-    for c in ("family_id", "valid_from", "valid_to"):
-        on = on & F.col(f"u.{c}").eqNullSafe(F.col(f"b.{c}"))
-    j = u.join(b, on, "left")
-    return j.select(F.col("u.id").alias("upload_id"), "u.family_id", (F.coalesce("top", F.lit(0)) + 1).alias("version"), F.col("base.id").alias("base_id"))
+    """For each upload (with its place ``seq`` in the order of approval): its version number, counted on from upload to
+    upload, and the member it is compared with: a live one where there is one, with the most shared days, then the
+    highest version. A member is live for an upload until an earlier upload covers its dates."""
+    top = library.groupBy("family_id").agg(F.max("version").alias("top"))
+    number = F.row_number().over(Window.partitionBy("family_id").orderBy("seq", "id"))
+    u = uploads.select("id", "family_id", "valid_from", "valid_to", "seq").withColumn("nth", number).join(top, "family_id", "left")
+    u = stage(u.select("id", "family_id", "valid_from", "valid_to", "seq", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("version")))
+    none = F.lit(None).cast("bigint").alias("seq")
+    old = library.join(u.select("family_id").distinct(), "family_id", "left_semi").select("id", "family_id", "valid_from", "valid_to", none, "version", (F.col("status") == "active").alias("active"))
+    members = covering_upload(old.unionByName(u.withColumn("active", F.lit(True))), u)
+    # of equal dates and fate the highest version is enough
+    by = ["family_id", "valid_from", "valid_to", "seq", "active", "covered_at"]
+    m = members.groupBy(*by).agg(F.max(F.struct("version", "id")).alias("m")).select(*[F.col(c).alias(f"m_{c}") for c in by], "m")
+    pairs = u.join(m, (F.col("family_id") == F.col("m_family_id")) & (F.col("m_seq").isNull() | (F.col("m_seq") < F.col("seq"))))
+    live = F.col("m_active") & (F.col("m_covered_at").isNull() | (F.col("m_covered_at") >= F.col("seq")))
+    shared = shared_days("valid_from", "valid_to", "m_valid_from", "m_valid_to")
+    base = pairs.groupBy("id").agg(F.max_by("m.id", F.struct(live, shared, "m.version", "m.id")).alias("base_id"))
+    return u.join(base, "id", "left").select(F.col("id").alias("upload_id"), "family_id", "version", "base_id")
 
 
 def version_effects(uploads: DataFrame, library: DataFrame) -> DataFrame:
-    """What the uploads do to each live member of their families."""
-    new = uploads.select("family_id", F.col("valid_from").alias("nf"), F.col("valid_to").alias("nt")).distinct()
-    live = library.filter("status = 'active'").join(new.select("family_id").distinct(), "family_id", "left_semi")
-    hit = live.select("family_id", "valid_from", "valid_to").distinct().join(new, "family_id")
-    seen = hit.groupBy("family_id", "valid_from", "valid_to").agg(
-        F.bool_or(covers("nf", "nt", "valid_from", "valid_to")).alias("covered"),
-        F.bool_or(F.coalesce(overlap_days("valid_from", "valid_to", "nf", "nt") > 0, F.lit(False))).alias("shared"),
-    ).alias("s")
-    m = live.alias("m")
-    on = F.lit(True)
-    for c in ("family_id", "valid_from", "valid_to"):
-        on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}"))
-    action = F.when(F.col("covered"), "replaced").when(F.col("shared"), "overlaps (newer wins on shared dates)").otherwise("kept (other dates)")
-    return m.join(seen, on).select("m.id", "m.family_id", action.alias("action"))
+    """What the uploads (in the order of ``seq``) do to the live members of their families, earlier uploads of the batch
+    included: replaced (by the first that covers its dates), overlapped, or kept."""
+    new = uploads.select("id", "family_id", "valid_from", "valid_to", "seq")
+    live = library.filter("status = 'active'").select("id", "family_id", "valid_from", "valid_to", F.lit(None).cast("bigint").alias("seq"))
+    last = new.groupBy("family_id").agg(F.max("seq").alias("last"))
+    members = live.unionByName(new).join(last, "family_id").filter("seq is null or seq < last").drop("last")
+    m = covering_upload(members, new)
+    action = F.when(F.col("covered_at").isNotNull(), "replaced").when(F.col("shared"), "overlaps (newer wins on shared dates)").otherwise("kept (other dates)")
+    return m.select("id", "family_id", action.alias("action"), F.col("covered_by").alias("replaced_by"))
 
 
 # ---------------------------------------------------------------- comparing price grids
 def _cells(prices: DataFrame, side: str, package: str) -> DataFrame:
-    cell = prices.select(F.col("package_id").alias(package), name_key("category").alias("cat"), "pax_min", "occupancy", "id", "amount")
-    return cell.groupBy(package, "cat", "pax_min", "occupancy").agg(F.min_by("amount", "id").alias(side))
+    cell = prices.select(F.col("package_id").alias(package), name_key("category").alias("cat"), "pax_min", "pax_max", "occupancy", "id", "amount")
+    return cell.groupBy(package, "cat", "pax_min", "pax_max", "occupancy").agg(F.min_by("amount", "id").alias(side))
 
 
 def compare_grids(pairs: DataFrame, prices: DataFrame) -> DataFrame:
@@ -241,7 +261,7 @@ def compare_grids(pairs: DataFrame, prices: DataFrame) -> DataFrame:
     old = _cells(prices.join(used_old, "package_id", "left_semi"), "old", "old_id").join(pairs, "old_id")
     n, o = new.alias("n"), old.alias("o")
     on = F.lit(True)
-    for c in ("old_id", "new_id", "cat", "pax_min", "occupancy"):
+    for c in ("old_id", "new_id", "cat", "pax_min", "pax_max", "occupancy"):
         on = on & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
     j = n.join(o, on, "full")
     kind = (
@@ -252,7 +272,7 @@ def compare_grids(pairs: DataFrame, prices: DataFrame) -> DataFrame:
         .otherwise("down")
     )
     return j.select(
-        *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("old_id", "new_id", "cat", "pax_min", "occupancy")],
+        *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("old_id", "new_id", "cat", "pax_min", "pax_max", "occupancy")],
         "old", "new", kind.alias("change"), pct_change("old", "new").alias("pct"),
     )
 

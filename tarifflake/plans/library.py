@@ -8,10 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.grouping import previous_row
 from ..functions.money import pct_change
-from ..operators import ledger, search
-from .ledger import RK
+from ..operators import ledger, ownership, search
+from .ledger import EXACT, RK
 from .registry import query
 from .scalars import KEY_SQL, pct_sql
 
@@ -200,47 +199,53 @@ def j05(lib):
     return lib.b_hotel.select("id", "name").join(used, "id", "left_anti")
 
 
-CHAIN = f"""chain as (select *, lag(id) over w as prev_id, lag(amount) over w as prev_amount, lag(valid_from) over w as prev_from from (select *, {RK} as rate_key from b_rate) window w as (partition by rate_key order by valid_from, document_id, line_no))"""
+CHAIN = f"""{EXACT},
+ chain as (select t.*, o.amount as prev_amount from told t left join told o on o.id = t.previous_rate_id)"""
 
 
 def rate_chain(lib):
-    """Each rate with the one before it in its key."""
-    r = ledger.keyed(lib.b_rate)
-    return previous_row(r, ["rate_key"], F.year("valid_from"), [F.col("valid_from"), F.col("document_id"), F.col("line_no")], ["id", "amount", "valid_from"])
+    """(ledger rows, loaded lines with the amount of the rate each one followed): the links that the load stored."""
+    led, told = ownership.rebuild(lib.b_line)
+    old = told.select(F.col("id").alias("previous_rate_id"), F.col("amount").alias("prev_amount"))
+    return led, told.filter("change <> 'same'").join(old, "previous_rate_id", "left")
 
 
 @query(
     "j12_rate_changes",
-    f"with {CHAIN} select id, prev_id, cast(prev_amount as double) as old, cast(amount as double) as now, {pct_sql('prev_amount', 'amount')} as pct from chain where prev_id is not null and amount <> prev_amount",
-    ["b_rate"],
+    f"with recursive {CHAIN} select id, previous_rate_id as prev_id, cast(prev_amount as double) as old, cast(amount as double) as now, change_pct as pct from chain where change_pct <> 0",
+    ["b_line"],
 )
 def j12(lib):
-    c = rate_chain(lib).filter("prev_id is not null and amount <> prev_amount")
-    return c.select("id", "prev_id", F.col("prev_amount").alias("old"), F.col("amount").alias("now"), pct_change("prev_amount", "amount").alias("pct"))
+    """Every price move: a rate with the one it followed, where the amounts differ."""
+    _, c = rate_chain(lib)
+    return c.filter("change_pct <> 0").select("id", F.col("previous_rate_id").alias("prev_id"), F.col("prev_amount").alias("old"), F.col("amount").alias("now"), F.col("change_pct").alias("pct"))
 
 
 @query(
     "c31_hotel_history",
-    f"with {CHAIN} select hotel_id, room_type_id, meal_plan, occupancy, weekdays, is_net, id, cast(valid_from as varchar) as valid_from, cast(valid_to as varchar) as valid_to, cast(amount as double) as amount, {STATE} as state, prev_id, {pct_sql('prev_amount', 'amount')} as change_pct, document_id from chain",
-    ["b_rate"],
+    f"""with recursive {CHAIN} select t.hotel_id, t.room_type_id, t.meal_plan, t.occupancy, t.weekdays, t.is_net, case when piece = 0 then p.id else p.id || '/' || piece end as id, cast(p.f as varchar) as valid_from, cast(p.t as varchar) as valid_to, cast(t.amount as double) as amount,
+      t.currency, t.season_name, case when p.taken is not null then 'replaced' when p.t < {TODAY} then 'expired' when p.f > {TODAY} then 'upcoming' else 'current' end as state, t.previous_rate_id as prev_id, t.change_pct, t.document_id
+      from pieces p join told t on t.id = p.id""",
+    ["b_line"],
 )
 def c31(lib):
-    """The series of every rate key, point by point, with state and change."""
-    c = rate_chain(lib)
-    return c.select(
-        "hotel_id", *ledger.KEY, "id", "valid_from", "valid_to", "amount", keys.rate_state("status", "valid_from", "valid_to", F.lit(ON)).alias("state"),
-        "prev_id", pct_change("prev_amount", "amount").alias("change_pct"), "document_id",
-    )
+    """The series of every rate key, point by point: each row of the ledger with its state, its link and its change."""
+    led, _ = rate_chain(lib)
+    facts = lib.b_line.select(F.concat_ws("-", "document_id", "line_no").alias("root_id"), "hotel_id", *ledger.KEY, "season_name")
+    state = keys.rate_state("status", "valid_from", "valid_to", F.lit(ON)).alias("state")
+    return led.join(facts, "root_id").select("hotel_id", *ledger.KEY, "id", "valid_from", "valid_to", "amount", "currency", "season_name", state, F.col("previous_rate_id").alias("prev_id"), "change_pct", "document_id")
 
 
 @query(
     "a17_avg_change_per_supplier",
-    f"with {CHAIN} select supplier_id, count(*) as changes, (case when sum(p) >= 0 then 1 else -1 end * ((abs(sum(p)) * 2 + count(*)) // (2 * count(*)))) / 10.0 as avg_pct from (select supplier_id, cast({pct_sql('prev_amount', 'amount')} * 10 as bigint) as p from chain where prev_id is not null and valid_from >= date '1998-01-01') group by 1",
-    ["b_rate"],
+    f"with recursive {CHAIN} select supplier_id, count(*) as changes, (case when sum(p) >= 0 then 1 else -1 end * ((abs(sum(p)) * 2 + count(*)) // (2 * count(*)))) / 10.0 as avg_pct from (select supplier_id, cast(change_pct * 10 as bigint) as p from chain where change_pct is not null and valid_from >= date '1998-01-01') group by 1",
+    ["b_line"],
 )
 def a17(lib):
-    c = rate_chain(lib).filter(F.col("prev_id").isNotNull() & (F.col("valid_from") >= F.lit(dt.date(1998, 1, 1))))
-    return c.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("changes"), F.round(F.sum(pct_change("prev_amount", "amount")) / F.count(F.lit(1)), 1).alias("avg_pct"))
+    _, c = rate_chain(lib)
+    c = c.filter(F.col("change_pct").isNotNull() & (F.col("valid_from") >= F.lit(dt.date(1998, 1, 1))))
+    by = lib.b_line.select(F.concat_ws("-", "document_id", "line_no").alias("id"), "supplier_id")
+    return c.join(by, "id").groupBy("supplier_id").agg(F.count(F.lit(1)).alias("changes"), F.round(F.sum("change_pct") / F.count(F.lit(1)), 1).alias("avg_pct"))
 
 
 @query(

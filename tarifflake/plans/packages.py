@@ -57,35 +57,39 @@ def w08(lib):
 
 
 UPLOADS = """
- up as (select p.* from b_package p join b_document d on d.id = p.document_id where d.status = 'needs_review'),
- lib as (select p.* from b_package p join b_document d on d.id = p.document_id where d.status = 'approved')"""
+ up as (select p.*, d.approval_seq as seq from b_package p join b_document d on d.id = p.document_id where d.status = 'needs_review'),
+ lib as (select p.*, cast(null as bigint) as seq from b_package p join b_document d on d.id = p.document_id where d.status = 'approved'),
+ numbered as (select u.id, u.family_id, u.valid_from, u.valid_to, u.seq, coalesce((select max(l.version) from lib l where l.family_id = u.family_id), 0) + row_number() over (partition by u.family_id order by u.seq) as number from up u),
+ member as (select id, family_id, valid_from, valid_to, seq, version as number, status = 'active' as active from lib union all select id, family_id, valid_from, valid_to, seq, number, true from numbered),
+ covered as (select m.id, min_by(u.id, u.seq) filter (wide) as by_id, min(u.seq) filter (wide) as at, bool_or(coalesce(least(m.valid_to, u.valid_to) >= greatest(m.valid_from, u.valid_from), false)) filter (m.valid_from is not null and m.valid_to is not null and u.valid_from is not null and u.valid_to is not null) as shared, count(*) as later
+   from (select m.*, u.id as u_id, u.seq as u_seq, u.valid_from is null or u.valid_to is null or m.valid_from is null or m.valid_to is null or (u.valid_from <= m.valid_from and u.valid_to >= m.valid_to) as wide
+     from member m join numbered u on u.family_id = m.family_id and (m.seq is null or u.seq > m.seq)) x join member m on m.id = x.id join numbered u on u.id = x.u_id group by m.id)
+"""
 
 
 def _split(lib):
-    d = lib.b_document.select(F.col("id").alias("document_id"), F.col("status").alias("ds"))
+    d = lib.b_document.select(F.col("id").alias("document_id"), F.col("status").alias("ds"), F.col("approval_seq").alias("seq"))
     p = lib.b_package.join(d, "document_id")
-    return p.filter("ds = 'needs_review'"), p.filter("ds = 'approved'")
+    return p.filter("ds = 'needs_review'"), p.filter("ds = 'approved'").drop("seq")
 
 
 @query(
     "c10_package_versioning",
-    f"""with {UPLOADS} select id, family_id, case
-         when exists (select 1 from up u where u.family_id = l.family_id and (u.valid_from is null or u.valid_to is null or l.valid_from is null or l.valid_to is null or (u.valid_from <= l.valid_from and u.valid_to >= l.valid_to))) then 'replaced'
-         when exists (select 1 from up u where u.family_id = l.family_id and u.valid_from <= l.valid_to and l.valid_from <= u.valid_to) then 'overlaps (newer wins on shared dates)' else 'kept (other dates)' end as action
-       from lib l where status = 'active' and family_id in (select family_id from up)""",
+    f"""with {UPLOADS} select m.id, m.family_id, case when c.at is not null then 'replaced' when c.shared then 'overlaps (newer wins on shared dates)' else 'kept (other dates)' end as action, c.by_id as replaced_by
+       from member m join covered c on c.id = m.id where m.active""",
     ["b_package", "b_document"],
 )
 def c10(lib):
+    """What the waiting uploads, one after the other, do to the live versions of their families."""
     up, old = _split(lib)
     return packages.version_effects(up, old)
 
 
 @query(
     "w08_version_base",
-    f"""with {UPLOADS} select u.id as upload_id, u.family_id, coalesce(max(l.version), 0) + 1 as version,
-         max_by(l.id, (l.status = 'active', coalesce(greatest(0, least(l.valid_to, u.valid_to) - greatest(l.valid_from, u.valid_from) + 1), 0), l.version, l.id)) as base_id
-       from (select id, family_id, case when valid_to is not null then valid_from end as valid_from, case when valid_from is not null then valid_to end as valid_to from up) u
-       left join (select * from lib) l on l.family_id = u.family_id group by u.id, u.family_id""",
+    f"""with {UPLOADS} select u.id as upload_id, u.family_id, any_value(u.number) as version,
+         max_by(m.id, (m.active and (c.at is null or c.at >= u.seq), coalesce(case when u.valid_to is not null and u.valid_from is not null and m.valid_from is not null and m.valid_to is not null then greatest(0, least(m.valid_to, u.valid_to) - greatest(m.valid_from, u.valid_from) + 1) end, 0), m.number, m.id)) as base_id
+       from numbered u left join member m on m.family_id = u.family_id and (m.seq is null or m.seq < u.seq) left join covered c on c.id = m.id group by u.id, u.family_id""",
     ["b_package", "b_document"],
 )
 def w08b(lib):
@@ -111,14 +115,14 @@ def w11(lib):
 
 
 GRID = f"""
- pairs as (select id as new_id, lag(id) over (partition by family_id order by version, id) as old_id from b_package qualify old_id is not null),
- cell as (select package_id, {KEY_SQL.format('category')} as cat, pax_min, occupancy, min_by(amount, id) as amount from b_price group by all),
+ pairs as (select p.id as new_id, p.previous_version_id as old_id from b_package p where exists (select 1 from b_package o where o.id = p.previous_version_id)),
+ cell as (select package_id, {KEY_SQL.format('category')} as cat, pax_min, pax_max, occupancy, min_by(amount, id) as amount from b_price group by all),
  n as (select p.*, c.* exclude(package_id) from pairs p join cell c on c.package_id = p.new_id),
  o as (select p.*, c.* exclude(package_id) from pairs p join cell c on c.package_id = p.old_id),
- cmp as (select coalesce(n.old_id, o.old_id) as old_id, coalesce(n.new_id, o.new_id) as new_id, coalesce(n.cat, o.cat) as cat, coalesce(n.pax_min, o.pax_min) as pax_min, coalesce(n.occupancy, o.occupancy) as occupancy,
+ cmp as (select coalesce(n.old_id, o.old_id) as old_id, coalesce(n.new_id, o.new_id) as new_id, coalesce(n.cat, o.cat) as cat, coalesce(n.pax_min, o.pax_min) as pax_min, coalesce(n.pax_max, o.pax_max) as pax_max, coalesce(n.occupancy, o.occupancy) as occupancy,
      o.amount as old, n.amount as new, case when o.amount is null then 'new' when n.amount is null then 'removed' when o.amount = n.amount then 'same' when n.amount > o.amount then 'up' else 'down' end as change,
      {pct_sql('o.amount', 'n.amount')} as pct
-   from n full join o on o.new_id = n.new_id and o.old_id = n.old_id and o.cat = n.cat and o.pax_min is not distinct from n.pax_min and o.occupancy = n.occupancy),
+   from n full join o on o.new_id = n.new_id and o.old_id = n.old_id and o.cat = n.cat and o.pax_min is not distinct from n.pax_min and o.pax_max is not distinct from n.pax_max and o.occupancy = n.occupancy),
  summ as (select old_id, new_id, count(*) filter (change = 'up') as up, count(*) filter (change = 'down') as down, count(*) filter (change = 'same') as same, count(*) filter (change = 'new') as "new", count(*) filter (change = 'removed') as removed,
      coalesce(case when sum(pct) filter (pct <> 0) >= 0 then 1 else -1 end * ((abs(sum(cast(pct * 10 as bigint)) filter (pct <> 0)) * 2 + count(*) filter (pct <> 0)) // nullif(2 * count(*) filter (pct <> 0), 0)) / 10.0, 0.0) as avg_change_pct
    from cmp group by 1, 2)
@@ -136,18 +140,18 @@ def a20(lib):
 
 @query(
     "u02_removed_cells",
-    f"with {GRID} select old_id, new_id, cat, pax_min, occupancy, cast(old as double) as old from cmp where change = 'removed'",
+    f"with {GRID} select old_id, new_id, cat, pax_min, pax_max, occupancy, cast(old as double) as old from cmp where change = 'removed'",
     ["b_package", "b_price"],
 )
 def u02(lib):
     cells = packages.compare_grids(packages.version_pairs(lib.b_package), lib.b_price)
-    return cells.filter("change = 'removed'").select("old_id", "new_id", "cat", "pax_min", "occupancy", "old")
+    return cells.filter("change = 'removed'").select("old_id", "new_id", "cat", "pax_min", "pax_max", "occupancy", "old")
 
 
 @query(
     "a21_place_overlap",
-    """with pairs as (select id as new_id, destinations as nd, lag(id) over w as old_id, lag(destinations) over w as od from b_package window w as (partition by family_id order by version, id))
-      select new_id, old_id, round(len(list_intersect(list_distinct(nd), list_distinct(od))) / cast(len(list_distinct(list_concat(nd, od))) as double), 6) as overlap from pairs where old_id is not null""",
+    """with pairs as (select p.id as new_id, p.destinations as nd, o.id as old_id, o.destinations as od from b_package p join b_package o on o.id = p.previous_version_id)
+      select new_id, old_id, round(len(list_intersect(list_distinct(nd), list_distinct(od))) / cast(len(list_distinct(list_concat(nd, od))) as double), 6) as overlap from pairs""",
     ["b_package"],
 )
 def a21(lib):
@@ -186,7 +190,7 @@ def a22(lib):
     ["b_package", "b_price"],
 )
 def c32(lib):
-    """Every version of every family with its state, lowest twin price and comparison with the version before."""
+    """Every version of every family with its state, lowest twin price and comparison with the version it followed."""
     twin = lib.b_price.groupBy("package_id").agg(
         F.min(F.when(F.col("occupancy") == "double", F.col("amount"))).alias("from_price"), F.min_by("currency", "id").alias("currency")
     )

@@ -324,7 +324,7 @@ def w10(lib):
 
 @query(
     "c26_insert_library_days",
-    """with pick as (select t.id as trip_id, d.day_number as n, d.title, d.overnight from b_trip t join b_day d on d.package_id = t.id where d.day_number <= 2),
+    """with pick as (select t.id as trip_id, d.day_number as n, d.title, d.overnight from b_trip t join b_day d on d.package_id = t.id),
        pn as (select *, row_number() over (partition by trip_id order by n) as pick_no, count(*) over (partition by trip_id) as k from pick),
        ks as (select distinct trip_id, k from pn)
        select d.trip_id, row_number() over (partition by d.trip_id order by pos) as position, title from (
@@ -333,8 +333,8 @@ def w10(lib):
     ["b_trip", "b_day", "b_trip_day"],
 )
 def c26(lib):
-    """The first days of the package of the same number go in after day 1 of each trip."""
-    pick = lib.b_day.filter("day_number <= 2").select(F.col("package_id").alias("trip_id"), "day_number", "title", "overnight")
+    """The days of the package of the same number go in after day 1 of each trip."""
+    pick = lib.b_day.select(F.col("package_id").alias("trip_id"), "day_number", "title", "overnight")
     pick = numbered(pick, ["trip_id"], F.col("day_number"), [F.col("day_number")], "pick_no").drop("day_number")
     after = pick.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_picks")).withColumn("after_position", F.lit(1))
     all_days = trips.insert_days(lib.b_trip_day.select("trip_id", "position", "title", "overnight"), pick, after)

@@ -30,14 +30,18 @@ VIEWS: dict[str, str] = {
                  || case when s_suppkey % 2 = 0 then ', Desk' || s_suppkey || '@example.com' else '' end as email,
                '+91 98470 ' || lpad(cast(cast(floor(s_suppkey / 2) as bigint) as varchar(12)), 5, '0') as phone,
                case when s_suppkey % 4 > 0 then 'gst' || cast(floor(s_suppkey / 5) as bigint) end as gst_number,
-               case when s_suppkey % 5 = 0 then cast(null as varchar(20)) else 'Street ' || s_suppkey end as address
+               case when s_suppkey % 5 = 0 then cast(null as varchar(20)) else 'Street ' || s_suppkey end as address,
+               case when s_suppkey % 3 > 0 then 'Manager ' || s_suppkey end as contact_person,
+               case when s_suppkey % 2 = 0 then 'www' || s_suppkey || '.example.com' end as website
         from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey""",
     "b_hotel": """
         select cast(floor(p_partkey / 2) as bigint) as id, p_name as name,
                case when p_size % 10 > 0 then p_brand end as city, p_type as destination,
                case p_size % 4 when 0 then 'Standard' when 1 then 'Deluxe' when 2 then 'Premium' else 'Luxury' end
                  as category,
-               p_size % 5 + 1 as star_rating, p_partkey % 100 as supplier_id
+               p_size % 5 + 1 as star_rating, p_partkey % 100 as supplier_id,
+               case when p_size % 6 > 0 then case p_size % 3 when 0 then 'resort' when 1 then 'hotel' else 'houseboat' end end as property_type,
+               case when p_size % 7 > 0 then p_size || ' Lake Road' end as address
         from {part} where p_partkey % 2 = 0""",
     "b_room": """
         select p_partkey as id, cast(floor(p_partkey / 2) as bigint) as hotel_id,
@@ -104,6 +108,7 @@ VIEWS: dict[str, str] = {
                case when p_size % 7 > 0 then p_size % 2 = 0 end as is_net,
                date '1996-01-01' + cast(p_size * 10 as int) as valid_from,
                date '1998-01-01' + cast(p_size * 20 as int) as valid_to,
+               case when p_size % 8 = 0 then 'Pick up at ' || p_brand end as notes,
                case when p_size % 11 = 0 then 'superseded' else 'active' end as status
         from {part}""",
     "b_package": """
@@ -111,7 +116,8 @@ VIEWS: dict[str, str] = {
                'Tour ' || (o_custkey % 50) || ' ' || o_orderpriority || ' ' || year(o_orderdate) as title,
                case when o_custkey % 5 > 0 then 'Region ' || (o_custkey % 5) end as region,
                split('City ' || (o_custkey % 7) || ',City ' || (o_orderkey % 9), ',') as destinations,
-               cast(o_custkey % 4 + 3 as int) as nights,
+               cast(o_custkey % 4 + 3 as int) as nights, cast(o_custkey % 4 + 4 as int) as days,
+               nullif(min(o_orderkey) over (partition by o_custkey), o_orderkey) as previous_version_id,
                case when o_orderkey % 17 > 0 then cast(o_orderdate as date) end as valid_from,
                case when o_orderkey % 17 > 0
                  then cast(o_orderdate as date) + cast(60 + o_orderkey % 3 * 60 as int) end as valid_to,
@@ -124,6 +130,8 @@ VIEWS: dict[str, str] = {
         select l_orderkey as package_id, {row} as id,
                case l_returnflag when 'A' then 'Standard' when 'N' then 'Deluxe' else 'Luxury' end as category,
                case when l_linenumber <= 4 then l_linenumber * 2 end as pax_min,
+               case when l_linenumber <= 4 then l_linenumber * 2 + l_suppkey % 3 % 2 end as pax_max,
+               case when l_suppkey % 7 = 0 then 'per_package' else 'per_person' end as basis,
                case when l_linenumber <= 4 then 'double' when l_linenumber = 5 then 'extra_adult'
                  when l_linenumber = 6 then 'child_with_bed' else 'child_without_bed' end as occupancy,
                cast(floor(l_extendedprice / 5000) * 500 + 5000 as decimal(12,2)) as amount,
@@ -148,10 +156,14 @@ VIEWS: dict[str, str] = {
         select c_custkey as id, 'Lake ' || cast(floor(c_custkey / 3) as bigint) as name,
                case when c_custkey % 3 > 0 then c_mktsegment end as destination,
                'District ' || c_nationkey as region, 'lake' as kind,
-               case when c_custkey % 2 = 0 then 'Boating at ' || c_name end as description
+               case when c_custkey % 2 = 0 then 'Boating at ' || c_name end as description,
+               case when c_custkey % 4 > 0 then 'Apr to ' || c_mktsegment end as availability
         from {customer}""",
     "b_trip": """
         select o_orderkey as id, 'Trip ' || o_orderkey as title, 'Customer ' || o_custkey as customer_name,
+               case when o_custkey % 3 > 0 then '+91 ' || o_custkey end as customer_phone,
+               case when o_custkey % 2 = 0 then 'c' || o_custkey || '@example.com' end as customer_email,
+               case when o_orderkey % 5 > 0 then 'Agent ' || (o_orderkey % 5) end as assigned_to,
                case when o_orderpriority <> '5-LOW' then o_orderpriority end as lead_source,
                case when o_orderstatus = 'F' then case when o_orderkey % 2 = 0 then 'completed' else 'confirmed' end
                     when o_orderstatus = 'O' then case when o_orderkey % 3 = 0 then 'lost' else 'quoted' end
