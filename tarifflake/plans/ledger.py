@@ -278,26 +278,58 @@ def recent_changes(c):
     )
 
 
+# every case is a copy of the touched keys' lines: 0 is the library as it is, any other number the library without that document
+_CASES = """newest as (select max_by(id, approval_seq) as undone from b_document where status = 'approved' group by supplier_id),
+  cases as (select l.* replace (u.undone * 100000000 + l.document_id as document_id, u.undone || '#' || l.meal_plan as meal_plan), u.undone, l.document_id as doc from (
+      select distinct u.undone, {k} from b_line join newest u on u.undone = b_line.document_id union select distinct 0, {k} from b_line join newest u on u.undone = b_line.document_id) u
+    join b_line l on {same} where l.document_id <> u.undone)"""
+_KEYS = ["room_type_id", "meal_plan", "occupancy", "weekdays", "is_net"]
+_CASES = _CASES.format(k=", ".join(f"{c} as k_{c}" for c in _KEYS), same=" and ".join(f"l.{c} is not distinct from u.k_{c}" for c in _KEYS))
+UNDO = f"""{_CASES}, {EXACT.replace('from b_line', 'from cases')},
+  rows as (select t.undone, t.doc, t.doc || '-' || t.line_no as root_id, split_part(p.rate_key, '#', 1) as room, p.rate_key, p.taken, p.f, p.t,
+      replace(p.rate_key, '|' || t.undone || '#', '|') as key from pieces p join told t on t.id = p.id),
+  refused as (select distinct u.undone as document_id, 'trips use packages of this document' as reason from newest u join b_package p on p.document_id = u.undone
+      where p.id in (select ref_id from b_item where kind = 'package') or p.id in (select source_package_id from b_trip_day)),
+  replaced as (select distinct doc as document_id from rows where undone = 0 and taken is not null and doc in (select undone from newest)),
+  guards as (select * from refused union all select document_id, 'a later document replaced some of these rates' from replaced where document_id not in (select document_id from refused))"""
+_UNDO_VIEWS = ["b_line", "b_document", "b_package", "b_item", "b_trip_day"]
+
+
+def _undo_requests(lib):
+    """The newest approved sheet of every supplier."""
+    d = lib.b_document.filter("status = 'approved'").groupBy("supplier_id").agg(F.max_by("id", "approval_seq").alias("document_id"))
+    return d.select("document_id")
+
+
 @query(
-    "c12_undo_document",
-    f"""with recursive gone as (select max(id) as doc from b_document where status = 'approved'),
-      touched as (select distinct {RK} as rk from b_line where document_id = (select doc from gone)),
-      kept as (select * from b_line where {RK} in (select rk from touched) and document_id <> (select doc from gone)),
-      {LIVE.replace('from b_line', 'from kept')} select {LIVE_COLS} from live""",
-    ["b_line", "b_document"],
+    "c12_undo_outcome",
+    f"""with recursive {UNDO} select u.undone as document_id, case when g.reason is null then 'undone' else 'refused' end as outcome, g.reason from newest u left join guards g on g.document_id = u.undone""",
+    _UNDO_VIEWS,
 )
-def c12(lib):
-    """Takes the newest approved sheet out again: the keys it touched are recomputed from the remaining sheets."""
-    newest = lib.b_document.filter("status = 'approved'").agg(F.max("id").alias("document_id"))
-    return undo(lib.b_line, newest)
+def c12o(lib):
+    """Whether each of these sheets can be taken out of the library again."""
+    asked = _undo_requests(lib)
+    _, now = ownership.undo(asked, lib.b_line)
+    no = ownership.undo_refused(asked, now, lib.b_package, lib.b_item, lib.b_trip_day)
+    return asked.join(no, "document_id", "left").select("document_id", F.when(F.col("reason").isNull(), "undone").otherwise("refused").alias("outcome"), "reason")
 
 
-def undo(lines, documents):
-    k = ledger.keyed(lines)
-    docs = documents.select("document_id").distinct()
-    touched = k.join(docs, "document_id", "left_semi").select("rate_key").distinct()
-    kept = k.join(touched, "rate_key", "left_semi").join(docs, "document_id", "left_anti").drop("rate_key")
-    return ledger.live_rates(kept)
+@query(
+    "c12_undo_document",
+    f"""with recursive {UNDO},
+      before as (select r.key, r.root_id, case when taken is null then 'active' else 'superseded' end as status, r.f, r.t, k.undone from rows r join (select distinct undone, replace(rate_key, '|' || undone || '#', '|') as key from kl where undone > 0
+          union select distinct u.undone, {RK} from b_line join newest u on u.undone = b_line.document_id) k on k.key = r.key where r.undone = 0),
+      after as (select key, root_id, case when taken is null then 'active' else 'superseded' end as status, f, t, undone from rows where undone > 0),
+      moved as (select *, 'removed' as action from (select * from before except all select * from after) union all select *, 'restored' from (select * from after except all select * from before))
+      select undone as document_id, action, key as rate_key, root_id, status, cast(f as varchar) as valid_from, cast(t as varchar) as valid_to from moved where undone not in (select document_id from guards)""",
+    _UNDO_VIEWS,
+)
+def c12(lib):
+    """The rows that taking out each of these sheets removes and restores; sheets that cannot be taken out have none."""
+    asked = _undo_requests(lib)
+    changes, now = ownership.undo(asked, lib.b_line)
+    no = ownership.undo_refused(asked, now, lib.b_package, lib.b_item, lib.b_trip_day)
+    return changes.join(no, "document_id", "left_anti").select("document_id", "action", "rate_key", "root_id", "status", "valid_from", "valid_to")
 
 
 @query(
