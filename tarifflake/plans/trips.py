@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, money
 from ..functions.grouping import numbered
-from ..operators import packages, trips
+from ..operators import packages, quotes, trips
 from .packages import COVERS, trend_points  # noqa: F401
 from .registry import query
 
@@ -344,12 +344,28 @@ def c26(lib):
 
 @query(
     "c27_copy_plans",
-    """select t.id + 10000000 as id, 'Copy of ' || title as title, 'enquiry' as status, cast(start_date as varchar) as start_date, (select count(*) from b_trip_day d where d.trip_id = t.id) as days,
+    """select t.id + (select max(id) from b_trip) as id, 'Copy of ' || title as title, 'enquiry' as status, cast(start_date as varchar) as start_date, (select count(*) from b_trip_day d where d.trip_id = t.id) as days,
         (select coalesce(cast(sum(amount) as double), 0) from b_item i where i.trip_id = t.id) as amount from b_trip t""",
     ["b_trip", "b_trip_day", "b_item"],
 )
 def c27(lib):
-    head, days, items = trips.copy_plan(lib.b_trip, lib.b_trip_day, lib.b_item, F.col("id") + 10000000)
+    return _copied(lib, lib.b_trip)
+
+
+@query(
+    "c27_trips_from_templates",
+    """select t.id + (select max(id) from b_trip) as id, title, 'enquiry' as status, cast(null as varchar) as start_date, (select count(*) from b_trip_day d where d.trip_id = t.id) as days,
+        (select coalesce(cast(sum(amount) as double), 0) from b_item i where i.trip_id = t.id) as amount from b_trip t where is_template""",
+    ["b_trip", "b_trip_day", "b_item"],
+)
+def c27t(lib):
+    """A trip started from every template: its days and costs, without dates and customer."""
+    return _copied(lib, lib.b_trip.filter("is_template"), template=True)
+
+
+def _copied(lib, source, template=False):
+    last = lib.b_trip.agg(F.max("id").alias("m")).first()["m"]
+    head, days, items = trips.copy_plan(source, lib.b_trip_day, lib.b_item, F.col("id") + F.lit(last), as_template=template)
     d = days.groupBy(F.col("trip_id").alias("id")).agg(F.count(F.lit(1)).alias("days"))
     a = items.groupBy(F.col("trip_id").alias("id")).agg(F.sum("amount").cast("double").alias("amount"))
     j = head.join(d, "id", "left").join(a, "id", "left")
@@ -405,6 +421,63 @@ def c28(lib):
     )
 
 
+_LAST_QUOTE = "(select max(id) from b_quote)"
+_QUOTABLE = f"""saved as (select t.id + {_LAST_QUOTE} as id, t.id as trip_id, coalesce(o.n, 0) + 1 as version, 'Q-' || year({TODAY}) || '-' || lpad(cast(t.id + {_LAST_QUOTE} as varchar), cast(greatest(4, length(cast(t.id + {_LAST_QUOTE} as varchar))) as int), '0') as number
+      from b_trip t left join (select trip_id, count(*) as n from b_quote group by 1) o on o.trip_id = t.id where not t.is_template and (exists (select 1 from b_trip_day d where d.trip_id = t.id) or exists (select 1 from b_item i where i.trip_id = t.id)))"""
+
+
+def _saved(lib):
+    return quotes.save(lib.b_trip, lib.b_trip_day, lib.b_item, tt(lib), lib.b_quote, ON)
+
+
+@query(
+    "c28_save_quotations",
+    f"""with {TT}, {_QUOTABLE} select s.id, s.trip_id, s.version, s.number, cast({TODAY} + 7 as varchar) as valid_until, t.title, t.customer_name, t.destination, cast(t.start_date as varchar) as start_date, tt.travellers, tt.currency, cast(tt.sell as double) as total,
+      case when t.status = 'enquiry' then 'quoted' else t.status end as trip_status, 'Quotation ' || s.number || ' (v' || s.version || ') saved: ' || tt.currency || ' ' || format('{{:,}}', cast(round(tt.sell, 0) as bigint)) as note
+      from saved s join b_trip t on t.id = s.trip_id join tt on tt.trip_id = t.id""",
+    [*TT_VIEWS, "b_trip_day", "b_quote"],
+)
+def c28s(lib):
+    """Every quotable trip saved as a quotation: number, version, totals, what becomes of the trip, and its note."""
+    q, moved, notes = _saved(lib)
+    status = lib.b_trip.select(F.col("id").alias("trip_id"), F.col("status").alias("own")).join(moved.select(F.col("id").alias("trip_id"), F.col("status").alias("after")), "trip_id", "left")
+    j = q.join(status, "trip_id").join(notes.withColumnRenamed("text", "note"), "trip_id")
+    return j.select("id", "trip_id", "version", "number", "valid_until", "title", "customer_name", "destination", "start_date", "travellers", "currency", "total", F.coalesce("after", "own").alias("trip_status"), "note")
+
+
+@query(
+    "c28_trips_from_quotations",
+    f"""with {_QUOTABLE}, n as (select s.id + (select max(id) from b_trip) as new_id, s.* from saved s)
+      select n.new_id as trip_id, 'day' as part, cast(d.position as bigint) as seq, d.title as text, cast(null as double) as amount, d.source_package_id as ref_id from n join b_trip_day d on d.trip_id = n.trip_id
+      union all select n.new_id, i.kind, i.id, i.description, cast(i.amount as double), i.ref_id from n join b_item i on i.trip_id = n.trip_id
+      union all select n.new_id, 'trip', null, t.title || ' for ' || t.customer_name || ' from ' || n.number, cast(t.markup_pct as double), null from n join b_trip t on t.id = n.trip_id""",
+    ["b_trip", "b_trip_day", "b_item", "b_quote"],
+)
+def c28n(lib):
+    """New trips from the frozen copies: the rows that come out of the snapshots are those that went in."""
+    q, _, _ = _saved(lib)
+    head, days, items, notes = quotes.new_trips(q, lib.b_trip)
+    none = F.lit(None)
+    d = days.select("trip_id", F.lit("day").alias("part"), F.col("position").cast("bigint").alias("seq"), F.col("title").alias("text"), none.cast("double").alias("amount"), F.col("source_package_id").cast("bigint").alias("ref_id"))
+    i = items.select("trip_id", F.col("kind").alias("part"), F.col("id").alias("seq"), F.col("description").alias("text"), F.col("amount").cast("double").alias("amount"), F.col("ref_id").cast("bigint").alias("ref_id"))
+    number = notes.select("trip_id", F.regexp_replace("text", "^Started from quotation ", "").alias("number"))
+    h = head.withColumnRenamed("id", "trip_id").join(number, "trip_id")
+    t = h.select("trip_id", F.lit("trip").alias("part"), none.cast("bigint").alias("seq"), F.concat("title", F.lit(" for "), "customer_name", F.lit(" from "), "number").alias("text"), F.col("markup_pct").cast("double").alias("amount"), none.cast("bigint").alias("ref_id"))
+    return d.unionByName(i).unionByName(t)
+
+
+@query(
+    "c30_trip_notes",
+    """with n as (select q.*, row_number() over (partition by q.trip_id order by q.id) as version, 'Q-' || year(created_on) || '-' || lpad(cast(q.id as varchar), cast(greatest(4, length(cast(q.id as varchar))) as int), '0') as number from b_quote q)
+      select trip_id, n.id as quote_id, 'Quotation ' || number || ' (v' || version || ') saved: INR ' || format('{:,}', cast(round(coalesce(total, 0), 0) as bigint)) as text from n join b_trip t on t.id = n.trip_id
+      union all select trip_id, n.id, 'Quotation ' || number || ' accepted' || coalesce(' (' || coalesce(n.chosen_option, t.chosen_option) || ')', '') from n join b_trip t on t.id = n.trip_id where n.status = 'accepted'""",
+    ["b_quote", "b_trip"],
+)
+def c30n(lib):
+    """The notes that saved and accepted quotations leave in their trips' logs."""
+    return quotes.status_notes(quotation_numbers(lib.b_quote, "Q"), lib.b_trip)
+
+
 @query(
     "c29_expire_quotations",
     f"""select id, case when status in ('draft', 'sent') and valid_until < {TODAY} then 'expired' else status end as status, cast(valid_until as varchar) as valid_until from b_quote where contains(lower(title), 'plan 1') or contains(lower(customer_name), 'plan 1') or contains(lower(destination), 'plan 1')""",
