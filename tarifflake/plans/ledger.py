@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger, ownership, search
+from ..operators import ledger, ownership, search, services
 from .registry import query
 from .scalars import DOW_SQL, KEY_SQL, pct_sql
 
@@ -415,3 +415,51 @@ def live_picture(rows):
     run = rows.withColumn("__run", F.sum(apart.cast("int")).over(w))
     merged = run.groupBy("rate_key", *ledger.TERMS, "__run").agg(F.min("valid_from").alias("f"), F.max("valid_to").alias("t"))
     return merged.select("rate_key", *ledger.TERMS, F.col("f").alias("valid_from"), F.col("t").alias("valid_to"))
+
+
+# service lines: names of one service differ by an s at the end at most, which is close enough
+_SK = "concat_ws('|', cast(supplier_id as varchar), kind, coalesce(vehicle_type, '-'), basis)"
+_SERVICE_LINES = f"""
+ kl as (select *, {_SK} || '|' || name_key as rate_key, row_number() over (partition by cls order by approval_seq, line_no) as n from (
+   select document_id, approval_seq, line_no, supplier_id, amount, currency, coalesce(cast(amount_max as varchar), '-') as basis, cast(null as boolean) as taxes_included, valid_from, valid_to, {KEY_SQL.format("coalesce(season_name, '')")} as season,
+     concat_ws('-', cast(document_id as varchar), cast(line_no as varchar)) as id, {KEY_SQL.format('name')} as name_key, {_SK} as blk, {_SK} || '|' || regexp_replace({KEY_SQL.format('name')}, 's$', '') as cls from b_service_line)),
+""".replace(f"select *, {_SK} || '|'", "select *, blk || '|'")
+_SERVICE_FOLD = f"""
+ kfold as (select cls, n, false as same, rate_key as cmp, [struct_pack(k := k.rate_key, c := k.rate_key, line := {_WRITE})] as w from kl k where n = 1
+   union all select cls, n, same, cmp, case when same then w else list_append(w, struct_pack(k := rate_key, c := cmp, line := line)) end from (
+     select cls, n, w, line, rate_key, cmp, newest is distinct from seq and len(list_filter(met, lambda o: o.k = cmp and o.line.seq = newest and o.line.f <= line.f and o.line.t >= line.t and o.line.terms = line.terms)) > 0 as same
+     from (select *, line.seq as seq, list_max(list_transform(met, lambda o: o.line.seq)) as newest
+       from (select *, list_filter(w, lambda o: (o.k = cmp or o.c = cmp) and o.line.f <= line.t and line.f <= o.line.t) as met
+         from (select k.cls, k.n, k.rate_key, f.w, {_WRITE} as line, case when len(list_filter(f.w, lambda o: o.k = k.rate_key and o.line.seq < k.approval_seq)) > 0 then k.rate_key
+                 else coalesce(list_filter(f.w, lambda o: o.k <> k.rate_key and o.line.seq < k.approval_seq)[1].k, k.rate_key) end as cmp
+               from kfold f join kl k on k.cls = f.cls and k.n = f.n + 1))))),
+ wr as (select kl.*, cmp from kl join kfold using (cls, n) where not same),
+"""
+_AFTER = EXACT[EXACT.index(" own as (select id"):]
+_AFTER = _AFTER.replace("w.rate_key = o.rate_key and w.approval_seq > o.approval_seq", "o.cls = w.cls and (o.rate_key = w.rate_key or o.rate_key = w.cmp) and w.approval_seq > o.approval_seq").replace("o.rate_key = x.rate_key and o.approval_seq < x.approval_seq", "o.rate_key = x.cmp and o.approval_seq < x.approval_seq")
+# what a sheet's own lines take from each other's calendars is nothing, and a line takes no days under its own name if it is compared with another
+SERVICE = _SERVICE_LINES + _SERVICE_FOLD + _AFTER
+
+
+@query(
+    "c05_service_rate_load",
+    f"""with recursive {SERVICE} select id, document_id, change, previous_rate_id, change_pct from told
+      union all select kl.id, kl.document_id, 'same', null, null from kl join kfold using (cls, n) where same""",
+    ["b_service_line"],
+)
+def c05s(lib):
+    """What every service line did when its sheet was approved, names being recognised as they come."""
+    _, told = services.rebuild(lib.b_service_line)
+    return told.select("id", "document_id", "change", "previous_rate_id", "change_pct")
+
+
+@query(
+    "c07_service_ledger",
+    f"""with recursive {SERVICE} select p.rate_key, case when piece = 0 then p.id else p.id || '/' || piece end as id, case when p.taken is null then 'active' else 'superseded' end as status, t.document_id, cast(t.amount as double) as amount,
+      cast(p.f as varchar) as valid_from, cast(p.t as varchar) as valid_to, w.document_id as replaced_by, t.previous_rate_id from pieces p join told t on t.id = p.id left join kl w on w.cls = t.cls and w.n = p.taken""",
+    ["b_service_line"],
+)
+def c07s(lib):
+    """Every row of the service ledger, live and superseded."""
+    led, _ = services.rebuild(lib.b_service_line)
+    return led.select("rate_key", "id", "status", "document_id", "amount", "valid_from", "valid_to", "replaced_by", "previous_rate_id")

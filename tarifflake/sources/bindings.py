@@ -111,6 +111,19 @@ VIEWS: dict[str, str] = {
                case when p_size % 8 = 0 then 'Pick up at ' || p_brand end as notes,
                case when p_size % 11 = 0 then 'superseded' else 'active' end as status
         from {part}""",
+    # service lines of price sheets; a sheet may word a service a little differently
+    "b_service_line": """
+        select l_orderkey as document_id, {seq_l} as approval_seq, {row} as line_no, l_partkey % 100 as supplier_id,
+               case p_size % 4 when 0 then 'transfer' when 1 then 'activity' when 2 then 'sightseeing' else 'entry_ticket' end as kind,
+               p_name || ' ' || left(md5(cast(p_partkey as varchar(20))), 12) || case when l_linenumber % 4 = 1 then 's' else '' end as name,
+               case when p_size % 3 > 0 then 'Cab ' || (p_size % 3) end as vehicle_type,
+               case p_size % 3 when 0 then 'per_vehicle' when 1 then 'per_person' else 'per_group' end as basis,
+               cast(floor(l_extendedprice / 30000) * 500 + 500 as decimal(12,2)) as amount,
+               case when l_suppkey % 9 = 0 then cast(floor(l_extendedprice / 30000) * 500 + 700 as decimal(12,2)) end as amount_max,
+               case when l_suppkey % 20 = 0 then 'USD' else 'INR' end as currency,
+               case when l_partkey % 3 = 0 then 'Season ' || (l_linenumber % 2) end as season_name,
+               cast(l_shipdate as date) as valid_from, cast(l_shipdate as date) + cast(l_quantity * 5 as int) as valid_to
+        from {lineitem} join {part} on p_partkey = l_partkey""",
     "b_package": """
         select o_orderkey as id, o_custkey as family_id, o_custkey % 100 as supplier_id, o_orderkey as document_id,
                'Tour ' || (o_custkey % 50) || ' ' || o_orderpriority || ' ' || year(o_orderdate) as title,
