@@ -3,11 +3,10 @@
 A text (node) is known by a 64-bit hash, so exact copies are one node and cost a row of band keys each. Nodes that
 share a band are candidates. No group is expanded into all its pairs: the weight of the shingles that no other
 candidate has bounds a node's similarity to any, and nodes below the threshold are left out; each other member of a
-band's group is verified against the most central one, components are formed, another pivot is tried where a group still
-has several, and only then the members outside the group's largest component are verified against those of other
-components, but for pairs that such a bound over their rare shingles rules out. So every candidate pair is verified, ruled out by an exact
-bound, or inside one component already. Verification is exact: the probability Jaccard
-similarity of the whole weighted shingle sets; a shingle weighs its count.
+band's group is verified against the most central one, and components are formed. Members of groups that are still apart
+meet on their rarest shingles only, on so many that a similar pair must have one of them in common. So every candidate pair is verified, ruled out by an exact bound, or inside one
+component already. Verification is exact: the probability Jaccard similarity of the whole weighted shingle sets; a shingle
+weighs its count.
 
 Words are what stands between white space. Defined cases: a null text counts as empty; texts without words are equal
 only to the same text; a text of fewer than five words has one shingle; ``class_id`` is the smallest id of the class,
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
@@ -29,7 +28,8 @@ from .components import components
 from .shared import saved
 
 BANDS, ROWS, SIMILARITY = 32, 6, 0.8
-RARE, RARE_LENGTH = 64, 2_000
+#: Classes of shingles by hash, counted per text to bound what two texts have in common.
+CLASSES = 64
 
 
 def _word_hashes():
@@ -97,10 +97,8 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("node", _word_hashes().alias("words")).mapInArrow(run, "node bigint, items binary, counts binary, total double")
 
 
-def _shareable(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each of ``nodes``: ``total`` weight, the weight that it can share with one of another ``component``
-    (``common``, without the shingles that only its component has), whether all its shingles weigh the same (``plain``)
-    and, for plain texts of bounded length, the shingles that at most ``RARE`` of the nodes have (``rare``)."""
+def _items(sets: DataFrame) -> DataFrame:
+    """``item``, ``node`` and its weight ``w`` there: the shingles of the sets as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,23 +108,82 @@ def _shareable(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 items = np.concatenate([x for x, _ in cut]).astype(np.int64)
                 weight = np.concatenate([minhash.weights(c) if len(c) else np.ones(len(x)) for x, c in cut])
                 nodes_ = np.repeat(b.column("node").to_numpy(zero_copy_only=False), [len(x) for x, _ in cut])
-                total = np.repeat(b.column("total").to_numpy(zero_copy_only=False), [len(x) for x, _ in cut])
-                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(nodes_), pa.array(weight), pa.array(total)], ["item", "node", "w", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(nodes_), pa.array(weight)], ["item", "node", "w"])
+
+    return sets.select("node", "items", "counts").mapInArrow(run, "item bigint, node bigint, w double")
 
+
+def _shareable(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each of ``nodes``: the ``total`` weight and the weight that it can share with another (``common``: without the
+    shingles that it alone has)."""
     nodes = saved(nodes)
     chosen = sets.join(nodes, "node", "left_semi")
-    items = chosen.select("node", "items", "counts", "total").mapInArrow(run, "item bigint, node bigint, w double, total double")
-    items = items.join(nodes, "node")
-    seen = items.groupBy("item").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
-    some = items.join(seen.filter(f"a = b or n <= {RARE}"), "item")
-    own = some.groupBy("node").agg(
-        F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))).alias("__own"),
-        F.collect_list(F.when((F.col("n") <= RARE) & (F.col("total") <= RARE_LENGTH), F.col("item"))).alias("__rare"),
-    )
-    common = F.col("total") - F.coalesce("__own", F.lit(0.0))
-    rare = F.coalesce("__rare", F.array().cast("array<bigint>"))
-    rows = chosen.select("node", "total", (F.length("counts") == 0).alias("plain")).distinct()
-    return rows.join(own, "node", "left").select("node", "total", common.alias("common"), "plain", rare.alias("rare"))
+    alone = _items(chosen).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("__b"), F.min("w").alias("w")).filter("node = __b")
+    own = alone.groupBy("node").agg(F.sum("w").alias("__own"))
+    return chosen.select("node", "total").distinct().join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("__own", F.lit(0.0))).alias("common"))
+
+
+def bound(p: Column, q: Column) -> Column:
+    """The most that the probability Jaccard similarity of two texts can be if at most the shares ``p`` and ``q`` of their
+    weights lie on common shingles, whatever the weights are: each common shingle adds at most
+    1 / ((1 - p) / x + (1 - q) / y + max(p / x, q / y)), and such terms add up to no more than the term of the sums."""
+    return p * q / F.nullif(p + q - p * q, F.lit(0.0))
+
+
+def _prefix(near: float):
+    """Of each node (``items``: sorted by the number of nodes that have them, 0 for those that only its component has) the
+    shareable shingles in the first ``1 - near`` of its weight, with the share of its weight that it can share and its
+    counts of shareable shingles by class. Counts are cut at 127, which only weakens what they bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                out: list[tuple] = []
+                lists = b.column("items")
+                flat, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+                n, item, w = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("n", "item", "w"))
+                for i, (node, component, total) in enumerate(zip(*(b.column(c).to_pylist() for c in ("node", "component", "total")))):
+                    x = slice(ends[i], ends[i + 1])
+                    free = n[x] > 0
+                    share = float(w[x][free].sum()) / total
+                    if share < near:
+                        continue
+                    before = np.concatenate([[0.0], np.cumsum(w[x])[:-1]])
+                    classes = np.minimum(np.bincount(item[x][free] % CLASSES, minlength=CLASSES), 127).astype(np.int8)
+                    out += [(k, node, component, total, share, int(free.sum()), classes) for k in item[x][free & (before <= (1 - near) * total)].tolist()]
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int8()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["item", "node", "component", "total", "share", "shareable", "classes"])
+
+    return run
+
+
+def _prefix_pairs(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``u``, ``v``) of ``nodes`` (``node``, ``component``) in different components that may reach the
+    threshold. A similar pair has that share of the weight of either on common shingles, so the first common shingle in
+    an order that both keep (rarest first) lies within the first rest of the weight of both: texts meet on the shingles
+    of these prefixes only. By ``bound`` one of a similar pair can share 2s / (1 + s) of its weight, so that texts which
+    cannot are never joined with each other. Counts of shareable shingles by class of hash bound a pair's common weight
+    further (a shingle weighs one at least): a miss in one text where the other has it shows there."""
+    near = similarity - 1e-6
+    open_sets = sets.join(nodes, "node")
+    totals = saved(open_sets.select("node", "component", "total"))
+    with_component = _items(open_sets).join(totals.select("node", "component"), "node")
+    seen = with_component.groupBy("item").agg((F.min("component") < F.max("component")).alias("shared"), F.count(F.lit(1)).cast("int").alias("n"))
+    rows = _items(open_sets).join(seen, "item").select("node", "item", "w", F.when(F.col("shared"), F.col("n")).otherwise(0).alias("n"))
+    lists = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "item", "w"))).alias("items"))
+    prefix = lists.join(totals, "node").mapInArrow(_prefix(near), "item bigint, node bigint, component bigint, total double, share double, shareable int, classes array<tinyint>")
+    prefix = saved(prefix)
+    least = 2 * near / (1 + near)
+    a, b = prefix.filter(F.col("share") >= least).alias("a"), prefix.alias("b")
+    once = (F.col("b.share") < least) | (F.col("a.node") < F.col("b.node"))
+    more = F.aggregate(F.zip_with("a.classes", "b.classes", lambda x, y: F.greatest(x.cast("int") - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    p = F.col("a.share") - more / F.col("a.total")
+    q = F.col("b.share") - (more - F.col("a.shareable") + F.col("b.shareable")) / F.col("b.total")
+    on = (F.col("a.item") == F.col("b.item")) & (F.col("a.component") != F.col("b.component")) & once
+    on = on & (bound(F.col("a.share"), F.col("b.share")) >= near) & (bound(F.greatest(p, F.lit(0.0)), F.greatest(q, F.lit(0.0))) >= near)
+    return a.join(b, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -159,7 +216,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     groups = keyed.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("k")
     members = saved(keyed.join(groups, "k").distinct())
     sets = saved(_shingle_sets(docs, reps.join(members.select("node").distinct(), "node")))
-    bounds = saved(_shareable(sets, members.select("node").distinct().withColumn("component", F.col("node"))).drop("rare").filter(F.col("common") >= (similarity - 1e-6) * F.col("total")))
+    bounds = saved(_shareable(sets, members.select("node").distinct()).filter(F.col("common") >= (similarity - 1e-6) * F.col("total")))
     members = saved(members.join(bounds, "node"))
 
     # of a band's group, the member with the least of its own is likely to be near the others
@@ -168,32 +225,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     star = members.join(pivots, "k").filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(star, sets, similarity)
 
-    labelled = saved(_with_component(members, components(links)))
-    firsts = labelled.groupBy("k").agg(F.max_by("component", central).alias("first"))
-    others = labelled.join(firsts, "k").filter("component <> first")
-    pivots = others.groupBy("k").agg(F.max_by("node", central).alias("pivot"), F.max_by("component", central).alias("__c"))
-    second = others.join(pivots, "k").filter("component <> __c").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = links.union(_verified(second, sets, similarity))
-
-    labelled = saved(_with_component(members, components(links)))
-    sizes = labelled.groupBy("k", "component").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("k").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_groups = labelled.join(major, "k").drop("total", "common", "plain")
-    bounds = _shareable(sets, open_groups.select("node", "component").distinct()).filter(F.col("common") >= (similarity - 1e-6) * F.col("total"))
-    open_groups = saved(open_groups.join(bounds, "node"))
-    minor = open_groups.filter("component <> major").select("k", F.col("node").alias("u"), *[F.col(c).alias(f"u_{c}") for c in ("component", "total", "common", "plain", "rare")])
-    # what a pair has in common: no more than either can share and, where the rare shingles of both are known, the common
-    # ones of these and at most all others of either; with equal weights this bounds the similarity
-    most = F.least(F.col("total") - F.size("rare"), F.col("u_total") - F.size("u_rare")) + F.size(F.array_intersect("rare", "u_rare"))
-    known = (F.col("total") <= RARE_LENGTH) & (F.col("u_total") <= RARE_LENGTH)
-    most = F.least("common", "u_common", F.when(known, most))
-    may = ~(F.col("plain") & F.col("u_plain")) | (most >= (similarity - 1e-6) * (F.col("total") + F.col("u_total") - most))
-    rest = minor.alias("a").join(open_groups.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("component") != F.col("u_component")) & may)
-    rest = rest.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    links = links.union(_verified(rest, sets, similarity))
-
-    found = saved(components(links))
-    labelled = saved(_with_component(reps, found))
+    first = saved(components(links))
+    labelled = saved(_with_component(members.select("node", "k"), first))
+    parts = labelled.groupBy("k").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("k")
+    open_nodes = saved(labelled.join(parts, "k", "left_semi").select("node", "component").distinct())
+    more = _verified(_prefix_pairs(sets, open_nodes, similarity), sets, similarity)
+
+    # links between components join whole components
+    ends = [open_nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")) for c in "uv"]
+    between = more.join(ends[0], "u").join(ends[1], "v").select(F.col("u_of").alias("u"), F.col("v_of").alias("v"))
+    joined = components(between).select(F.col("node").alias("__c"), F.col("component").alias("__whole"))
+    labelled = _with_component(reps, first).join(joined, F.col("component") == F.col("__c"), "left")
+    labelled = saved(labelled.select("node", "rep", F.coalesce("__whole", "component").alias("component")))
     # class ids may be null or stand for several classes: a class is known by its smallest node
     first = F.struct(F.col("rep").isNull(), "rep", "node")
     named = labelled.groupBy("component").agg(F.min("rep").alias("class_id"), F.min_by("node", first).alias("first"))

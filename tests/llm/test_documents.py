@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import struct
 import zlib
@@ -12,9 +13,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tarifflake.llm import fingerprints, mixing, neardup, pieces, quality, substrings, tokens
+from tarifflake.llm import fingerprints, minhash, mixing, neardup, pieces, quality, substrings, tokens
 
-from .small import documents, empty, odd_texts
+from .small import documents, empty, odd_texts, words
 
 
 def by_id(df):
@@ -104,7 +105,7 @@ def plain_classes(texts):
 
     for a in range(len(texts)):
         for b in range(a):
-            x, y = (collections.Counter({k: 1 + np.log(c) for k, c in s.items()}) for s in (sets[a], sets[b]))
+            x, y = sets[a], sets[b]
             keys = set(x) | set(y)
             j = sum(1 / sum(max(x[k] / x[i], y[k] / y[i]) for k in keys) for i in set(x) & set(y))
             if (texts[a] or "") == (texts[b] or "") or j >= 0.8:
@@ -113,6 +114,35 @@ def plain_classes(texts):
     return [root(i) for i in range(len(texts))]
 
 
+def test_texts_of_shared_blocks_meet_without_pairs(spark):
+    """One common passage, four of fourteen shared blocks, every word several times: no text has anything of its own, and
+    all repeat their shingles. Near copies of some are found; texts that share too little are not joined."""
+    r = random.Random(8)
+    passage, blocks = [words(r, 30)] * 2, [words(r, 25) for _ in range(14)]
+    texts = [" ".join(passage + [b for b in r.sample(blocks, 4) for _ in range(2)]) for _ in range(40)]
+    for t in texts[:6]:
+        w = t.split()
+        w[r.randrange(len(w))] = "other"
+        texts.append(" ".join(w))
+    got = by_id(neardup.near_duplicates(documents(spark, texts)))
+    want = plain_classes(texts)
+    assert [got[i]["class_id"] for i in ids(len(texts))] == [50 + 7 * c for c in want]
+    assert 6 <= len(texts) - len(set(want)) < 20
+
+
+def test_share_bound_holds_for_any_weights():
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        n = r.integers(1, 9)
+        x, y = (np.where(r.random(n) < 0.7, r.integers(1, 30, n).astype(float) ** r.integers(1, 4), 0) for _ in range(2))
+        if x.sum() and y.sum():
+            a, b = np.flatnonzero(x), np.flatnonzero(y)
+            both = np.intersect1d(a, b)
+            p, q = x[both].sum() / x.sum(), y[both].sum() / y.sum()
+            j = minhash.probability_jaccard(a, x[a], b, y[b])
+            assert j <= (p * q / (p + q - p * q) if p and q else 0) + 1e-9
+
+
 def test_near_duplicates(spark):
     texts = odd_texts()
     base = texts[7].split()
