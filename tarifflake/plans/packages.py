@@ -68,9 +68,17 @@ UPLOADS = """
 
 
 def _split(lib):
-    d = lib.b_document.select(F.col("id").alias("document_id"), F.col("status").alias("ds"), F.col("approval_seq").alias("seq"))
+    """(packages of waiting documents, packages of approved ones)."""
+    d = lib.b_document.select(F.col("id").alias("document_id"), F.col("status").alias("ds"))
     p = lib.b_package.join(d, "document_id")
-    return p.filter("ds = 'needs_review'"), p.filter("ds = 'approved'").drop("seq")
+    return p.filter("ds = 'needs_review'"), p.filter("ds = 'approved'")
+
+
+def _in_order(lib):
+    """The same, with the place of each upload in the order of approval."""
+    up, old = _split(lib)
+    order = lib.b_document.select(F.col("id").alias("document_id"), F.col("approval_seq").alias("seq"))
+    return up.join(order, "document_id"), old
 
 
 @query(
@@ -81,7 +89,7 @@ def _split(lib):
 )
 def c10(lib):
     """What the waiting uploads, one after the other, do to the live versions of their families."""
-    up, old = _split(lib)
+    up, old = _in_order(lib)
     return packages.version_effects(up, old)
 
 
@@ -93,7 +101,7 @@ def c10(lib):
     ["b_package", "b_document"],
 )
 def w08b(lib):
-    up, old = _split(lib)
+    up, old = _in_order(lib)
     return packages.load_versions(up, old)
 
 
