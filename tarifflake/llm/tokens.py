@@ -222,8 +222,9 @@ class WordEncoder:
         cut, whole, cores = [], [], set()
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha() and core.isascii():
-                low = core.lower()
+            # other letters are left to the tokenizer's own steps; small ones that end in a mark would join what follows
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                low = core.lower() if core.isascii() else core
                 if low == w:
                     cores.add(w)
                 else:
