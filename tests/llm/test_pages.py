@@ -172,12 +172,15 @@ def test_boosting_learns_an_interaction():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not here")
 def test_registered(spark):
     names = entry_point.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    cur = con.execute(entry_point.oracle_sql()["op5_top_vectors"])
-    cols = [d[0] for d in cur.description]
-    assert sorted(tuple(r[c] for c in cols) for r in names["op5_top_vectors"](spark, SF).collect()) == sorted(cur.fetchall())
+    for t in ("embeddings", "documents"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name in ("op5_top_vectors", "op11_collocations", "op13_host_rules"):
+        cur = con.execute(entry_point.oracle_sql()[name])
+        cols = [d[0] for d in cur.description]
+        df = names[name](spark, SF)
+        assert sorted(df.columns) == sorted(cols) and sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(cur.fetchall())
 
 
 def test_pipeline(spark, tmp_path):
