@@ -13,7 +13,7 @@ HEADLINE = [
     "c7a_live_rates", "c16_search_hotel_rates", "c05_dated_rate_load", "c06_trim_overlaps", "c21_price_hotel_stays", "c22_price_packages",
     "a08_trip_totals", "a09_dashboard_figures", "a20_compare_price_grids", "c20_expiring_soon", "a14_daily_usage", "c31_hotel_history",
     "a04_package_cards", "j06_suggested_addons", "io03_content_dedup",
-    "c7b_rate_changes", "c05_service_rate_load", "c18_search_packages", "w08_version_base",
+    "c7b_rate_changes", "c18_search_packages", "w08_version_base",
 ]
 
 
