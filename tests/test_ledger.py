@@ -205,3 +205,21 @@ def test_repetitions_are_judged_against_kept_lines(spark):
     assert ledger.loaded_lines(sheet.limit(0)).count() == 0
     led, told = ownership.rebuild(sheet.limit(0))
     assert led.count() == 0 and told.count() == 0
+
+
+def test_staged_tables_are_compressed(spark):
+    """A staged table keeps its rows and takes far less room than they do."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tarifflake.session import checkpoint_dir, stage
+
+    def size():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(checkpoint_dir(spark).removeprefix("file:")) for f in files)
+
+    df = spark.range(50_000).select("id", F.lit("Premium room with a view of the lake").alias("name"), F.array(F.struct(F.lit(1).alias("a"))).alias("rows"), F.lit(None).cast("date").alias("d"))
+    before = size()
+    got = stage(df)
+    assert size() - before < 50_000 * 20
+    assert got.schema.simpleString() == df.schema.simpleString() and got.count() == 50_000 and got.exceptAll(df).isEmpty()
