@@ -14,8 +14,20 @@ NAMES, SERVICES, PACKAGES, DUPLICATES = 88, 92, 86, 85
 def best_match(queries: DataFrame, known: DataFrame, threshold: float = NAMES, how: str = "name") -> DataFrame:
     """The known row each query means: the best score at or above the threshold, lowest id among equals.
 
-    ``queries``: query_id, block, name_key (several blocks per query are allowed). ``known``: id, block, name_key."""
+    ``queries``: query_id, block, name_key (several blocks per query are allowed). ``known``: id, block, name_key.
+    Nothing scores above the same words, so names are compared only for queries that no known name has the words of."""
     k = known.groupBy("block", F.col("name_key").alias("name")).agg(F.min("id").alias("id"))
+    if how == "set":  # sets of words may be equal in other ways
+        return _closest(queries, k, threshold, how)
+    words = F.array_join(F.array_sort(F.split("name", " ")), " ").alias("words")
+    plain = k.filter("name <> ''").groupBy("block", words).agg(F.min("id").alias("id"))
+    asked = queries.filter("name_key <> ''").select("query_id", "block", F.col("name_key").alias("name")).select("query_id", "block", words)
+    equal = asked.join(plain, ["block", "words"]).groupBy("query_id").agg(F.min("id").alias("id"), F.lit(100.0).alias("score"))
+    others = queries.join(equal.select("query_id"), "query_id", "left_anti")
+    return equal.unionByName(_closest(others, k.join(others.select("block").distinct(), "block", "left_semi"), threshold, how))
+
+
+def _closest(queries: DataFrame, k: DataFrame, threshold: float, how: str) -> DataFrame:
     q = queries.select("block", F.col("name_key").alias("name")).distinct()
     pairs = similar_pairs(q, k, threshold, how)
     top = pairs.join(k.withColumnRenamed("name", "d"), ["block", "d"]).groupBy("block", F.col("q").alias("name_key")).agg(

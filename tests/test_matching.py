@@ -71,3 +71,24 @@ def test_the_eight_closest_families_of_any_score(spark):
     score = lambda i: max(0, sim.token_sort(core[100], core[i]) - (20 if i == 3 else 0))
     want = sorted(range(10), key=lambda i: (-score(i), i))[:8]
     assert got == {(100, k + 1): 200 + i for k, i in enumerate(want)} | {(101, 1): 301}
+
+
+def test_equal_words_are_matched_without_comparing(spark, monkeypatch):
+    """A query that a known name has the words of is not compared with others; the lowest id wins over all its blocks."""
+    known = spark.createDataFrame([(7, "a", "supplier 01"), (5, "a", "01 supplier"), (3, "b", "supplier 01"), (9, "a", "supplier 02")], "id long, block string, name_key string")
+    queries = spark.createDataFrame(
+        [("x", "a", "supplier 01"), ("x", "b", "supplier 01"), ("y", "a", "suplier 02"), ("z", "a", ""), ("w", "c", "supplier 01"), ("v", "a", None)],
+        "query_id string, block string, name_key string",
+    )
+    asked = []
+
+    def noted(q, *rest):
+        asked.extend(r["name"] for r in q.collect())
+        return sim.similar_pairs(q, *rest)
+
+    monkeypatch.setattr(match, "similar_pairs", noted)
+    got = {r["query_id"]: (r["id"], r["score"]) for r in match.best_match(queries, known).collect()}
+    assert got["x"] == (3, 100.0) and got["y"][0] == 9 and got["y"][1] < 100
+    assert got["z"] == got["w"] == got["v"] == (None, None)
+    # of "supplier 01" only the query w, whose block has no names, is left
+    assert sorted(a for a in asked if a) == ["suplier 02", "supplier 01"]
