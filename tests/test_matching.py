@@ -92,3 +92,21 @@ def test_equal_words_are_matched_without_comparing(spark, monkeypatch):
     assert got["z"] == got["w"] == got["v"] == (None, None)
     # of "supplier 01" only the query w, whose block has no names, is left
     assert sorted(a for a in asked if a) == ["suplier 02", "supplier 01"]
+
+
+def test_families_are_compared_once_per_kind_of_upload(spark):
+    """The best families of each upload, from one comparison for all uploads and families alike."""
+    from tarifflake.operators import packages
+
+    cols = "id long, family_id long, supplier_id long, nights int, title string, destinations array<string>"
+    known = [(100 + f, f, 1, 4 if f % 2 else None, "Hill Tour" if f < 20 else "Hill Tours", ["Munnar", "Kochi"] if f % 3 else ["Goa"]) for f in range(40)]
+    up = [(u, None, 1, 4, "Hill Tour", ["kochi", "Munnar "]) for u in range(3)] + [(9, None, 2, 4, "Hill Tour", None)]
+    uploads, old = spark.createDataFrame(up, cols), spark.createDataFrame(known, cols)
+    every = packages.match_families(uploads, old, match.core_title_pairs, None).collect()
+    best = packages.match_families(uploads, old, match.core_title_pairs, None, best=8).collect()
+    assert len(every) == 3 * 40
+    for u in range(3):
+        rows = sorted((-r["score"], r["family_id"]) for r in every if r["upload_id"] == u)
+        assert sorted((-r["score"], r["family_id"]) for r in best if r["upload_id"] == u) == rows[:8]
+    close = packages.match_families(uploads, old, match.core_title_pairs, match.PACKAGES).collect()
+    assert {(r["upload_id"], r["family_id"]) for r in close} == {(r["upload_id"], r["family_id"]) for r in every if r["score"] >= match.PACKAGES}
