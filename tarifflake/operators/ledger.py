@@ -157,8 +157,9 @@ def previous_rates(incoming: DataFrame, library: DataFrame) -> DataFrame:
     return named.unionByName(second).unionByName(third)
 
 
-def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
-    """What each line of a waiting sheet would change.
+def classify(incoming: DataFrame, library: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """What each line of a waiting sheet would change. Of ``library`` only the rows of ``documents`` (document_id; all, if
+    missing) count: they are picked among the rates of the incoming keys, so the library is moved once, by its key.
 
     same: a live rate with the same terms already covers its dates. Otherwise the line is compared with one earlier
     rate: the one it overlaps (live first, most days), else the latest of the same season that ended before it, else
@@ -167,6 +168,8 @@ def classify(incoming: DataFrame, library: DataFrame) -> DataFrame:
     season = name_key("season_name")
     inc = stage(keyed(incoming).withColumn("season", season))
     lib = keyed(library).join(inc.select("rate_key").distinct(), "rate_key", "left_semi").withColumn("season", season)
+    if documents is not None:
+        lib = lib.join(documents, "document_id", "left_semi")
     lib = stage(lib.select("rate_key", "valid_from", "valid_to", "season", "status", "approval_seq", "id", *TERMS))
     covered = covered_lines(inc, lib).withColumn("covered", F.lit(True))
     prev = previous_rates(inc, lib)

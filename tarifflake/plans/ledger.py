@@ -125,18 +125,18 @@ CHG = f"""{LOADED},
 CHG_VIEWS = ["b_rate", "b_document"]
 
 
-def _library(lib):
-    ok = lib.b_document.filter("status = 'approved'").select(F.col("id").alias("document_id"))
-    return lib.b_rate.join(ok, "document_id", "left_semi")
+def _approved(lib):
+    return lib.b_document.filter("status = 'approved'").select(F.col("id").alias("document_id"))
 
 
 def _waiting(lib):
     todo = lib.b_document.filter("status = 'needs_review'").select(F.col("id").alias("document_id"))
-    return ledger.loaded_lines(lib.b_line.join(todo, "document_id", "left_semi")).drop("rate_key")
+    lines = lib.b_line.select("document_id", "line_no", *ledger.KEY, *ledger.TERMS, "season_name", "valid_from", "valid_to")
+    return ledger.loaded_lines(lines.join(todo, "document_id", "left_semi")).drop("rate_key")
 
 
 def changes(lib):
-    return ledger.classify(_waiting(lib), _library(lib))
+    return ledger.classify(_waiting(lib), lib.b_rate, _approved(lib))
 
 
 @query("j10_covering_rate", f"with recursive {CHG} select document_id, line_no from cov", CHG_VIEWS)
@@ -180,8 +180,8 @@ def c05(lib):
     CHG_VIEWS,
 )
 def c06(lib):
-    library = _library(lib)
-    new = ledger.classify(_waiting(lib), library).filter("change <> 'same'")
+    new = changes(lib).filter("change <> 'same'")
+    library = lib.b_rate.join(_approved(lib), "document_id", "left_semi")
     return ledger.trim(library, new).select("id", "piece", "valid_from", "valid_to", "status", "touched")
 
 

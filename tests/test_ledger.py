@@ -223,3 +223,20 @@ def test_staged_tables_are_compressed(spark):
     got = stage(df)
     assert size() - before < 50_000 * 20
     assert got.schema.simpleString() == df.schema.simpleString() and got.count() == 50_000 and got.exceptAll(df).isEmpty()
+
+
+def test_library_rows_of_other_documents_do_not_count(spark):
+    """Picking documents inside the comparison equals picking them before it."""
+    day = dt.date(2024, 1, 1)
+    cols = "document_id long, line_no long, approval_seq long, room_type_id long, meal_plan string, occupancy string, weekdays string, is_net boolean, amount decimal(12,2), currency string, basis string, taxes_included boolean, season_name string, valid_from date, valid_to date"
+
+    def line(doc, no, amount, room=1):
+        return (doc, no, doc, room, "CP", "double", None, True, Decimal(amount), "INR", "per_room_per_night", False, None, day, dt.date(2024, 3, 31))
+
+    library = spark.createDataFrame([line(1, 1, 100), line(2, 1, 300), line(3, 1, 500, 2)], cols).selectExpr("*", "concat(document_id, '-', line_no) as id", "'active' as status")
+    new = spark.createDataFrame([line(9, 1, 200), line(9, 2, 500, 2)], cols).drop("approval_seq")
+    ok = spark.createDataFrame([(1,), (1,)], "document_id long")
+    got = {r["line_no"]: (r["change"], r["previous_rate_id"]) for r in ledger.classify(new, library, ok).collect()}
+    assert got == {1: ("up", "1-1"), 2: ("new", None)}
+    want = ledger.classify(new, library.filter("document_id = 1")).collect()
+    assert got == {r["line_no"]: (r["change"], r["previous_rate_id"]) for r in want}
