@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,42 +29,46 @@ def daily_usage(calls: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 STATE = T.StructType([T.StructField("rows", T.StringType())])
+#: Groups of rate keys that are kept as one state: a call of Python and a state row cost far more than a key does.
+BUCKETS = 4096
 
 
-def _pack(rows: list[dict]) -> str:
-    return json.dumps(rows, default=str)
+def _pack(held: dict[str, list[dict]]) -> str:
+    return json.dumps(list(held.items()), default=str)
 
 
-def _unpack(text: str) -> list[dict]:
-    df = pd.DataFrame(json.loads(text), columns=COLUMNS).astype(object)
-    for c in ("valid_from", "valid_to"):
-        df[c] = pd.to_datetime(df[c]).dt.date
-    rows = _records(df.where(df.notna(), None))
-    from decimal import Decimal
-
-    for r in rows:
-        for c in ("amount", "change_pct"):
-            r[c] = None if r[c] is None else Decimal(r[c])
-    return rows
+def _unpack(rows: list[dict]) -> list[dict]:
+    day = lambda v: v and dt.date.fromisoformat(v)
+    number = lambda v: None if v is None else Decimal(v)
+    kinds = {"valid_from": day, "valid_to": day, "amount": number, "change_pct": number}
+    return [{c: kinds[c](r.get(c)) if c in kinds else r.get(c) for c in COLUMNS} for r in rows]
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    lines = sorted((r for b in batches for r in _records(b)), key=lambda r: (r["seq"], int(r["id"].split("-")[1])))
-    held = _unpack(state.get[0]) if state.exists else []
-    live = [r for r in held if r["kind"] == "live"]
-    past = {(r["valid_from"], r["valid_to"], _season(r["season_name"])): r for r in held if r["kind"] == "past"}
+    fresh: dict[str, list[dict]] = {}
+    for b in batches:
+        for r in _records(b[COLUMNS]):
+            fresh.setdefault(r["rate_key"], []).append(r)
+    held = dict(json.loads(state.get[0])) if state.exists else {}
     out: list[dict] = []
-    for r in lines:
-        live = apply_line(live, past, r, out)
-    state.update((_pack(live + list(past.values())),))
-    out += live
+    for rate_key, lines in fresh.items():
+        rows = _unpack(held.get(rate_key, []))
+        live = [r for r in rows if r["kind"] == "live"]
+        past = {(r["valid_from"], r["valid_to"], _season(r["season_name"])): r for r in rows if r["kind"] == "past"}
+        for r in sorted(lines, key=lambda r: (r["seq"], int(r["id"].split("-")[1]))):
+            live = apply_line(live, past, r, out)
+        held[rate_key] = live + list(past.values())
+        out += live
+    state.update((_pack(held),))
     yield _frame(out)
 
 
 def rate_state(lines: DataFrame) -> DataFrame:
     """Lines (in ledger shape) of approved sheets as a stream: each trigger emits what its lines changed, the rows they
-    closed and the key's live rates. Within a trigger lines are taken in approval order."""
-    return lines.groupBy("rate_key").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    closed and the live rates of their keys. Within a trigger lines are taken in approval order. Keys are kept in
+    ``BUCKETS`` groups by their hash, and only those with new lines are worked on."""
+    bucket = F.pmod(F.xxhash64("rate_key"), F.lit(BUCKETS)).cast("int")
+    return lines.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def intake_stream(spark: SparkSession, folder: str, library: str, checkpoint: str, today, per_trigger: int = 1000):

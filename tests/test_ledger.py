@@ -6,7 +6,8 @@ from decimal import Decimal
 
 import pytest
 
-from tarifflake.operators import ledger, ownership
+from tarifflake.operators import history, ledger, ownership
+from tarifflake.streaming import jobs
 
 D = dt.date
 SCHEMA = (
@@ -240,3 +241,38 @@ def test_library_rows_of_other_documents_do_not_count(spark):
     assert got == {1: ("up", "1-1"), 2: ("new", None)}
     want = ledger.classify(new, library.filter("document_id = 1")).collect()
     assert got == {r["line_no"]: (r["change"], r["previous_rate_id"]) for r in want}
+
+
+class _State:
+    exists, value = False, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.exists, self.value = True, value
+
+
+def test_keys_of_one_state_group_stay_apart():
+    """Keys that share a group give the same live rates as keys by themselves, over two triggers."""
+    r = random.Random(4)
+    lines = []
+    for n in range(60):
+        f = D(2026, 1, 1) + dt.timedelta(days=r.randrange(40))
+        line = {"kind": "line", "rate_key": f"k{n % 5}", "id": f"{n}-1", "root_id": f"{n}-1", "document_id": n, "seq": n, "amount": Decimal(r.randrange(1, 4) * 100), "currency": "INR", "basis": "night", "taxes_included": r.choice([None, True]), "season_name": r.choice([None, "Peak"]), "pieces": 0}
+        lines.append({**line, "valid_from": f, "valid_to": f + dt.timedelta(days=r.randrange(20))})
+    lines[0] |= {"document_id": 2**53 + 1, "seq": -1}
+
+    def live_after(groups):
+        live = {}
+        for group in groups:
+            state = _State()
+            for part in (group[: len(group) // 2], group[len(group) // 2 :]):
+                out = next(jobs._advance((0,), iter([history._frame(part)]), state))
+                rows = [x for x in history._records(out) if x["kind"] == "live"]
+                for k in {x["rate_key"] for x in part}:
+                    live[k] = sorted(str(x) for x in rows if x["rate_key"] == k)
+        return live
+
+    assert live_after([lines]) == live_after([[x for x in lines if x["rate_key"] == f"k{k}"] for k in range(5)])
