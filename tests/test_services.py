@@ -68,3 +68,21 @@ def test_names_are_recognised_as_they_come(spark, seed):
     assert {x.id: (x.change, x.previous_rate_id) for x in told.collect()} == {name(k): (kind, p and name(p)) for k, (kind, p) in did.items()}
     assert sorted((x.root_id, str(x.valid_from), str(x.valid_to), x.status) for x in led.collect()) == sorted((name((y["x"][0], y["x"][2])), str(y["f"]), str(y["t"]), "active" if y["live"] else "superseded") for y in want)
     assert {"same", "up", "down"} <= {k for k, _ in did.values()}
+
+
+def test_later_rounds_look_only_at_names_whose_kept_lines_changed(spark, monkeypatch):
+    lines = []
+    for doc in range(1, 7):
+        for n, name in enumerate(["airport transfer cochin", "houseboat cruise alleppey", "elephant ride thekkady"]):
+            f = D(2026, 1, 1) + dt.timedelta(days=0 if n == 0 else 40 * doc)
+            lines.append((doc, doc, n, 1, "transfer", None, "per_vehicle", name, Decimal(900), None, "INR", None, f, f + dt.timedelta(days=9)))
+    asked, look = [], services._looked_at
+
+    def counted(part, close):
+        asked.append(part.filter("asking").count())
+        return look(part, close)
+
+    monkeypatch.setattr(services, "_looked_at", counted)
+    _, told = services.rebuild(spark.createDataFrame(lines, LINE))
+    assert sum(x.change == "same" for x in told.collect()) == 5
+    assert asked[0] == 18 and len(asked) > 1 and set(asked[1:]) == {6}
