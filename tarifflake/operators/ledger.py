@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouping import first_by
+from ..functions.grouping import first_by, maybe_in
 from ..functions.keys import name_key, overlap_days, overlaps, year_later
 from ..functions.money import pct_change
 from ..session import stage
 
 KEY = ["room_type_id", "meal_plan", "occupancy", "weekdays", "is_net"]
 TERMS = ["amount", "currency", "basis", "taxes_included"]
+#: Rates and incoming lines that a key may have together to be compared in one row.
+FEW = 100
 
 
 def rate_key(parts: list[str] = KEY) -> Column:
@@ -157,20 +159,44 @@ def previous_rates(incoming: DataFrame, library: DataFrame) -> DataFrame:
     return named.unionByName(second).unionByName(third)
 
 
-def classify(incoming: DataFrame, library: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """What each line of a waiting sheet would change. Of ``library`` only the rows of ``documents`` (document_id; all, if
-    missing) count: they are picked among the rates of the incoming keys, so the library is moved once, by its key.
-
-    same: a live rate with the same terms already covers its dates. Otherwise the line is compared with one earlier
-    rate: the one it overlaps (live first, most days), else the latest of the same season that ended before it, else
-    the one that covers its dates a year earlier.
-    """
-    season = name_key("season_name")
-    inc = stage(keyed(incoming).withColumn("season", season))
-    lib = keyed(library).join(inc.select("rate_key").distinct(), "rate_key", "left_semi").withColumn("season", season)
-    if documents is not None:
-        lib = lib.join(documents, "document_id", "left_semi")
-    lib = stage(lib.select("rate_key", "valid_from", "valid_to", "season", "status", "approval_seq", "id", *TERMS))
+def _earlier_in_key(inc: DataFrame, lib: DataFrame) -> DataFrame:
+    """``inc`` with ``covered``, ``prev`` and ``rule`` as of ``covered_lines`` and ``previous_rates``, for keys of few rows:
+    each line looks through the rates of its key, which lie in one array."""
+    row = ["approval_seq", "id", *TERMS]
+    rates = lib.groupBy("rate_key").agg(F.collect_list(F.struct("valid_from", "valid_to", "season", "status", *row)).alias("rates"))
+    f, t = F.col("valid_from"), F.col("valid_to")
+    dated = f.isNotNull() & t.isNotNull()
+
+    def same(o: Column, c: str) -> Column:
+        text = [F.coalesce(x.cast("string"), F.lit("")) for x in (o[c], F.col(c))]
+        return text[0] == text[1]
+
+    def covers(o: Column) -> Column:
+        terms = (o["valid_from"] <= f) & (o["valid_to"] >= t) & (o["status"] == "active")
+        for c in TERMS:
+            terms = terms & same(o, c)
+        return F.coalesce(terms, F.lit(False))
+
+    def best(which, *order) -> Column:
+        fields = lambda o: [x(o).alias(f"__{i}") for i, x in enumerate(order)] + [o[c].alias(c) for c in row]
+        found = F.filter("rates", lambda o: F.coalesce(dated & which(o), F.lit(False)))
+        return F.array_max(F.transform(found, lambda o: F.struct(*fields(o))))
+
+    live = lambda o: (o["status"] == "active").cast("int")
+    moved = lambda o: (f, t, year_later(o["valid_from"]), year_later(o["valid_to"]))
+    shared = best(lambda o: overlaps(f, t, o["valid_from"], o["valid_to"]), live, lambda o: overlap_days(f, t, o["valid_from"], o["valid_to"]))
+    season = best(lambda o: (F.col("season") != "") & (o["season"] == F.col("season")) & (o["valid_to"].isNull() | (o["valid_to"] < f)), lambda o: o["valid_to"])
+    again = best(lambda o: (o["valid_to"] < f) & overlaps(*moved(o)), lambda o: overlap_days(*moved(o)))
+    j = inc.join(rates, "rate_key", "left").withColumns({"covered": F.exists("rates", covers), "__3": shared})
+    j = j.withColumn("__2", F.when(F.col("__3").isNull(), season))
+    j = j.withColumn("__1", F.when(F.col("__3").isNull() & F.col("__2").isNull(), again))
+    prev = F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), F.struct(*[F.col(f"__{n}.{c}").alias(c) for c in ["id", *TERMS]])) for n in (3, 2, 1)])
+    rule = F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), n) for n in (3, 2, 1)])
+    return j.withColumns({"prev": prev, "rule": rule}).drop("rates", "__3", "__2", "__1")
+
+
+def _earlier_in_quarters(inc: DataFrame, lib: DataFrame) -> DataFrame:
+    """The same for keys of any size: date ranges of a key meet in quarters."""
     covered = covered_lines(inc, lib).withColumn("covered", F.lit(True))
     prev = previous_rates(inc, lib)
     k = inc.alias("k")
@@ -182,7 +208,35 @@ def classify(incoming: DataFrame, library: DataFrame, documents: DataFrame | Non
         return on
 
     j = k.join(covered.alias("b"), equal(["rate_key", "valid_from", "valid_to", *TERMS]), "left").select("k.*", "b.covered").alias("k")
-    j = j.join(prev.alias("b"), equal(["rate_key", "valid_from", "valid_to", "season"]), "left").select("k.*", "b.prev", "b.rule")
+    return j.join(prev.alias("b"), equal(["rate_key", "valid_from", "valid_to", "season"]), "left").select("k.*", "b.prev", "b.rule")
+
+
+def classify(incoming: DataFrame, library: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """What each line of a waiting sheet would change. Of ``library`` only the rows of ``documents`` (document_id; all, if
+    missing) count: they are picked among the rates of the incoming keys. Rates of other keys are dropped before anything is
+    moved, but for a few. Lines and rates of a key meet in one place; keys with more than ``FEW`` of them are cut by
+    quarters.
+
+    same: a live rate with the same terms already covers its dates. Otherwise the line is compared with one earlier
+    rate: the one it overlaps (live first, most days), else the latest of the same season that ended before it, else
+    the one that covers its dates a year earlier.
+    """
+    season = name_key("season_name")
+    inc = stage(keyed(incoming).withColumn("season", season))
+    lib = maybe_in(keyed(library), inc, ["rate_key"])
+    size = inc.select("rate_key").unionByName(lib.select("rate_key")).groupBy(F.xxhash64("rate_key").alias("k")).count()
+    many = stage(size.filter(F.col("count") > FEW).select("k"))
+    if documents is not None:
+        lib = lib.join(documents, "document_id", "left_semi")
+    lib = lib.withColumn("season", season).select("rate_key", "valid_from", "valid_to", "season", "status", "approval_seq", "id", *TERMS)
+    if many.isEmpty():
+        j = _earlier_in_key(inc, lib)
+    else:
+        inc, lib = (x.withColumn("k", F.xxhash64("rate_key")) for x in (inc, lib))
+        few = _earlier_in_key(*(maybe_in(x, many, ["k"], rest=True).drop("k") for x in (inc, lib)))
+        asked = maybe_in(inc, many, ["k"]).drop("k")
+        had = maybe_in(lib, many, ["k"]).drop("k").join(asked.select("rate_key").distinct(), "rate_key", "left_semi")
+        j = few.unionByName(_earlier_in_quarters(stage(asked), stage(had)))
     same_terms = F.lit(True)
     for t in TERMS:
         same_terms = same_terms & F.col(t).eqNullSafe(F.col(f"prev.{t}"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.grouping import maybe_in
 from ..operators import ledger, ownership, search, services
 from .registry import query
 from .scalars import DOW_SQL, KEY_SQL, pct_sql
@@ -132,7 +133,7 @@ def _approved(lib):
 def _waiting(lib):
     todo = lib.b_document.filter("status = 'needs_review'").select(F.col("id").alias("document_id"))
     lines = lib.b_line.select("document_id", "line_no", *ledger.KEY, *ledger.TERMS, "season_name", "valid_from", "valid_to")
-    return ledger.loaded_lines(lines.join(todo, "document_id", "left_semi")).drop("rate_key")
+    return ledger.loaded_lines(maybe_in(lines, todo, ["document_id"]).join(todo, "document_id", "left_semi")).drop("rate_key")
 
 
 def changes(lib):

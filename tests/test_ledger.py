@@ -276,3 +276,44 @@ def test_keys_of_one_state_group_stay_apart():
         return live
 
     assert live_after([lines]) == live_after([[x for x in lines if x["rate_key"] == f"k{k}"] for k in range(5)])
+
+
+def test_rows_of_other_keys_are_dropped_before_they_move(spark):
+    from tarifflake.functions.grouping import maybe_in
+
+    rows = spark.range(20_000).selectExpr("id", "concat('key ', id) as name").unionByName(spark.createDataFrame([(None, None)], "id long, name string"))
+    asked = spark.range(0, 20_000, 50).selectExpr("cast(id as int) as id", "concat('key ', id) as name")
+    for on in (["id"], ["name"], ["id", "name"]):
+        met, rest = maybe_in(rows, asked, on), maybe_in(rows, asked, on, rest=True)
+        assert met.join(asked, on, "left_semi").count() == 400 and met.count() < 450 and met.count() + rest.count() == 20_001
+        assert maybe_in(rows, asked.limit(0), on).count() == 0
+    assert "Exchange hashpartitioning(id" not in maybe_in(rows, asked, ["id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_and_large_keys_are_compared_alike(spark, crowd, monkeypatch):
+    """Keys of few rows look through an array, the others through quarters; null dates and seasons included."""
+    rnd = random.Random(3)
+    old = [(*r, f"{r[0]}-1", rnd.choice(["active", "active", "superseded"])) for r in crowd if r[0] % 3]
+    old += [(*line(500 + k, 1000 + 1000 * (k % 2), D(2025, 1, 1) + dt.timedelta(days=9 * k), D(2025, 1, 20) + dt.timedelta(days=9 * k), k % 3, rnd.choice([None, "Peak"])), f"{500 + k}-1", "active") for k in range(60)]
+    old += [(*line(700, 1000, None, None, 4, "Low"), "700-1", "active"), (*line(701, 900, D(2026, 3, 1), None, 5, "Peak"), "701-1", "active")]
+    new = [r for r in crowd if r[0] % 4 == 1] + [line(800 + k, 3000, D(2027, 1, k + 1), D(2027, 2, 1), k % 7, rnd.choice([None, "Peak", "Low"])) for k in range(20)]
+    new += [line(900, 1000, None, None, 4, "Low"), line(901, 1000, D(2026, 3, 1), None, 5, "Peak")]
+    inc, lib = frame(spark, new), spark.createDataFrame(old, f"{SCHEMA}, id string, status string")
+    docs = lib.select("document_id").filter("document_id % 7 > 0").distinct()
+
+    def told(few):
+        monkeypatch.setattr(ledger, "FEW", few)
+        return sorted(map(repr, ledger.classify(inc, lib, docs).collect()))
+
+    alike = told(10_000)
+    assert alike == told(0) == told(30) and len(alike) == len(new)
+    assert len({r.change for r in ledger.classify(inc, lib, docs).collect()}) == 6
+
+
+def test_undo_looks_only_at_the_keys_of_its_documents(spark, crowd):
+    lines = frame(spark, crowd)
+    asked = spark.createDataFrame([(6,), (7,)], "document_id long")
+    keys = {r[3] for r in crowd if r[0] in (6, 7)}
+    changes, now = ownership.undo(asked, lines)
+    assert {int(r.rate_key.split("|")[0]) for r in now.collect()} == keys
+    assert {r.document_id for r in changes.collect()} <= {6, 7} and changes.filter("action = 'removed'").count() > 0
