@@ -178,7 +178,8 @@ def _earlier_in_key(inc: DataFrame, lib: DataFrame) -> DataFrame:
         return F.coalesce(terms, F.lit(False))
 
     def best(which, *order) -> Column:
-        fields = lambda o: [x(o).alias(f"__{i}") for i, x in enumerate(order)] + [o[c].alias(c) for c in row]
+        least = lambda o: (-o["amount"]).alias("least")  # noqa: E731 rows under one id: the lowest amount
+        fields = lambda o: [*[x(o).alias(f"__{i}") for i, x in enumerate(order)], o["approval_seq"].alias("approval_seq"), o["id"].alias("id"), least(o), *[o[c].alias(c) for c in TERMS]]
         found = F.filter("rates", lambda o: F.coalesce(dated & which(o), F.lit(False)))
         return F.array_max(F.transform(found, lambda o: F.struct(*fields(o))))
 
