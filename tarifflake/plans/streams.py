@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import history, ledger
+from ..operators import history, ledger, ownership
 from ..session import checkpoint_dir
 from ..streaming import jobs
 from .registry import query
-from .ledger import EXACT_LIVE, live_picture
+from .ledger import EXACT_LIVE
 
 
 def drain(stream, mode: str, spark, base: str | None = None):
@@ -102,4 +102,4 @@ def st3(lib):
     live = rows.filter("kind = 'live'")
     newest = live.groupBy(F.col("rate_key").alias("k")).agg(F.max("batch").alias("b"))
     live = live.join(newest, (F.col("rate_key") == F.col("k")) & (F.col("batch") == F.col("b")))
-    return live_picture(live)
+    return ownership.joined(live)

@@ -5,6 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarifflake.operators import history, ledger, ownership
 from tarifflake.streaming import jobs
@@ -145,6 +146,48 @@ def test_same_follows_from_same(spark):
     assert [did[(d, 1)][0] for d in (10, 20, 29, 40, 41)] == ["same", "same", "same", "down", "extended"]
 
 
+def odd_lines():
+    """Keys with lines that have no dates, sheet, number or amount, or that end before they begin."""
+    a, b = D(2026, 1, 1), D(2026, 3, 31)
+    for room, put in enumerate([{13: None}, {14: None}, {2: None}, {0: None, 1: None}, {8: None}, {9: None}, {13: b, 14: a}, {14: D(2025, 6, 1)}], 50):
+        for n in (1, 2, 3):
+            x = list(line(10 * room + n, 1000 + n % 2, a + dt.timedelta(days=9 * (n % 3)), b, room, "Peak"))
+            if n == 2:
+                for i, v in put.items():
+                    x[i] = v
+            yield tuple(x)
+
+
+def test_swept_keys_are_like_related_ones(spark, crowd, monkeypatch):
+    """Keys that are looked at line by line have the same ledger as those settled as relations; lines that come twice and
+    keys with odd lines included."""
+    rnd = random.Random(5)
+    rows = [*crowd, *crowd[:40], *odd_lines()]
+    for doc in range(700, 730):
+        for n in (1, 2, 3):
+            f = D(2026, 1, 1) + dt.timedelta(days=rnd.choice([0, 30, 60, 365, 700]))
+            x = list(line(doc, rnd.choice([1000, 1000, 2000]), f, f + dt.timedelta(days=rnd.choice([5, 20, 100])), rnd.choice([1, 2, 60]), rnd.choice([None, "Peak"])))
+            x[2], x[9], x[11] = n, rnd.choice(["INR", "USD", None]), rnd.choice([True, None])
+            rows.append(tuple(x))
+    lines = frame(spark, rows).withColumn("hotel_id", F.col("room_type_id") % 5)
+
+    def told():
+        led, did = ownership.rebuild(lines, ["hotel_id"])
+        return [sorted(repr(sorted(r.asDict().items())) for r in x.collect()) for x in (led, did, ownership.live_picture(lines))]
+
+    swept = told()
+    monkeypatch.setattr(ownership, "MANY", 0)
+    assert swept == told()
+    assert all(len(x) > 200 for x in swept)
+
+
+def test_lines_of_a_key_are_moved_once(spark, crowd):
+    led, did = ownership.rebuild(frame(spark, crowd))
+    for df in (led, did, ownership.live_picture(frame(spark, crowd))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(rate_key") == 1
+
+
 def test_new_sheet_splits_an_older_rate(spark):
     old = line(1, 5000, D(2026, 10, 1), D(2026, 12, 19))
     new = line(2, 4200, D(2026, 11, 1), D(2026, 11, 15))
