@@ -203,11 +203,11 @@ CHAIN = f"""{EXACT},
  chain as (select t.*, o.amount as prev_amount from told t left join told o on o.id = t.previous_rate_id)"""
 
 
-def rate_chain(lib):
-    """(ledger rows, loaded lines with the amount of the rate each one followed): the links that the load stored."""
-    led, told = ownership.rebuild(lib.b_line)
-    old = told.select(F.col("id").alias("previous_rate_id"), F.col("amount").alias("prev_amount"))
-    return led, told.filter("change <> 'same'").join(old, "previous_rate_id", "left")
+def rate_chain(lib, *more):
+    """(ledger rows, loaded lines with the amount of the rate each one followed): the links that the load stored. Both have
+    the columns ``more`` of their lines."""
+    led, told = ownership.rebuild(lib.b_line, [*more])
+    return led, told.filter("change <> 'same'")
 
 
 @query(
@@ -230,10 +230,9 @@ def j12(lib):
 )
 def c31(lib):
     """The series of every rate key, point by point: each row of the ledger with its state, its link and its change."""
-    led, _ = rate_chain(lib)
-    facts = lib.b_line.select(F.concat_ws("-", "document_id", "line_no").alias("root_id"), "hotel_id", *ledger.KEY, "season_name")
+    led, _ = rate_chain(lib, "hotel_id", *ledger.KEY, "season_name")
     state = keys.rate_state("status", "valid_from", "valid_to", F.lit(ON)).alias("state")
-    return led.join(facts, "root_id").select("hotel_id", *ledger.KEY, "id", "valid_from", "valid_to", "amount", "currency", "season_name", state, F.col("previous_rate_id").alias("prev_id"), "change_pct", "document_id")
+    return led.select("hotel_id", *ledger.KEY, "id", "valid_from", "valid_to", "amount", "currency", "season_name", state, F.col("previous_rate_id").alias("prev_id"), "change_pct", "document_id")
 
 
 @query(
@@ -242,10 +241,9 @@ def c31(lib):
     ["b_line"],
 )
 def a17(lib):
-    _, c = rate_chain(lib)
+    _, c = rate_chain(lib, "supplier_id")
     c = c.filter(F.col("change_pct").isNotNull() & (F.col("valid_from") >= F.lit(dt.date(1998, 1, 1))))
-    by = lib.b_line.select(F.concat_ws("-", "document_id", "line_no").alias("id"), "supplier_id")
-    return c.join(by, "id").groupBy("supplier_id").agg(F.count(F.lit(1)).alias("changes"), F.round(F.sum("change_pct") / F.count(F.lit(1)), 1).alias("avg_pct"))
+    return c.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("changes"), F.round(F.sum("change_pct") / F.count(F.lit(1)), 1).alias("avg_pct"))
 
 
 @query(
