@@ -178,7 +178,7 @@ def test_swept_keys_are_like_related_ones(spark, crowd, monkeypatch):
     swept = told()
     monkeypatch.setattr(ownership, "MANY", 0)
     assert swept == told()
-    assert all(len(x) > 200 for x in swept)
+    assert all(len(x) > 100 for x in swept)
 
 
 def test_lines_of_a_key_are_moved_once(spark, crowd):
@@ -269,6 +269,51 @@ def test_staged_tables_are_compressed(spark):
     assert got.schema.simpleString() == df.schema.simpleString() and got.count() == 50_000 and got.exceptAll(df).isEmpty()
 
 
+def test_what_was_moved_for_a_staged_table_is_dropped(spark):
+    """The shuffle files of a staged table are gone when it is written, and the setting is as before."""
+    import glob
+    import time
+
+    from tarifflake.session import DROP_SHUFFLES, stage
+
+    def files():
+        top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in top for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before, was = files(), spark.conf.get(DROP_SHUFFLES, None)
+    got = stage(spark.range(50_000).repartition(4, "id").groupBy("id").agg(F.sum("id").alias("n")))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(DROP_SHUFFLES, None) == was
+    assert got.count() == got.count() == 50_000
+
+
+def test_live_rates_move_a_key_once_and_big_keys_step_by_step(spark, crowd, monkeypatch):
+    lines = frame(spark, [*crowd, *crowd[:30], *odd_lines()])
+    live = ledger.live_rates(lines)
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(rate_key") == 1
+    once = sorted(map(repr, live.collect()))
+    for many in (0, 20):
+        monkeypatch.setattr(ledger, "MANY", many)
+        assert once == sorted(map(repr, ledger.live_rates(lines).collect()))
+
+
+def test_trim_moves_only_rates_of_the_new_keys(spark, crowd):
+    """Rates of other keys stay where they are, and are returned as they were."""
+    lib = frame(spark, crowd).selectExpr("*", "concat(document_id, '-', line_no) as id", "if(document_id % 5 = 0, 'superseded', 'active') as status")
+    new = frame(spark, [line(900, 100, D(2026, 3, 1), D(2026, 3, 9), 2), line(901, 100, D(2026, 4, 1), D(2026, 4, 2), 2)])
+    out = ledger.trim(lib, new)
+    got = out.collect()
+    other = [r for r in crowd if r[3] != 2 and r[0] % 5]
+    assert {(r.id, r.valid_from, r.valid_to) for r in got if not r.rate_key.startswith("2|")} == {(f"{r[0]}-1", r[13], r[14]) for r in other}
+    assert any(r.touched for r in got) and not any(r.touched for r in got if not r.rate_key.startswith("2|"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+
+
 def test_library_rows_of_other_documents_do_not_count(spark):
     """Picking documents inside the comparison equals picking them before it."""
     day = dt.date(2024, 1, 1)
