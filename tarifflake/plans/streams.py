@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import history, ledger, ownership
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, settings, stage
 from ..streaming import jobs
 from .registry import query
 from .ledger import EXACT_LIVE
@@ -95,11 +96,10 @@ def st3(lib):
     """The live picture kept as streaming state, over the sheets written to a folder in approval order."""
     spark = lib.spark
     base = f"{checkpoint_dir(spark)}/lines_{uuid.uuid4().hex[:8]}"
-    lines = history.as_lines(ledger.loaded_lines(lib.b_line))
-    lines.write.parquet(base)
+    lines = stage(history.as_lines(ledger.loaded_lines(lib.b_line)), base)
     stream = spark.readStream.schema(lines.schema).parquet(base)
-    rows = drain(jobs.rate_state(stream), "update", spark)
-    live = rows.filter("kind = 'live'")
-    newest = live.groupBy(F.col("rate_key").alias("k")).agg(F.max("batch").alias("b"))
-    live = live.join(newest, (F.col("rate_key") == F.col("k")) & (F.col("batch") == F.col("b")))
+    with settings(spark, jobs.ON_DISK):
+        rows = drain(jobs.rate_state(stream), "update", spark)
+    live = rows.filter("kind = 'live'").repartition("rate_key")
+    live = live.withColumn("newest", F.max("batch").over(Window.partitionBy("rate_key"))).filter("batch = newest")
     return ownership.joined(live)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,16 +47,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df):
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Actions and streams started inside have these settings; then they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def stage(df, folder: str | None = None):
     """A table several outputs read: written once to the checkpoint folder, so no output works it out again and a
     lost executor costs only its own reads. Columns are compressed: checkpoints of rows are several times as large. What
     was moved to work the table out is dropped when it is written, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    folder = folder or f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    with settings(spark, {DROP_SHUFFLES: "true"}):
         df.write.option("compression", "zstd").parquet(folder)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before) if before is not None else spark.conf.unset(DROP_SHUFFLES)
     return spark.read.schema(df.schema).parquet(folder)

@@ -33,6 +33,14 @@ STATE = T.StructType([T.StructField("rows", T.StringType())])
 BUCKETS = 4096
 
 
+#: Where a stream keeps its state: on the executors' disks, with a bounded part of it in memory.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
 def _pack(held: dict[str, list[dict]]) -> str:
     return json.dumps(list(held.items()), default=str)
 
@@ -66,7 +74,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def rate_state(lines: DataFrame) -> DataFrame:
     """Lines (in ledger shape) of approved sheets as a stream: each trigger emits what its lines changed, the rows they
     closed and the live rates of their keys. Within a trigger lines are taken in approval order. Keys are kept in
-    ``BUCKETS`` groups by their hash, and only those with new lines are worked on."""
+    ``BUCKETS`` groups by their hash, and only those with new lines are worked on. Start it with the settings ``ON_DISK``: a
+    library does not fit the executors' memory."""
     bucket = F.pmod(F.xxhash64("rate_key"), F.lit(BUCKETS)).cast("int")
     return lines.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 

@@ -366,6 +366,18 @@ def test_keys_of_one_state_group_stay_apart():
     assert live_after([lines]) == live_after([[x for x in lines if x["rate_key"] == f"k{k}"] for k in range(5)])
 
 
+def test_the_rate_stream_keeps_its_state_on_disk(spark, tmp_path):
+    from tarifflake.session import settings
+
+    history.as_lines(ledger.loaded_lines(frame(spark, [line(1, 1000, D(2026, 1, 1), D(2026, 1, 9))]))).write.parquet(str(tmp_path / "lines"))
+    stream = spark.readStream.schema(history.OUT).parquet(str(tmp_path / "lines"))
+    with settings(spark, {**jobs.ON_DISK, "spark.sql.shuffle.partitions": "1"}):
+        q = jobs.rate_state(stream).writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert "rocksdb" in q.lastProgress.json
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "false") == "false"
+
+
 def test_rows_of_other_keys_are_dropped_before_they_move(spark):
     from tarifflake.functions.grouping import maybe_in
 
