@@ -56,6 +56,18 @@ def test_family_with_gala_dinner(priced):
     assert float(r.sell) == round(float(r.cost) * 1.1, 2)
 
 
+def test_nights_are_written_before_answers_are_put_together(spark, monkeypatch):
+    """What is moved for the price calendar and for the nights is not there when the answers are worked out."""
+    written = []
+    monkeypatch.setattr(stays, "stage", lambda df: written.append(df.columns) or df)
+    req = spark.createDataFrame([], "request_id string, hotel_id long, room_type_id long, meal_plan string, check_in date, check_out date, rooms array<struct<adults:int,children_with_bed:int,children_without_bed:int>>, prefer_net boolean, markup_pct decimal(6,2)")
+    rates = spark.createDataFrame([], "id long, document_id long, room_type_id long, meal_plan string, occupancy string, weekdays string, is_net boolean, amount decimal(12,2), currency string, basis string, taxes_included boolean, min_nights int, season_name string, valid_from date, valid_to date, status string")
+    extra = spark.createDataFrame([], "hotel_id long, kind string, name string, room_type string, date_from date, date_to date, amount decimal(12,2), currency string, basis string, mandatory boolean, status string")
+    names = spark.createDataFrame([], "id long, hotel_id long, name string")
+    assert stays.price_stays(req, rates, extra, names, names).count() == 0
+    assert [c[:2] for c in written] == [["room_type_id", "meal_plan"], ["request_id", "night"], ["request_id", "nights_total"]]
+
+
 def test_weekend_rates(priced):
     assert (float(priced["weekend"].cost), priced["weekend"].currency) == (2200 + 2600 + 2600 + 2200, "THB")
 
